@@ -46,7 +46,7 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    return int(plan.stats().sizeInBytes().toString())
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> DataFrame:

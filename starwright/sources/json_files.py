@@ -61,27 +61,22 @@ def read_nested_map(
 ) -> DataFrame:
     """``{key: {date: {…}}}`` responses to one row per entity and date.
 
-    Without a schema the dates are inferred as struct fields; they are turned back into
-    a map by way of JSON text.
+    Without a schema the values are read as text, with the fields of the first record. The
+    dates are never inferred as struct fields: a response with 5,000 days would become a
+    schema of 5,000 columns.
     """
-    schema = None
+    text_map = T.MapType(T.StringType(), T.StringType())
+    dates = T.MapType(T.StringType(), text_map if value_schema is None else value_schema)
+    body = T.StructType([T.StructField(response_key, dates)]) if response_key else dates
+    df = raw_files(spark, path, wrapped(body), entity_pattern, lines)
+    at = f"response.`{response_key}`" if response_key else "response"
+    rows = df.select(F.col("__entity").alias(entity), F.explode(at).alias(key, "__value"))
     if value_schema is not None:
-        dates = T.MapType(T.StringType(), value_schema)
-        body = T.StructType([T.StructField(response_key, dates)]) if response_key else dates
-        schema = wrapped(body)
-    df = raw_files(spark, path, schema, entity_pattern, lines)
-    body = payload(df)
-    dates = df.select("__entity", body.alias("__body")).select(
-        "__entity", F.col(f"__body.`{response_key}`").alias("__dates")
-        if response_key else F.col("__body").alias("__dates"))
-    dates = dates.filter(F.col("__dates").isNotNull())
-    found = dates.schema["__dates"].dataType
-    if isinstance(found, T.StructType):
-        as_map = T.MapType(T.StringType(), found.fields[0].dataType)
-        dates = dates.withColumn("__dates", F.from_json(F.to_json("__dates"), as_map))
-    rows = dates.select(F.col("__entity").alias(entity),
-                        F.explode("__dates").alias(key, "__value"))
-    return flattened(rows, [entity, key], "__value")
+        return flattened(rows, [entity, key], "__value")
+    sample = rows.select(F.map_keys("__value")).first()
+    names = sample[0] if sample else []
+    return rows.select(entity, key, *[
+        F.try_element_at("__value", F.lit(n)).alias(n) for n in names])
 
 
 def read_objects(

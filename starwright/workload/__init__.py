@@ -2,7 +2,12 @@
 
 from starwright.workload.registry import QUERIES, SQL
 from starwright.workload import (  # noqa: F401  (registers the queries)
+    aggregates,
     charts,
+    cleaning,
+    ingest,
+    joining,
+    pivots,
 )
 
 __all__ = ["QUERIES", "SQL"]
