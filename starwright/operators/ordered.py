@@ -7,7 +7,7 @@ entity may hold a large part of all rows. Both are split here, with exact result
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -36,43 +36,54 @@ class GlobalOrder:
         self._in_part = Window.partitionBy("__part").orderBy("__id")
         self._parts = Window.orderBy("__part")  # over one row per partition only
 
-    def _carry(self, summary: Column, over: Callable[[Column], Column]) -> DataFrame:
-        per_part = self.rows.groupBy("__part").agg(summary.alias("__s"))
-        return per_part.select("__part", over(F.col("__s")).alias("__c"))
+    def add(self, columns: Mapping[str, tuple[str, Column | str]]) -> GlobalOrder:
+        """Add columns ``{name: (kind, value)}`` in one pass.
 
-    def _with(self, name: str, inside: Column, carry: DataFrame,
-              combine: Callable[[Column, Column], Column]) -> GlobalOrder:
-        # one row per partition, so its size is bounded by the partition count
+        Kinds: ``lag`` (value of the row before), ``sum`` and ``max`` (running, up to the
+        row itself).
+        """
+        upto = self._in_part.rowsBetween(Window.unboundedPreceding, 0)
+        before = self._parts.rowsBetween(Window.unboundedPreceding, -1)
+        summary, carried, inside, combined = [], [], [], {}
+        for i, (name, (kind, value)) in enumerate(columns.items()):
+            v = F.col(value) if isinstance(value, str) else value
+            s, x, c = f"__s{i}", f"__x{i}", f"__c{i}"
+            if kind == "lag":
+                boxed = F.struct(v.alias("v"))  # a NULL value is not a missing row
+                summary.append(F.max_by(boxed, F.col("__id")).alias(s))
+                carried.append(F.lag(s).over(self._parts).alias(c))
+                inside.append(F.lag(boxed).over(self._in_part).alias(x))
+                combined[name] = F.coalesce(F.col(x), F.col(c))["v"]
+            elif kind == "sum":
+                summary.append(F.sum(v).alias(s))
+                carried.append(F.sum(s).over(before).alias(c))
+                inside.append(F.sum(v).over(upto).alias(x))
+                combined[name] = F.coalesce(F.col(x) + F.col(c), F.col(x), F.col(c))
+            elif kind == "max":
+                summary.append(F.max(v).alias(s))
+                carried.append(F.max(s).over(before).alias(c))
+                inside.append(F.max(v).over(upto).alias(x))
+                combined[name] = F.greatest(F.col(x), F.col(c))
+            else:
+                raise ValueError(f"unknown calculation {kind!r}")
+        carry = self.rows.groupBy("__part").agg(*summary).select("__part", *carried)
+        names = [c for c in self.rows.columns if c not in columns]
         self.rows = (
-            self.rows.withColumn("__x", inside)
+            self.rows.select("*", *inside)
+            # one row per partition, so its size is bounded by the partition count
             .join(F.broadcast(carry), "__part", "left")
-            .withColumn(name, combine(F.col("__x"), F.col("__c"))).drop("__x", "__c")
+            .select(*[F.col(f"`{c}`") for c in names], *[e.alias(n) for n, e in combined.items()])
         )
         return self
 
     def lag(self, name: str, value: Column | str) -> GlobalOrder:
-        """The value of the row before (NULL on the first row)."""
-        v = F.struct((F.col(value) if isinstance(value, str) else value).alias("v"))
-        carry = self._carry(F.max_by(v, F.col("__id")), lambda s: F.lag(s).over(self._parts))
-        self._with(name, F.lag(v).over(self._in_part), carry, lambda x, c: F.coalesce(x, c)["v"])
-        return self
+        return self.add({name: ("lag", value)})
 
     def running_sum(self, name: str, value: Column | str) -> GlobalOrder:
-        v = F.col(value) if isinstance(value, str) else value
-        before = self._parts.rowsBetween(Window.unboundedPreceding, -1)
-        carry = self._carry(F.sum(v), lambda s: F.sum(s).over(before))
-        inside = F.sum(v).over(self._in_part.rowsBetween(Window.unboundedPreceding, 0))
-        return self._with(
-            name, inside, carry,
-            lambda x, c: F.when(x.isNull() & c.isNull(), None).otherwise(
-                F.coalesce(x, F.lit(0)) + F.coalesce(c, F.lit(0))))
+        return self.add({name: ("sum", value)})
 
     def running_max(self, name: str, value: Column | str) -> GlobalOrder:
-        v = F.col(value) if isinstance(value, str) else value
-        before = self._parts.rowsBetween(Window.unboundedPreceding, -1)
-        carry = self._carry(F.max(v), lambda s: F.max(s).over(before))
-        inside = F.max(v).over(self._in_part.rowsBetween(Window.unboundedPreceding, 0))
-        return self._with(name, inside, carry, F.greatest)
+        return self.add({name: ("max", value)})
 
     def row_number(self, name: str) -> GlobalOrder:
         return self.running_sum(name, F.lit(1))

@@ -271,27 +271,28 @@ def _with_share(out: DataFrame, m: M.Measure, combos, name_of) -> DataFrame:
 def _with_windows(out: DataFrame, windows, keys, combos, name_of) -> DataFrame:
     """Row-over-row columns over the detail rows in key order; totals get NULL."""
     detail = out.filter(F.col("__g") == 0)
-    ordered = GlobalOrder(detail, [F.col(k).asc_nulls_last() for k in keys])
-    ranked = []
+    carried, steps, ranked = {}, {}, []
     for key, source, kind, *_ in windows:
         for combo in combos:
             src, name = name_of(source, combo), name_of(key, combo)
             if src not in out.columns:
                 continue
-            now, prev = F.col(f"`{src}`"), F.col("__before")
-            kind_ = WINDOW_KINDS[kind]
-            if kind_ == "running_sum":
-                ordered.running_sum(name, now)
-            elif kind_ == "rank":
+            now, prev = F.col(f"`{src}`"), F.col(f"`__before_{src}`")
+            if WINDOW_KINDS[kind] == "running_sum":
+                carried[name] = ("sum", now)
+            elif WINDOW_KINDS[kind] == "rank":
                 ranked.append((name, src))
             else:
-                ordered.lag("__before", now)
-                step = now - prev
-                if kind_ == "pct_change":
-                    step = F.round(F.try_divide(step.cast("double"),
-                                                F.nullif(prev, F.lit(0))), 4)
-                ordered.rows = ordered.rows.withColumn(name, step).drop("__before")
-    result = ordered.result()
+                carried[f"__before_{src}"] = ("lag", now)
+                change = now - prev
+                if WINDOW_KINDS[kind] == "pct_change":
+                    change = F.round(F.try_divide(change.cast("double"),
+                                                  F.nullif(prev, F.lit(0))), 4)
+                steps[name] = change
+    result = detail
+    if carried:
+        result = GlobalOrder(detail, [F.col(k).asc_nulls_last() for k in keys]).add(carried).result()
+        result = result.withColumns(steps).drop(*[c for c in carried if c.startswith("__before_")])
     for name, src in ranked:
         result = (GlobalOrder(result.withColumn("__v", F.col(f"`{src}`")), ["__v", *keys])
                   .rank(name, "__v").result().drop("__v"))

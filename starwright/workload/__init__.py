@@ -8,6 +8,8 @@ from starwright.workload import (  # noqa: F401  (registers the queries)
     ingest,
     joining,
     pivots,
+    series,
+    sets,
 )
 
 __all__ = ["QUERIES", "SQL"]

@@ -66,8 +66,8 @@ SELECT l_linestatus, {cols} FROM lineitem GROUP BY 1"""
 
 def _layout_columns(name) -> str:
     return ", ".join(
-        f"{agg} FILTER (WHERE l_returnflag = '{v}') AS \"{name(v, k)}\""
-        for v in "ANR" for k, agg in (("qty", "CAST(sum(l_quantity) AS BIGINT)"), ("n", "count(*)")))
+        f"CAST({agg} FILTER (WHERE l_returnflag = '{v}') AS BIGINT) AS \"{name(v, k)}\""
+        for v in "ANR" for k, agg in (("qty", "sum(l_quantity)"), ("n", "count(*)")))
 
 
 def _layout(data: Data, layout: str):
