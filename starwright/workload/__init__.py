@@ -6,7 +6,9 @@ from starwright.workload import (  # noqa: F401  (registers the queries)
     charts,
     cleaning,
     ingest,
+    jobs,
     joining,
+    loads,
     pivots,
     series,
     sets,

@@ -62,13 +62,14 @@ def box(data: Data):
 
 
 @query("q3_box_summary", """
-SELECT c_mktsegment, min(o_totalprice) AS min, quantile_cont(o_totalprice, 0.25) AS q1,
-       quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3,
+SELECT c_mktsegment, min(o_totalprice) AS min, round(quantile_cont(o_totalprice, 0.25), 4) AS q1,
+       round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.75), 4) AS q3,
        max(o_totalprice) AS max, count(*) AS n
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def box_summary(data: Data):
     rows = R.box(star(data), "parties.c_mktsegment", "sales.o_totalprice")
-    return R.box_summary(rows, ["c_mktsegment"], "o_totalprice")
+    out = R.box_summary(rows, ["c_mktsegment"], "o_totalprice")
+    return out.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
 @query("q4_ohlc", f"""

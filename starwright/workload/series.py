@@ -442,10 +442,11 @@ def quarters(data: Data):
 WITH {QUARTERS_SQL}, n AS (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY quarter) AS i,
          lag(eps) OVER (PARTITION BY o_custkey ORDER BY quarter) AS p1,
-         lag(eps, 4) OVER (PARTITION BY o_custkey ORDER BY quarter) AS p4 FROM q)
+         lag(eps, 4) OVER (PARTITION BY o_custkey ORDER BY quarter) AS p4 FROM q),
+s AS (SELECT *, regr_slope(eps, i) OVER {QF} AS slope FROM n)
 SELECT o_custkey, quarter, round((eps - p1) / nullif(abs(p1), 0), 5) AS eps_qoq_growth,
        round((eps - p4) / nullif(abs(p4), 0), 5) AS eps_yoy_growth,
-       round(regr_slope(eps, i) OVER {QF}, 6) AS eps_trend_slope FROM n""")
+       round(CASE WHEN NOT isnan(slope) THEN slope END, 6) AS eps_trend_slope FROM s""")
 def eps_trend(data: Data):
     return r(rolling.eps_trend(quarters(data), "o_custkey", "quarter", "eps"),
              eps_qoq_growth=5, eps_yoy_growth=5, eps_trend_slope=6)
