@@ -1,80 +1,84 @@
 """Resolve raw names to canonical ones: exact lookup first, n-gram cosine second.
 
 Cosine similarity is over TF-IDF weights of character n-grams inside words, fitted on the
-canonical names. Pairs are found over shared n-grams of a prefix only: grams of a name are
-ordered from rare to common, and once the norm of the remaining ones is below the threshold
-no match can rest on them alone (the dot product with a unit vector cannot exceed it). So
-the common grams, whose lists are long, are never joined, and no match is missed.
+canonical names. Grams of a name are ordered from rare to common and only its head is joined
+to the canonical names; the tail, whose norm is at most half the threshold, can add no more
+than that times the norm of what is left of the other vector. Pairs that could still reach
+the threshold are then computed in full, so no match is missed, and the common grams, whose
+lists are long, are never joined for all names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAM_SIZES = (2, 3, 4)
-
+from starwright.operators.setops import keep_one
+from starwright.session import durable
 
-def word_grams(text: Column) -> Column:
-    """All n-grams (2–4 characters) of the space-padded words of a text, with repeats."""
-    words = F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+GRAM_SIZES = (2, 3, 4)
 
-    def grams(w: Column, n: int) -> Column:
-        last = F.length(w) - n + 1
-        starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-        return F.coalesce(F.transform(starts, lambda i: F.substring(w, i, F.lit(n))),
-                          F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(
-        padded, lambda w: F.flatten(F.array(*[grams(w, n) for n in GRAM_SIZES]))))
+def distinct_texts(df: DataFrame, column: str) -> DataFrame:
+    """(id, text) of the distinct texts; the id is a digest, so long texts are not shuffled."""
+    text = F.col(column)
+    return keep_one(df.filter(text.isNotNull()).select(
+        F.sha2(text, 256).alias("id"), text.alias("text")), ["id"])
 
 
-def gram_counts(names: DataFrame, key: str) -> DataFrame:
-    """(key, gram, tf) of distinct names."""
-    return names.select(F.col(key), F.explode(word_grams(F.col(key))).alias("gram")).groupBy(
-        key, "gram").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(id, gram, tf). Words are counted per text first: there are far fewer of them."""
+    words = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda w: w != "")
+    counted = texts.select("id", F.explode(words).alias("word")).groupBy("id", "word").agg(
+        F.count(F.lit(1)).alias("n"))
+    # each place of a padded word starts one n-gram per size, as far as the word reaches
+    padded = counted.select("id", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("w"))
+    placed = padded.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("w") - 1)))
+    sized = F.explode(F.array(*[
+        F.when(F.length("w") >= F.col("i") + n - 1, F.substring("w", F.col("i"), F.lit(n)))
+        for n in GRAM_SIZES]))
+    return placed.select("id", "n", sized.alias("gram")).filter(F.col("gram").isNotNull()).groupBy(
+        "id", "gram").agg(F.sum("n").cast("double").alias("tf"))
 
 
-def unit_vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, gram, w): tf·idf scaled to length 1; grams unknown to ``idf`` drop out."""
+def unit_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, gram, w, df): tf·idf scaled to length 1; grams unknown to ``idf`` drop out."""
     raw = counts.join(idf, "gram").withColumn("x", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
-    return raw.select(key, "gram", (F.col("x") / norm).alias("w"), "df")
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
+    return raw.select("id", "gram", (F.col("x") / norm).alias("w"), "df")
 
 
 def cosine_matches(
     names: DataFrame, name: str, canon: DataFrame, canonical: str, threshold: float = 0.85,
 ) -> DataFrame:
-    """All pairs of distinct names with a cosine of at least the threshold."""
-    left = names.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    right = canon.select(F.col(canonical).alias("canonical")).filter(
-        F.col("canonical").isNotNull()).distinct()
-    canon_counts = gram_counts(right, "canonical")
-    n = right.select(F.count(F.lit(1)).alias("n")).scalar()
+    """(name, canonical, similarity) of all pairs of distinct texts at or above the threshold."""
+    left, right = distinct_texts(names, name), distinct_texts(canon, canonical)
+    # counts and vectors are read several times below, so they are computed once
+    canon_counts = durable(gram_counts(right))
+    n = canon_counts.select(F.count_distinct("id").alias("n")).scalar()
     idf = canon_counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn(
         "idf", F.ln((1 + n) / (1 + F.col("df"))) + 1)
-    # a vector is one row per gram a name has; names are short, so is the list
-    left_vec = unit_vectors(gram_counts(left, "name"), idf, "name")
-    right_vec = unit_vectors(canon_counts, idf, "canonical")
-    from_here = Window.partitionBy("name").orderBy("df", "gram").rowsBetween(
-        0, Window.unboundedFollowing)
-    prefix = left_vec.withColumn(
-        "rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(from_here))
-    ).filter(F.col("rest") >= threshold - 1e-9).select("name", "gram")
-    pairs = prefix.join(right_vec.select("gram", "canonical"), "gram").select(
-        "name", "canonical").distinct()
-    left_map = left_vec.groupBy("name").agg(
-        F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("a"))
-    right_map = right_vec.groupBy("canonical").agg(
-        F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("b"))
-    both = pairs.join(left_map, "name").join(right_map, "canonical")
-    dot = F.aggregate(
-        F.map_entries("b"), F.lit(0.0),
-        lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("a"), e["key"]),
-                                                     F.lit(0.0)))
-    return both.select("name", "canonical", dot.alias("similarity")).filter(
-        F.col("similarity") >= threshold)
+    right_vec = durable(unit_vectors(canon_counts, idf)).select(
+        F.col("id").alias("b_id"), "gram", F.col("w").alias("b"))
+    # norm of a text's grams from this one on, rare grams first
+    by_rarity = Window.partitionBy("id").orderBy("df", "gram")
+    ahead = by_rarity.rowsBetween(0, Window.unboundedFollowing)
+    left_vec = durable(unit_vectors(gram_counts(left), idf).withColumn(
+        "rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(ahead))))
+    cut = threshold / 2
+    head = left_vec.filter(F.col("rest") >= cut).select(
+        F.col("id").alias("a_id"), "gram", F.col("w").alias("a"))
+    partial = head.join(right_vec, "gram").groupBy("a_id", "b_id").agg(
+        F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("b") * F.col("b")).alias("used"))
+    # the grams left out add at most cut · (norm of the rest of b)
+    most = F.col("dot") + cut * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("used")))
+    pairs = partial.filter(most >= threshold - 1e-9).select("a_id", "b_id")
+    full = pairs.join(left_vec.select(F.col("id").alias("a_id"), "gram", F.col("w").alias("a")), "a_id")
+    found = full.join(right_vec, ["b_id", "gram"]).groupBy("a_id", "b_id").agg(
+        F.sum(F.col("a") * F.col("b")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    named = left.select(F.col("id").alias("a_id"), F.col("text").alias("name"))
+    canons = right.select(F.col("id").alias("b_id"), F.col("text").alias("canonical"))
+    return found.join(named, "a_id").join(canons, "b_id").select("name", "canonical", "similarity")
 
 
 def resolve_names(

@@ -144,19 +144,19 @@ def resolve_names(data: Data):
 
 
 @query("u8_match_texts", """
-WITH canon AS (SELECT DISTINCT text AS c, item_id FROM benchmark), n AS (SELECT count(*) AS n FROM canon),
-names AS (SELECT DISTINCT text AS name FROM documents),
-words AS (
-  SELECT 'c' AS side, c AS k, ' ' || unnest(regexp_split_to_array(lower(trim(c)), '\\s+')) || ' ' AS w FROM canon
-  UNION ALL SELECT 'n', name, ' ' || unnest(regexp_split_to_array(lower(trim(name)), '\\s+')) || ' ' FROM names),
-counted AS (SELECT side, k, w, count(*) AS times FROM words WHERE w <> '  ' GROUP BY 1, 2, 3),
-grams AS (
-  SELECT side, k, substr(w, i, s) AS g, sum(times) AS tf FROM counted, (VALUES (2), (3), (4)) z(s), range(1, 200) t(i)
-  WHERE i + s - 1 <= length(w) GROUP BY 1, 2, 3),
+WITH texts AS (SELECT DISTINCT 'c' AS side, md5(text) AS k, text AS t FROM benchmark
+               UNION ALL SELECT DISTINCT 'n', md5(text), text FROM documents),
+n AS (SELECT count(*) AS n FROM texts WHERE side = 'c'),
+words AS (SELECT side, k, unnest(regexp_split_to_array(lower(trim(t)), '\\s+')) AS w FROM texts),
+counted AS (SELECT side, k, ' ' || w || ' ' AS w, count(*) AS times FROM words WHERE w <> '' GROUP BY 1, 2, 3),
+vocabulary AS (SELECT w, substr(w, i, s) AS g FROM (SELECT DISTINCT w FROM counted),
+               (VALUES (2), (3), (4)) z(s), range(1, 200) t(i) WHERE i + s - 1 <= length(w)),
+grams AS (SELECT side, k, g, sum(times) AS tf FROM counted JOIN vocabulary USING (w) GROUP BY 1, 2, 3),
 idf AS (SELECT g, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM grams WHERE side = 'c' GROUP BY 1),
 x AS (SELECT side, k, g, tf * idf AS x FROM grams JOIN idf USING (g)),
-v AS (SELECT side, k, g, x / sqrt(sum(x * x) OVER (PARTITION BY side, k)) AS w FROM x)
-SELECT md5(a.k) AS document, md5(b.k) AS item, round(sum(a.w * b.w), 6) AS similarity
+norms AS (SELECT side, k, sqrt(sum(x * x)) AS l FROM x GROUP BY 1, 2),
+v AS (SELECT side, k, g, x / l AS w FROM x JOIN norms USING (side, k))
+SELECT a.k AS document, b.k AS item, round(sum(a.w * b.w), 6) AS similarity
 FROM v a JOIN v b ON a.g = b.g AND a.side = 'n' AND b.side = 'c' GROUP BY a.k, b.k HAVING sum(a.w * b.w) >= 0.85""")
 def match_texts(data: Data):
     """Documents against the benchmark items over their whole texts."""
