@@ -128,8 +128,10 @@ def surrogate_key(*cols: Column | str, bits: int = 64, separator: str = "_") ->
 
 
 def date_key(col: Column | str) -> Column:
-    """Integer yyyyMMdd key of a date or timestamp."""
-    return F.date_format(as_column(col), "yyyyMMdd").cast("int")
+    """Integer yyyyMMdd key of a date or timestamp, by arithmetic: cheaper than formatting,
+    and free of time zones."""
+    day = as_column(col)
+    return F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
 
 
 def date_key_of_text(col: Column | str) -> Column:

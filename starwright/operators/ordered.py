@@ -26,11 +26,10 @@ class GlobalOrder:
     the two steps.
     """
 
-    def __init__(self, df: DataFrame, order: Sequence[Column | str], partitions: int | None = None):
-        spark = df.sparkSession
-        width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, df: DataFrame, order: Sequence[Column | str]):
+        # no partition count given: AQE merges small neighbouring ranges
         self.rows = durable(
-            df.repartitionByRange(width, *order).sortWithinPartitions(*order)
+            df.repartitionByRange(*order).sortWithinPartitions(*order)
             .withColumn("__id", F.monotonically_increasing_id())
         ).withColumn("__part", F.shiftright("__id", ROW_BITS))
         self._in_part = Window.partitionBy("__part").orderBy("__id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from starwright.functions import measures as M
 from starwright.operators.ordered import GlobalOrder
 from starwright.operators.quantiles import exact_percentiles
+from starwright.session import durable
 
 MAX_COLUMN_VALUES = 200
 LAYOUTS = ("by_measure", "by_column", "by_dimension")
@@ -75,13 +76,12 @@ def wide_name(combo: str, key: str, layout: str) -> str:
     return f"{combo}||{key}" if layout == "by_column" else f"{key}||{combo}"
 
 
-def column_values(df: DataFrame, cols: Mapping[str, object]) -> list[tuple]:
+def column_values(df: DataFrame, cols: Iterable[str]) -> list[tuple]:
     """Sorted distinct non-NULL combinations of the column fields.
 
     More than 200 are refused: such a pivot has no readable columns.
     """
-    picked = df.select(*[as_expr(e).alias(n) for n, e in cols.items()])
-    found = (picked.dropna().distinct().orderBy(*cols)
+    found = (df.select(*cols).dropna().distinct().orderBy(*cols)
              .limit(MAX_COLUMN_VALUES + 1).collect())
     if len(found) > MAX_COLUMN_VALUES:
         raise ValueError(f"more than {MAX_COLUMN_VALUES} column combinations; add filters")
@@ -120,8 +120,8 @@ def _merge(m: M.Measure, partials: list[tuple[str, Column, str]], match: Column
 def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
     """One row per row-key combination, measures per column combination.
 
-    The table is read once into groups of (row keys, column keys); columns, totals and
-    subtotals come from those groups. Measures that do not merge (distinct counts) are
+    The table is read once into groups of (row keys, column keys), kept in the shared folder;
+    columns, cells, totals and subtotals come from those groups. Measures that do not merge (distinct counts) are
     evaluated straight on the rows instead.
     """
     if spec.layout not in LAYOUTS:
@@ -140,10 +140,6 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
         else:
             df = df.withColumn("__binned", rows[name])
             rows[name] = bucket_count(df, "__binned", how["count"])
-    combos = column_values(df, spec.cols) if spec.cols else []
-    if spec.cols and not combos:
-        return df.select(*[c.alias(n) for n, c in rows.items()]).limit(0)
-
     mergeable = all((m.agg or "avg") in M.MERGEABLE for m in base)
     cols = {f"__c{i}": as_expr(e) for i, e in enumerate(spec.cols.values())}
     sort = spec.sort or {}
@@ -157,8 +153,14 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
         partials = _partials([*base, *extra])
         fine = keyed.groupBy(*keys, *cols).agg(
             *[agg.alias(n) for group in partials.values() for n, agg, _ in group])
+        if cols:
+            # the columns and the cells both come from these groups: join and scan once
+            fine = durable(fine)
     else:
         fine = keyed
+    combos = column_values(fine, cols) if cols else []
+    if cols and not combos:
+        return df.select(*[c.alias(n) for n, c in rows.items()]).limit(0)
 
     def value(m: M.Measure, match: Column | None) -> Column:
         if mergeable:

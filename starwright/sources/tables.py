@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starwright.functions import clean
 from starwright.operators.projection import derive, struct_of
 from starwright.operators.setops import union
 
@@ -61,7 +62,7 @@ def calendar_columns(date: Column, fiscal_start: int = 1) -> dict[str, Column]:
     weekend = weekday.isin(1, 7)
     fiscal_month = F.pmod(month - F.lit(fiscal_start), F.lit(12)) + 1
     return {
-        "date_id": F.date_format(date, "yyyyMMdd").cast("int"),
+        "date_id": clean.date_key(date),
         "date": date,
         "year": year,
         "quarter": quarter,

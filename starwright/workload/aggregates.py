@@ -11,7 +11,7 @@ from starwright.operators import rolling
 from starwright.operators.quantiles import exact_percentiles
 from starwright.operators.setops import aggregate_dimension
 from starwright.workload.registry import Data, query
-from starwright.workload.star import BARS_SQL, daily_bars, order_days
+from starwright.workload.star import BARS_SQL, daily_bars, day_dimension
 
 
 def r(df, **digits):
@@ -214,7 +214,7 @@ SELECT dayname(o_orderdate) AS day_of_week_name, count(*) AS orders,
        round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
 def by_weekday(data: Data):
     dated = data.orders.withColumn("date", F.col("o_orderdate").cast("date"))
-    out = dated.join(order_days(data), "date").groupBy("day_of_week_name").agg(
+    out = dated.join(day_dimension(data), "date").groupBy("day_of_week_name").agg(
         F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("total"))
     return r(out, total=2)
 

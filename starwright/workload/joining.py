@@ -8,7 +8,7 @@ from starwright.functions import clean
 from starwright.operators import filters, joins
 from starwright.plans import requests as R
 from starwright.workload.registry import Data, query
-from starwright.workload.star import dated_orders, order_days, star
+from starwright.workload.star import dated_orders, day_dimension, star
 
 
 @query("j1_equi_join", """
@@ -146,7 +146,7 @@ def optional_edges(data: Data):
 @query("j14_auto_edges", """
 SELECT year(o_orderdate)::INTEGER AS year, count(*) AS orders FROM orders GROUP BY 1""")
 def auto_edges(data: Data):
-    tables = {"fact_orders": dated_orders(data), "dim_calendar": order_days(data)}
+    tables = {"fact_orders": dated_orders(data), "dim_calendar": day_dimension(data)}
     found = joins.auto_edges(tables, [("date_id", "dim_calendar", "date_id"),
                                       ("location_id", "dim_location", "location_id")])
     return joins.star_join(tables, found).groupBy("dim_calendar.year").agg(

@@ -9,7 +9,7 @@ from starwright.sinks import tables as sink
 from starwright.sources.tables import scan
 from starwright.streaming import loads
 from starwright.workload.registry import Data, query
-from starwright.workload.star import dated_orders, order_days
+from starwright.workload.star import dated_orders, day_dimension
 
 
 def target(data: Data, label: str) -> str:
@@ -181,7 +181,7 @@ JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
 def star_layout(data: Data):
     paths = sink.write_star({
         "fact_orders": dated_orders(data).select("o_orderkey", "o_custkey", "date_id", "o_orderstatus"),
-        "dim_customer": data.customer, "dim_calendar": order_days(data).select("date_id", "year"),
+        "dim_customer": data.customer, "dim_calendar": day_dimension(data).select("date_id", "year"),
     }, target(data, "k14"), {"fact_orders": ["o_orderstatus"]})
     read = {n: scan(data.spark, p) for n, p in paths.items()}
     return (read["fact_orders"].join(read["dim_calendar"], "date_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +19,7 @@ class Data:
 
     spark: SparkSession
     folder: str
+    opened: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     def path(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/{name}.parquet"
@@ -26,7 +27,10 @@ class Data:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        # opened once, so that plans over one table share its scans and exchanges
+        if name not in self.opened:
+            self.opened[name] = self.spark.read.parquet(self.path(name))
+        return self.opened[name]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
