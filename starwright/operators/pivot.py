@@ -225,8 +225,8 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
         else:
             labelled.append(F.col(key).alias(name))
     measured = [n for n, m, _ in order if n in out.columns]
-    added = [n for n in out.columns
-             if n not in measured and not n.startswith("__")]
+    added = [name_of(w[0], c) for w in windows for c in combos_named
+             if name_of(w[0], c) in out.columns and name_of(w[0], c) not in measured]
     out = _sorted(out, spec, keys, name_of, combos)
     return out.select(*labelled, *[F.col(f"`{n}`") for n in [*measured, *added]])
 
