@@ -19,8 +19,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """Continuous percentiles per group (one row overall when ``by`` is empty).
 
-    Reads the input twice; the second pass shuffles about ``4/accuracy`` of the distinct
-    values. NULL values are left out.
+    Reads the input twice, however many percentiles are asked for; the second pass shuffles
+    about ``4/accuracy`` of the distinct values per percentile. NULL values are left out.
     """
     names = list(names or [f"p{round(p * 100):g}" for p in probs])
     keys = [f"__k{i}" for i in range(len(by))] or ["__k0"]
@@ -29,52 +29,59 @@ def exact_percentiles(
         F.col(value).cast("double").alias("__v"),
     ).filter(F.col("__v").isNotNull())
     slack = 2.0 / accuracy
-    brackets = [(max(p - slack, 0.0), min(p + slack, 1.0)) for p in probs]
-    flat = [q for pair in brackets for q in pair]
+    ends = [q for p in probs for q in (max(p - slack, 0.0), min(p + slack, 1.0))]
     sketch = src.groupBy(*keys).agg(
-        F.percentile_approx("__v", flat, accuracy).alias("__q"),
+        F.percentile_approx("__v", ends, accuracy).alias("__q"),
         F.count(F.lit(1)).alias("__n"),
     )
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    # -1, 0, 1: the value lies below, in or above the bracket of a percentile
+    zones = [F.when(F.col("__v") < F.col("__q")[2 * i], -1)
+             .when(F.col("__v") > F.col("__q")[2 * i + 1], 1).otherwise(0).alias(f"__z{i}")
+             for i in range(len(probs))]
+    zone_names = [f"__z{i}" for i in range(len(probs))]
+    zoned = src.alias("s").join(sketch.alias("b"), same).select(
+        *[F.col(f"s.{k}").alias(k) for k in keys], "__v", "__n", *zones)
+    in_any = F.lit(False)
+    for z in zone_names:
+        in_any = in_any | (F.col(z) == 0)
+    counted = zoned.groupBy(
+        *keys, "__n", *zone_names, F.when(in_any, F.col("__v")).alias("__in")
+    ).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
     out = sketch.select(*keys)
-    for i, (p, name) in enumerate(zip(probs, names)):
-        bracket = sketch.select(*keys, F.col("__q")[2 * i].alias("__lo"),
-                                F.col("__q")[2 * i + 1].alias("__hi"), "__n")
-        cond = [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-        zoned = src.alias("s").join(bracket.alias("b"), cond).select(
-            *[F.col(f"s.{k}").alias(k) for k in keys], "__v", "__n",
-            F.when(F.col("__v") < F.col("__lo"), -1)
-            .when(F.col("__v") > F.col("__hi"), 1).otherwise(0).alias("__zone"),
-        )
-        inside = F.when(F.col("__zone") == 0, F.col("__v"))
-        counted = zoned.groupBy(*keys, "__n", "__zone", inside.alias("__in")).agg(
-            F.count(F.lit(1)).alias("__c"),
-            F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        )
-        w = Window.partitionBy(*keys).orderBy("__zone", "__in")
-        rank = F.lit(p) * (F.col("__n") - 1)
-        placed = counted.withColumn("__top", F.sum("__c").over(w)).withColumn(
-            "__k", F.floor(rank)).withColumn("__f", rank - F.col("__k"))
-        first = F.col("__top") - F.col("__c")
-
-        def held(k, at_min, at_max):
-            """Value at 0-based rank k if this row holds it; edge zones know only their ends."""
-            return (
-                F.when((k < first) | (k >= F.col("__top")), None)
-                .when(F.col("__zone") == 0, F.col("__in"))
-                .when((F.col("__zone") < 0) & (k == F.col("__top") - 1), at_max)
-                .when((F.col("__zone") > 0) & (k == first), at_min)
-                .otherwise(F.raise_error(F.lit("percentile outside its bracket")).cast("double"))
-            )
-
-        lower = held(F.col("__k"), F.col("__min"), F.col("__max"))
-        upper = held(F.least(F.col("__k") + 1, F.col("__n") - 1),
-                     F.col("__min"), F.col("__max"))
-        got = placed.groupBy(*keys).agg(
-            F.max(lower).alias("__l"), F.max(upper).alias("__u"), F.max("__f").alias("__f"),
-        ).select(*[F.col(k).alias(f"{k}r") for k in keys],
-                 (F.col("__l") + (F.col("__u") - F.col("__l")) * F.col("__f")).alias(name))
-        same = [out[k].eqNullSafe(got[f"{k}r"]) for k in keys]
-        out = out.join(got, same, "left").drop(*[f"{k}r" for k in keys])
+    for p, name, zone in zip(probs, names, zone_names):
+        got = _percentile(counted, keys, zone, p, name)
+        match = [out[k].eqNullSafe(got[f"{k}r"]) for k in keys]
+        out = out.join(got, match, "left").drop(*[f"{k}r" for k in keys])
     if not by:
         return out.drop("__k0")
     return out.withColumnsRenamed(dict(zip(keys, by)))
+
+
+def _percentile(counted: DataFrame, keys: Sequence[str], zone: str, p: float, name: str) -> DataFrame:
+    """One percentile from counted values; the two outer zones are one row each."""
+    inside = F.when(F.col(zone) == 0, F.col("__in"))
+    parts = counted.groupBy(*keys, "__n", F.col(zone).alias("__zone"), inside.alias("__x")).agg(
+        F.sum("__c").alias("__c"), F.min("__min").alias("__min"), F.max("__max").alias("__max"))
+    w = Window.partitionBy(*keys).orderBy("__zone", "__x")
+    rank = F.lit(p) * (F.col("__n") - 1)
+    placed = parts.withColumn("__top", F.sum("__c").over(w)).withColumn(
+        "__k", F.floor(rank)).withColumn("__f", rank - F.col("__k"))
+    first = F.col("__top") - F.col("__c")
+
+    def held(k, at_min, at_max):
+        """Value at 0-based rank k if this row holds it; outer zones know only their ends."""
+        return (
+            F.when((k < first) | (k >= F.col("__top")), None)
+            .when(F.col("__zone") == 0, F.col("__x"))
+            .when((F.col("__zone") < 0) & (k == F.col("__top") - 1), at_max)
+            .when((F.col("__zone") > 0) & (k == first), at_min)
+            .otherwise(F.raise_error(F.lit("percentile outside its bracket")).cast("double"))
+        )
+
+    lower = held(F.col("__k"), F.col("__min"), F.col("__max"))
+    upper = held(F.least(F.col("__k") + 1, F.col("__n") - 1), F.col("__min"), F.col("__max"))
+    ends = placed.groupBy(*keys).agg(
+        F.max(lower).alias("__l"), F.max(upper).alias("__u"), F.max("__f").alias("__f"))
+    return ends.select(*[F.col(k).alias(f"{k}r") for k in keys],
+                       (F.col("__l") + (F.col("__u") - F.col("__l")) * F.col("__f")).alias(name))

@@ -166,35 +166,26 @@ def merged(
     stored: DataFrame, df: DataFrame, keys: Sequence[str], update_existing: bool = True,
     order: Sequence[str] = (),
 ) -> DataFrame:
-    """Stored rows with the batch merged in, one row per key.
+    """Stored rows with the batch merged in, one row per key; the winning row counts whole.
 
     The batch is reduced to one row per key; then a full join of unique keys picks a side,
     so no key gathers more than one stored and one new row.
     """
     batch = keep_one(aligned(df, stored), keys, order, latest=bool(order))
+    kinds = {f.name: f.dataType for f in [*batch.schema.fields, *stored.schema.fields]}
     names = [*stored.columns, *[c for c in batch.columns if c not in stored.columns]]
 
     def sided(frame: DataFrame, tag: str) -> DataFrame:
+        row = [F.col(c) if c in frame.columns else F.lit(None).cast(kinds[c]).alias(c)
+               for c in names]
         return frame.select(*[F.col(k).alias(f"__{k}{tag}") for k in keys],
-                            F.struct(*[F.col(c) if c in frame.columns
-                                       else F.lit(None).cast(batch.schema[c].dataType).alias(c)
-                                       for c in names]).alias(f"__row{tag}"))
+                            F.struct(*row).alias(f"__row{tag}"))
 
     a, b = sided(stored, "a"), sided(batch, "b")
     same = reduce(lambda x, y: x & y, [F.col(f"__{k}a").eqNullSafe(F.col(f"__{k}b")) for k in keys])
-    both = a.join(b, same, "full")
-    first, second = ("__rowb", "__rowa") if update_existing else ("__rowa", "__rowb")
-    batch_types = {f.name: f.dataType for f in batch.schema.fields}
-    picked = []
-    for c in names:
-        # a column the batch does not carry keeps its stored value
-        if c in batch_types:
-            value = F.when(F.col(first).isNotNull(), F.col(f"{first}.{c}")).otherwise(
-                F.col(f"{second}.{c}"))
-        else:
-            value = F.col(f"__rowa.{c}")
-        picked.append(value.alias(c))
-    return both.select(*picked)
+    sides = ("__rowb", "__rowa") if update_existing else ("__rowa", "__rowb")
+    return a.join(b, same, "full").select(F.coalesce(*sides).alias("r")).select(
+        *[F.col(f"r.{c}").alias(c) for c in names])
 
 
 def upsert(

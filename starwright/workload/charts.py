@@ -126,11 +126,12 @@ def pivot_by_request(data: Data):
 
 
 @query("q8_field_resolution", """
-SELECT DISTINCT quarter(o_orderdate)::INTEGER AS quarter, year(o_orderdate)::INTEGER AS year FROM orders""")
+SELECT quarter(o_orderdate)::INTEGER AS quarter, year(o_orderdate)::INTEGER AS year, count(*) AS n
+FROM orders GROUP BY 1, 2""")
 def field_resolution(data: Data):
-    catalog = star(data)
-    fields = [catalog.resolve(ref) for ref in ("temporal.quarter", "temporal.dim_calendar.year")]
-    return catalog.tables[fields[0].table].select(*[f.column for f in fields]).distinct()
+    return R.flat_table(star(data), [
+        ["quarter", "temporal.quarter"], ["year", "temporal.dim_calendar.year"],
+        ["n", "sales.fact_orders.o_orderkey", "count"]])
 
 
 @query("q9_single_table", """

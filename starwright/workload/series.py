@@ -157,13 +157,13 @@ SELECT event_id, round(avg(value) OVER {EVENT_FRAME.format(19)}, 7) AS sma_20,
        round(avg(value) OVER {EVENT_FRAME.format(19)} + 2 * stddev_samp(value) OVER {EVENT_FRAME.format(19)}, 6) AS upper
 FROM g""")
 def long_series(data: Data):
-    """Series of all events of a type, cut into chunks with overlap."""
+    """Series of all events of a type, cut into chunks with overlap, counted by the minute."""
     specs = {
         "sma_20": {"indicator": "sma", "period": 20, "source": "value"},
         "rsi_14": {"indicator": "rsi", "period": 14, "source": "value"},
         "upper": {"indicator": "bollinger", "band": "upper", "period": 20, "source": "value"}}
     events = data.events.select("event_id", "event_type", "ts", "value")
-    out = I.long_indicators(events, specs, ["event_type"], ["ts"], F.col("ts").cast("date"),
+    out = I.long_indicators(events, specs, ["event_type"], ["ts"], F.date_trunc("minute", "ts"),
                             chunk_rows=1_000)
     return r(out.select("event_id", *specs), sma_20=7, rsi_14=6, upper=6)
 

@@ -116,11 +116,11 @@ def test_append_date_range_prunes(spark):
     assert sink.append_immutable(base.limit(0), path, ["k"], ["year"], "d") == path
 
 
-def test_upsert_adds_new_columns_and_keeps_absent_ones(spark):
+def test_upsert_takes_the_winning_row_whole(spark):
     path = scratch_path(spark, "wide")
     sink.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, old string"), path, ["k"])
     sink.upsert(spark.createDataFrame([(2, 5), (3, 6)], "k int, fresh int"), path, ["K"])
-    assert rows(scan(spark, path).select("k", "old", "fresh")) == [(1, "a", None), (2, "b", 5), (3, None, 6)]
+    assert rows(scan(spark, path).select("k", "old", "fresh")) == [(1, "a", None), (2, None, 5), (3, None, 6)]
     with pytest.raises(ValueError):
         sink.upsert(kv(spark, [(1, 1)]), path, ["nope"])
 
