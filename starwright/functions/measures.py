@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starwright.session import durable
+
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum,
     "avg": F.avg,
@@ -163,6 +165,18 @@ def ratio_of(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), F.nullif(den, F.lit(0)))
 
 
+def with_share(groups: DataFrame, value: str, name: str, scale: float = 1.0) -> DataFrame:
+    """Share of each row in the sum of ``value``, for aggregated rows.
+
+    The rows are kept first, so the facts behind them are not read a second time for the sum,
+    and the sum is a scalar subquery, so the rows need not meet in one window.
+    """
+    kept = durable(groups)
+    total = kept.select(F.sum(f"`{value}`").alias("t")).scalar()
+    return kept.withColumn(name, F.try_divide(
+        F.col(f"`{value}`").cast("double"), F.nullif(total, F.lit(0))) * scale)
+
+
 def text_set(col: Column | str, separator: str = ", ") -> Column:
     """Sorted distinct values of a group as one text."""
     return F.array_join(F.array_sort(F.collect_set(col)), separator)

@@ -256,6 +256,7 @@ def _sorted(out: DataFrame, spec: PivotSpec, keys: Sequence[str], name_of, combo
 def _with_share(out: DataFrame, m: M.Measure, combos, name_of) -> DataFrame:
     """Share of each detail row in the total of the details."""
     of = m.field["of"]
+    out = durable(out)  # read for the totals and for the rows
     for combo in combos:
         src, name = name_of(of, combo), name_of(m.key, combo)
         part = m.field.get("partition_by")

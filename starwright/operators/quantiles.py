@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starwright.session import durable
+
 
 def exact_percentiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
@@ -45,10 +47,11 @@ def exact_percentiles(
     in_any = F.lit(False)
     for z in zone_names:
         in_any = in_any | (F.col(z) == 0)
-    counted = zoned.groupBy(
+    # small and read once per percentile: kept, so that the input is not read again for each
+    counted = durable(zoned.groupBy(
         *keys, "__n", *zone_names, F.when(in_any, F.col("__v")).alias("__in")
-    ).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
-    out = sketch.select(*keys)
+    ).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max")))
+    out = counted.select(*keys).distinct()
     for p, name, zone in zip(probs, names, zone_names):
         got = _percentile(counted, keys, zone, p, name)
         match = [out[k].eqNullSafe(got[f"{k}r"]) for k in keys]

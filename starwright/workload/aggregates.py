@@ -274,6 +274,4 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def allocation(data: Data):
     groups = data.lineitem.join(data.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
         "p_brand").agg(F.sum("l_extendedprice").alias("value"))
-    total = groups.select(F.sum("value").alias("t")).scalar()
-    out = groups.withColumn("pct", F.col("value") / F.nullif(total, F.lit(0)) * 100)
-    return r(out, value=2, pct=6).orderBy(F.desc("pct"))
+    return r(M.with_share(groups, "value", "pct", 100.0), value=2, pct=6).orderBy(F.desc("pct"))
