@@ -243,7 +243,7 @@ z AS (
            'volatility']) AS weighting,
          unnest([1.0, volume, volume * close, close, abs((volume - mv) / nullif(mv, 0)),
            1 / nullif(sd, 0)]::DOUBLE[]) AS w FROM y)
-SELECT trade_date, weighting, round(sum(w * close) / nullif(sum(w), 0), 4) AS index_value,
+SELECT trade_date, weighting, round(sum(w * close) / nullif(sum(w), 0), 7) AS index_value,
        count(*) AS members
 FROM z WHERE w IS NOT NULL GROUP BY 1, 2"""
 
@@ -253,7 +253,7 @@ def weighted_index(data: Data):
     bars = daily_bars(data).withColumn("market_cap", F.col("volume") * F.col("close"))
     parts = [rolling.weighted_index(bars, "ticker", "trade_date", weighting=w)
              .withColumn("weighting", F.lit(w)) for w in rolling.WEIGHTINGS]
-    return r(reduce(lambda a, b: a.unionByName(b), parts), index_value=4)
+    return r(reduce(lambda a, b: a.unionByName(b), parts), index_value=7)
 
 
 @query("a23_position_value", """
