@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starwright.operators import projection
 
@@ -28,12 +29,17 @@ def keep_one(
     if not keys:
         return df
     rest = [c for c in df.columns if c not in keys]
-    lead = [c for c in order if c not in keys]
-    pick = F.max if latest else F.min
-    row = F.struct(*[F.col(c) for c in lead], *[F.col(c) for c in rest if c not in lead])
     if not rest:
         return df.select(*keys).distinct()
-    return df.groupBy(*keys).agg(pick(row).alias("__row")).select(
+    lead = [c for c in order if c not in keys]
+    row = F.struct(*lead, *[c for c in rest if c not in lead])
+    pick = (F.max if latest else F.min)(row)
+    unordered = [c for c in rest if isinstance(df.schema[c].dataType, T.MapType)]
+    if unordered:  # maps have no order of their own, so their text decides
+        rank = F.struct(*[F.to_json(c) if c in unordered else F.col(c)
+                          for c in [*lead, *[c for c in rest if c not in lead]]])
+        pick = (F.max_by if latest else F.min_by)(row, rank)
+    return df.groupBy(*keys).agg(pick.alias("__row")).select(
         *[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns]
     )
 

@@ -87,7 +87,9 @@ def write_if_missing(df: DataFrame, path: str, partitions: Sequence[str] | None
     return True
 
 
-def replace(df: DataFrame, path: str, partitions: Sequence[str] | None = None) -> str:
+def replace(
+    df: DataFrame, path: str, partitions: Sequence[str] | None = None, spread: bool = True,
+) -> str:
     """New version of a table that may be computed from the old one.
 
     Written beside, then renamed into place. If the job dies between the two renames the
@@ -96,7 +98,7 @@ def replace(df: DataFrame, path: str, partitions: Sequence[str] | None = None) -
     spark = df.sparkSession
     base = path.rstrip("/")
     staged = f"{base}__new_{uuid.uuid4().hex}"
-    write(df, staged, "overwrite", partitions)
+    write(df, staged, "overwrite", partitions, spread=spread)
     old = f"{base}__old"
     if table_exists(spark, base):
         if path_exists(spark, old):
@@ -135,12 +137,13 @@ def aligned(df: DataFrame, stored: DataFrame) -> DataFrame:
 
 def append_immutable(
     df: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str] | None = None,
-    date_column: str | None = None, order: Sequence[str] = (),
+    date_column: str | None = None, order: Sequence[str] = (), year_column: str | None = None,
 ) -> str:
     """Append rows whose key is not stored yet; stored rows never change.
 
-    The stored side of the anti join is cut to the batch's date range, which prunes
-    partitions and row groups: only the bounds of the batch come to the driver.
+    The stored side of the anti join is cut to the batch's date range, which skips row
+    groups: only the bounds of the batch come to the driver. ``year_column`` names a
+    partition column that holds the year of the date, so that partitions are skipped too.
     """
     spark = df.sparkSession
     keys = resolve_keys(df, keys)
@@ -155,9 +158,8 @@ def append_immutable(
         if low is None:
             return path
         held = held.filter(F.col(date_column).between(F.lit(low), F.lit(high)))
-        for part in present_partitions(stored, partitions):
-            if part == "year" and hasattr(low, "year"):
-                held = held.filter(F.col(part).between(low.year, high.year))
+        if year_column:
+            held = held.filter(F.col(year_column).between(low.year, high.year))
     fresh = batch.join(held.select(*keys), keys, "left_anti").select(*batch.columns)
     return write(fresh, path, "append", partitions)
 
@@ -299,16 +301,7 @@ def cluster(
     salt = F.xxhash64(*[c for c in stored.columns
                         if not isinstance(stored.schema[c].dataType, (T.MapType, T.ArrayType))])
     laid = stored.repartitionByRange(files, *columns, salt).sortWithinPartitions(*columns)
-    base = path.rstrip("/")
-    staged = f"{base}__new_{uuid.uuid4().hex}"
-    write(laid, staged, "overwrite", partitions, spread=False)
-    old = f"{base}__old"
-    if path_exists(spark, old):
-        _remove(spark, old)
-    _rename(spark, base, old)
-    _rename(spark, staged, base)
-    _remove(spark, old)
-    return path
+    return replace(laid, path, partitions, spread=False)
 
 
 def write_star(

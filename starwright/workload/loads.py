@@ -45,7 +45,8 @@ def append_immutable(data: Data):
                                F.year("o_orderdate").alias("year"))
     for name, cond in (("first", "day < '1998-07-01'"), ("second", "day >= '1998-01-01'")):
         batch = dated.filter(cond).withColumn("batch", F.lit(name))
-        sink.append_immutable(batch.unionByName(batch), path, ["o_orderkey"], ["year"], "day")
+        sink.append_immutable(batch.unionByName(batch), path, ["o_orderkey"], ["year"], "day",
+                              year_column="year")
     return scan(data.spark, path)
 
 

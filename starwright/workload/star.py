@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ def dated_orders(data: Data) -> DataFrame:
     return data.orders.withColumn("date_id", clean.date_key("o_orderdate"))
 
 
+@lru_cache(maxsize=16)
 def star(data: Data) -> Catalog:
-    """Facts lineitem and orders with their dimensions and a calendar."""
+    """Facts lineitem and orders with their dimensions and a calendar; made once per folder."""
     catalog = Catalog()
     catalog.add("sales", "fact_lineitem", data.lineitem)
     catalog.add("sales", "fact_orders", dated_orders(data))

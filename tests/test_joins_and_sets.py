@@ -93,6 +93,11 @@ def test_keep_one(spark):
     assert setops.keep_one(df, []).count() == 4
 
 
+def test_keep_one_with_maps(spark):
+    df = spark.createDataFrame([(1, {"a": 2}), (1, {"a": 1}), (2, None)], "k int, m map<string,int>")
+    assert rows(setops.keep_one(df, ["k"])) == [(1, {"a": 1}), (2, None)]
+
+
 def test_unpivot_pivot_identity(spark):
     df = spark.createDataFrame([(1, 1.5, 2.5), (2, None, 4.0)], "id int, a double, b double")
     long = setops.unpivot_coded(df, {"a": "A", "b": "B"})

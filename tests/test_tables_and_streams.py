@@ -111,7 +111,7 @@ def test_append_date_range_prunes(spark):
     base = spark.createDataFrame([(i, day(i), day(i).year) for i in range(6)], "k int, d date, year int")
     sink.append_immutable(base, path, ["k"], ["year"], "d")
     sink.append_immutable(base.filter("k >= 4").withColumn("k", F.when(F.col("k") == 4, 4).otherwise(99)),
-                          path, ["k"], ["year"], "d")
+                          path, ["k"], ["year"], "d", year_column="year")
     assert sorted(r.k for r in scan(spark, path).collect()) == [0, 1, 2, 3, 4, 5, 99]
     assert sink.append_immutable(base.limit(0), path, ["k"], ["year"], "d") == path
 
