@@ -144,7 +144,7 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
     cols = {f"__c{i}": as_expr(e) for i, e in enumerate(spec.cols.values())}
     sort = spec.sort or {}
     extra = []
-    if sort.get("field"):
+    if sort.get("field") is not None:
         extra = [M.Measure("__sort", sort["field"], "min")]
     keyed = df.select("*", *[c.alias(f"__r_{n}") for n, c in rows.items()],
                       *[c.alias(n) for n, c in cols.items()])
@@ -244,7 +244,7 @@ def _sorted(out: DataFrame, spec: PivotSpec, keys: Sequence[str], name_of, combo
     if sort.get("by"):
         where = sort.get("where")
         column = name_of(sort["by"], None if where is None else str(where))
-    elif sort.get("field"):
+    elif sort.get("field") is not None:
         column = "__sort"
     if column is None:
         return out.orderBy(*default)

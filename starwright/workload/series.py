@@ -168,12 +168,14 @@ def long_series(data: Data):
     return r(out.select("event_id", *specs), sma_20=7, rsi_14=6, upper=6)
 
 
-@query("w12_window_column", """
-SELECT c_custkey, c_nationkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS INTEGER) AS place
-FROM customer""")
+@query("w12_window_column", f"""
+WITH {BARS_SQL}
+SELECT ticker, trade_date, CAST(rank() OVER (PARTITION BY ticker, date_trunc('month', trade_date)
+       ORDER BY close) AS INTEGER) AS place FROM bars""")
 def window_column(data: Data):
-    return I.window_column(data.customer, ["c_nationkey"], ["c_acctbal"], "rank()", "place").select(
-        "c_custkey", "c_nationkey", "place")
+    bars = daily_bars(data).withColumn("month", F.trunc("trade_date", "month"))
+    return I.window_column(bars, ["ticker", "month"], ["close"], "rank()", "place").select(
+        "ticker", "trade_date", "place")
 
 
 @query("w13_latest_per_key", """
