@@ -60,9 +60,10 @@ def cosine_matches(
         "idf", F.ln((1 + n) / (1 + F.col("df"))) + 1)
     right_vec = durable(unit_vectors(canon_counts, idf)).select(
         F.col("id").alias("b_id"), "gram", F.col("w").alias("b"))
-    # norm of a text's grams from this one on, rare grams first
-    by_rarity = Window.partitionBy("id").orderBy("df", "gram")
-    ahead = by_rarity.rowsBetween(0, Window.unboundedFollowing)
+    # norm of a text's grams from this one on, rare grams first; summed from the common end,
+    # since a frame that grows costs one step per row and one that shrinks is summed anew
+    ahead = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(
+        Window.unboundedPreceding, 0)
     left_vec = durable(unit_vectors(gram_counts(left), idf).withColumn(
         "rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(ahead))))
     cut = threshold / 2
