@@ -24,7 +24,12 @@ WINDOW_KINDS = {
 
 @dataclass(frozen=True)
 class PivotSpec:
-    """What to pivot. ``rows``/``cols`` map output names to columns or SQL text."""
+    """What to pivot. ``rows``/``cols`` map output names to columns or SQL text.
+
+    ``sort`` orders the rows: ``{by: measure, where?: column value, order}``,
+    ``{field: column, dir}`` or ``{values: [first, second, …]}``; ``{rows: …, cols: {order}}``
+    orders both.
+    """
 
     rows: Mapping[str, object]
     measures: Sequence[object]
@@ -66,6 +71,19 @@ def bucket_count(df: DataFrame, value: str, count: int) -> Column:
     return F.when(F.col(value).isNotNull(), above)
 
 
+def row_sort(spec: PivotSpec) -> dict[str, object]:
+    """The row part of the sort."""
+    given = dict(spec.sort or {})
+    nested = given.pop("rows", None) or {}
+    given.pop("cols", None)
+    return {**given, **nested}
+
+
+def columns_descend(spec: PivotSpec) -> bool:
+    cols = (spec.sort or {}).get("cols") or {}
+    return str(cols.get("order", "asc")).lower() == "desc"
+
+
 def combo_key(combo: Sequence[object]) -> str:
     """Name of a column combination: first value, two bars, then the others."""
     parts = ["(null)" if v is None else str(v) for v in combo]
@@ -142,7 +160,7 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
             rows[name] = bucket_count(df, "__binned", how["count"])
     mergeable = all((m.agg or "avg") in M.MERGEABLE for m in base)
     cols = {f"__c{i}": as_expr(e) for i, e in enumerate(spec.cols.values())}
-    sort = spec.sort or {}
+    sort = row_sort(spec)
     extra = []
     if sort.get("field") is not None:
         extra = [M.Measure("__sort", sort["field"], "min")]
@@ -159,6 +177,8 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
     else:
         fine = keyed
     combos = column_values(fine, cols) if cols else []
+    if columns_descend(spec):
+        combos.reverse()
     if cols and not combos:
         return df.select(*[c.alias(n) for n, c in rows.items()]).limit(0)
 
@@ -232,7 +252,7 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
 
 
 def _sorted(out: DataFrame, spec: PivotSpec, keys: Sequence[str], name_of, combos) -> DataFrame:
-    sort = spec.sort or {}
+    sort = row_sort(spec)
     # totals come after the details they sum up
     default = [F.col("__g").asc(), *[F.col(k).asc_nulls_last() for k in keys]]
     if sort.get("values"):

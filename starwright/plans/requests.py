@@ -155,6 +155,8 @@ def pivot_request(
     """Pivot over field references; options are those of :class:`PivotSpec`."""
     ms, refs = resolved_measures(catalog, measures)
     sort = dict(options.pop("sort", None) or {})
+    if sort.get("rows"):
+        sort = {**sort.pop("rows"), **sort}
     if sort.get("field"):
         refs.append(sort["field"])
         sort["field"] = catalog.resolve(sort["field"]).col

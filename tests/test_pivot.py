@@ -75,6 +75,10 @@ def test_sorts(sales):
     assert by({"field": "v", "dir": "desc"}) == [None, "S", "N"]
     assert by({"values": ["S"]}, row_totals=True) == ["S", "N", None, "TOTAL"]
     assert by({"by": "v", "where": 2021, "order": "desc"}, cols={"y": "y"}) == ["S", "N", None]
+    assert by({"rows": {"by": "v", "order": "desc"}}) == ["S", None, "N"]
+    both = pivot(sales, PivotSpec({"r": "r"}, [["v", "v", "sum"]], {"y": "y"},
+                                  sort={"rows": {"values": ["S"]}, "cols": {"order": "desc"}}))
+    assert both.columns == ["r", "v||2021", "v||2020"] and both.first()["r"] == "S"
 
 
 @FEW
