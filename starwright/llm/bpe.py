@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from operator import add
@@ -51,71 +50,59 @@ class Remembered(dict):
         return value
 
 
-class ForcedBoundaryEncoder:
-    """Ids of a byte-level BPE vocabulary, equal to what the tokenizers library gives.
+class PieceEncoder:
+    """Ids of a byte-level BPE vocabulary by the tokenizers library's model, each distinct piece once.
 
-    Merging never joins two bytes that stand side by side in no vocabulary token, for the joined
-    token would hold that pair. So each such pair is a certain cut: the fragments
-    between cuts are encoded on their own, each distinct one once, and their ids concatenated.
-    Cuts of the pattern that precedes merging are honoured first, and special tokens before
-    that. White space before a word is such a cut too, so whole words are looked up in a cache.
+    The model merges inside the pieces of the split pattern only, so the ids of a text are those
+    of its pieces, one after the other. White space always starts a piece, hence whole
+    words can be looked up. Strings of special tokens are taken out first, as the library does.
     """
 
     def __init__(self, path: str, cache: int = WORD_CACHE):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         vocabulary = spec["model"]["vocab"]
-        self.letters = byte_alphabet()
-        self.to_letters = {b: self.letters[b] for b in range(256)}
-        to_byte = {c: b for b, c in enumerate(self.letters)}
-        self.joined = {t[i:i + 2] for t in vocabulary for i in range(len(t) - 1)}
+        letters = byte_alphabet()
+        self.to_letters = {b: letters[b] for b in range(256)}
+        to_byte = {c: b for b, c in enumerate(letters)}
+        self.vocabulary = vocabulary
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(1 + max(
+            [*vocabulary.values(), *self.added.values()]))]
         self.token_bytes = {i: bytes(to_byte[c] for c in t) for t, i in vocabulary.items()}
         self.token_bytes.update({i: t.encode() for t, i in self.added.items()})
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) \
-            if self.added else None
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, longest_first))) if self.added else None
         self.limit = cache
-        self.fragments = Remembered(self.encode_fragment)
-        self.pieces = Remembered(self.encode_piece)
-        self.chunks = Remembered(self.encode_chunk)
-        self.words = Remembered(lambda w: self.encode_chunk(" " + w))  # words after one space
-
-    def cut(self, piece: str) -> list[str]:
-        """Fragments of a piece, in the byte alphabet, between certain cuts."""
-        s = piece.encode("utf-8").decode("latin-1").translate(self.to_letters)
-        joined = self.joined
-        if joined.issuperset(map(add, s, s[1:])):
-            return [s]
-        ends = [i for i, pair in enumerate(map(add, s, s[1:]), 1) if pair not in joined]
-        return [s[a:b] for a, b in zip([0, *ends], [*ends, len(s)])]
+        self.words = Remembered(self.encode_word)  # what follows one space, without that space
+        self.pieces = Remembered(lambda p: self.encode_letters(self.letters(p)))
+        self.chunks = Remembered(lambda c: b"".join(map(self.pieces.__getitem__, PIECE.findall(c))))
 
-    def encode_fragment(self, fragment: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(fragment)]).tobytes()
+    def letters(self, piece: str) -> str:
+        """The bytes of a piece in the byte alphabet."""
+        return piece.encode("utf-8").decode("latin-1").translate(self.to_letters)
 
-    def encode_piece(self, piece: str) -> bytes:
-        fragments = self.cut(piece)
-        if len(fragments) == 1:  # the caller remembers the whole piece
-            return self.encode_fragment(fragments[0])
-        return b"".join(map(self.fragments.__getitem__, fragments))
+    def encode_letters(self, letters: str) -> bytes:
+        ids = self.id_bytes
+        return b"".join([ids[t.id] for t in self.tokenize(letters)])
 
-    def encode_chunk(self, chunk: str) -> bytes:
-        # letters after at most one space are one piece; most words are
-        if chunk[1:].isalpha() and chunk[0] == " ":
-            return self.encode_piece(chunk)
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk)))
+    def encode_word(self, word: str) -> bytes:
+        if word.isalpha():  # letters after one space are one piece
+            return self.encode_letters(self.letters(" " + word))
+        first, *rest = PIECE.findall(" " + word)
+        head = self.words[first[1:]] if first[1:].isalpha() else self.pieces[first]
+        return b"".join([head, *map(self.pieces.__getitem__, rest)])
 
     def encode_plain(self, text: str) -> bytes:
-        for cache in (self.fragments, self.pieces, self.chunks, self.words):
+        for cache in (self.pieces, self.chunks, self.words):
             if len(cache) > self.limit:
                 cache.clear()
         if OTHER_SPACES.search(text):
             return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
         head, *words = text.split(" ")
-        return self.encode_chunk(head) + b"".join(map(self.words.__getitem__, words))
+        return self.chunks[head] + b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
@@ -123,7 +110,7 @@ class ForcedBoundaryEncoder:
             return self.encode_plain(text)
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += [self.encode_plain(text[at:m.start()]), self.added[m[0]].to_bytes(4, "little")]
+            out += [self.encode_plain(text[at:m.start()]), self.id_bytes[self.added[m[0]]]]
             at = m.end()
         return b"".join([*out, self.encode_plain(text[at:])])
 
@@ -133,6 +120,36 @@ class ForcedBoundaryEncoder:
         return b"".join(map(table.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
+class ForcedBoundaryEncoder(PieceEncoder):
+    """The same ids by forced-boundary splitting.
+
+    Merging never joins two bytes that stand side by side in no vocabulary token, for the joined
+    token would hold that pair. So each such pair is a certain cut: the fragments between cuts
+    are encoded on their own, each distinct one once, and their ids concatenated.
+    """
+
+    def __init__(self, path: str, cache: int = WORD_CACHE):
+        super().__init__(path, cache)
+        self.joined = {t[i:i + 2] for t in self.vocabulary for i in range(len(t) - 1)}
+        self.fragments = Remembered(super().encode_letters)
+
+    def cut(self, letters: str) -> list[str]:
+        """Fragments between certain cuts."""
+        joined = self.joined
+        if joined.issuperset(map(add, letters, letters[1:])):
+            return [letters]
+        ends = [i for i, pair in enumerate(map(add, letters, letters[1:]), 1) if pair not in joined]
+        return [letters[a:b] for a, b in zip([0, *ends], [*ends, len(letters)])]
+
+    def encode_letters(self, letters: str) -> bytes:
+        fragments = self.cut(letters)
+        if len(fragments) == 1:  # the caller remembers the whole piece
+            return super().encode_letters(letters)
+        if len(self.fragments) > self.limit:
+            self.fragments.clear()
+        return b"".join(map(self.fragments.__getitem__, fragments))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryEncoder:
     """One encoder per worker process; its caches live as long as the worker."""

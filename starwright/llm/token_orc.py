@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -12,61 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starwright.llm.bpe import CHUNK, OTHER_SPACES, vocabulary_path
+from starwright.llm.bpe import PieceEncoder, vocabulary_path
+from starwright.llm.common import stage
 from starwright.llm.registry import query, table
 from starwright.session import scratch_path
 
 END_ID = 2
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-TASK_BYTES = 64 << 20  # of stored input for each range of document ids
-WORD_CACHE = 1_000_000
-
-
-class WordwiseEncoder:
-    """Whole texts through the tokenizers library, each distinct word once.
-
-    Byte-level BPE never joins what stands before a run of white space with that run, so the
-    ids of a text are those of its words, white space in front, one after the other.
-    Texts that hold a special token's string go to the library in one piece.
-    """
-
-    def __init__(self, path: str, cache: int = WORD_CACHE):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit = cache
-        self.words: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in coded]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.limit:
-            self.words.clear()
-        words, parts = self.words, []
-        for text in texts:
-            if any(s in text for s in self.special):
-                parts.append(None)
-            elif OTHER_SPACES.search(text):
-                parts.append(CHUNK.findall(text))
-            else:
-                head, *rest = text.split(" ")
-                parts.append([head, *[" " + w for w in rest]] if head else [" " + w for w in rest])
-        new = list({w for p in parts if p for w in p if w not in words})
-        words.update(zip(new, self.ids(new)))
-        known = words.__getitem__
-        return [self.ids([t])[0] if p is None else b"".join(map(known, p)) for t, p in zip(texts, parts)]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordwiseEncoder:
-    return WordwiseEncoder(path)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def encode_documents(
@@ -79,7 +36,7 @@ def encode_documents(
             # some hundred texts at a time, so that long ones do not pile up
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                coded = bpe.encode_batch([v or "" for v in part.column(1).to_pylist()])
+                coded = [bpe.encode(v or "") for v in part.column(1).to_pylist()]
                 raw = b"".join(c + end for c in coded)
                 counts = np.array([len(c) // 4 + 1 for c in coded], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -143,9 +100,10 @@ def token_digests(spark: SparkSession, target: str) -> DataFrame:
                  pa.array(crcs, pa.int64()), batch.column(2)],
                 ["doc_id", "n_tokens", "ids_crc32", "file"])
 
-    rows = read_token_orc(spark, target).select(
+    # staged, since the files are read for the totals and again for the rows
+    rows = stage(read_token_orc(spark, target).select(
         "doc_id", "tokens", F.col("_metadata.file_path").alias("file")).mapInArrow(
-        batches, "doc_id long, n_tokens long, ids_crc32 long, file string")
+        batches, "doc_id long, n_tokens long, ids_crc32 long, file string"), "token-digests")
     files = rows.groupBy("file").agg(
         F.sum("n_tokens").alias("sum"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     # one row per file
