@@ -19,7 +19,8 @@ STEP = 1.1  # ratio of neighbouring register values
 # a minimum above this many times 1 / n is cut off; some register of a document is empty with
 # probability e**-7, and an empty one is just one more value
 CUT = float(np.log(REGISTERS)) + 7
-MARGIN = 0.25  # pairs estimated this much below the threshold are not verified: some 8 deviations
+MARGIN = 0.10  # pairs estimated this much below the threshold are not verified: 4 deviations, 3 in 100,000
+STARS = 3  # rounds of one head against its bucket before the remaining pairs are tried
 
 
 def sketch(hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
@@ -89,10 +90,10 @@ def near_duplicates(
     1. One pass over the texts makes the registers. Equal sets become one class, and one member
        goes on, so copies cost nothing further.
     2. Registers are banded (40 bands of 6; a pair at 0.8 shares no band with probability 5e-6, one
-       at 0.9 with 1e-13). Of each document the smallest bucket mate is tried first, then other
-       bucket heads in other components, then what is left: pairs of a bucket whose components
-       still differ. So a bucket of thousands of near copies costs a pair each, no link between
-       components is left untried, and nothing is capped.
+       at 0.9 with 1e-13). Of each bucket the member that meets most others is tried against the rest, then
+       the next one outside the main component, then what is left: pairs of a bucket whose
+       components still differ. So a bucket of thousands of near copies costs a few pairs each, no
+       link between components is left untried, and nothing is capped.
     3. A pair is verified on the full sets unless its likelihood estimate is far below the
        threshold or its sizes rule it out.
     """
@@ -122,8 +123,11 @@ def near_duplicates(
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
         i, F.col("registers").substr(i * ROWS + 1, F.lit(ROWS))))
     bands = reps.select(F.col("rep").alias("id"), "n", F.explode(band).alias("key"))
-    heads = bands.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1")
-    members = stage(bands.join(heads.drop("c"), "key"), "near-buckets")
+    shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    found = stage(bands.join(shared, "key"), "near-found")
+    # whoever meets most others is central: an original meets its copies more than they each other
+    central = found.groupBy("id").agg(F.sum("c").alias("met"))
+    members = stage(found.drop("c").join(central, "id"), "near-buckets")
 
     ids = stage(members.select("id").distinct(), "near-ids")
 
@@ -164,24 +168,27 @@ def near_duplicates(
             shared.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
             .select("a", "b"), "near-links")
 
-    def labelled(labels: DataFrame) -> DataFrame:
-        return members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    links = verified(members.where("id <> head").groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a")))
-    labels = components(links, "near-components")
-    heads_of = labels.select(F.col("id").alias("head"), F.col("component").alias("hc"))
-    star = labelled(labels).where("id <> head").join(heads_of, "head", "left").where(
-        F.coalesce("hc", "head") != F.col("component"))
-    links = links.unionByName(verified(
-        star.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()))
-    labels = components(links, "near-components")
-    named = stage(labelled(labels).select("key", "id", "n", "component"), "near-named")
-    # the component with most members of a bucket; its members need not be tried with each other
-    sizes = named.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds")).where(
-        "kinds > 1").select("key", "main")
-    minor = named.join(main, "key").where("component <> main")
+    # stars: the most central member of a bucket against all others, then the most central of
+    # those still outside the bucket's main component, and again
+    lead = F.max_by("id", F.struct("met", -F.col("id")))
+    labels = members.select("id", F.col("id").alias("component")).distinct()
+    links = tried = None
+    for turn in range(STARS):
+        named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ones = named if tried is None else outside_main(named).join(tried, ["key", "id"], "left_anti")
+        heads = stage(open_ones.groupBy("key").agg(lead.alias("head")), "near-heads")
+        of_head = named.select("key", F.col("id").alias("head"), F.col("component").alias("hc"))
+        star = named.join(heads.join(of_head, ["key", "head"]), "key").where("component <> hc")
+        fresh = verified(star.select(
+            F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct())
+        links = fresh if links is None else links.unionByName(fresh)
+        labels = components(links, "near-components")
+        done = heads.withColumnRenamed("head", "id")
+        tried = done if tried is None else tried.unionByName(done)
+    named = stage(members.join(labels, "id", "left").select(
+        "key", "id", "n", F.coalesce("component", "id").alias("component")), "near-named")
+    # members of the main component need not be tried with each other
+    minor = outside_main(named)
     other = named.select("key", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("component").alias("oc"))
     rest = minor.join(other, "key").where(
         (F.col("component") != F.col("oc"))
@@ -202,6 +209,17 @@ def near_duplicates(
         F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def outside_main(named: DataFrame) -> DataFrame:
+    """Rows of ``named`` outside the component that most members of their bucket have, with ``main``.
+
+    Buckets of one component have no such rows.
+    """
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds"))
+    return named.join(main.where("kinds > 1").select("key", "main"), "key").where("component <> main")
+
+
 def hash_of_set(items: np.ndarray) -> bytes:
     """128 bits of a set of 64-bit hashes, whatever their order."""
     with np.errstate(over="ignore"):
