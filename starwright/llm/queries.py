@@ -8,6 +8,7 @@ from starwright.llm import (  # noqa: F401  (registers the queries)
     mil_quality,
     pivotal_mix,
     setsketch,
+    tag_paths,
     token_orc,
     warc_revisit,
 )
