@@ -6,6 +6,7 @@ from starwright.llm import (  # noqa: F401  (registers the queries)
     bpe,
     exact_dedup,
     mil_quality,
+    nn_descent,
     pivotal_mix,
     setsketch,
     tag_paths,
