@@ -16,20 +16,32 @@ def propagate(state: DataFrame, groups: DataFrame, quota: DataFrame, rounds: int
 
     ``state (group, shard, n)`` says how many members of a group carry which label; members of
     a group are alike, so counts stand for them. In each round a group wants its members in
-    the shard where most of them are, or, if it is larger than a shard, in as many of its
-    fullest shards as it needs. What a shard takes in is bounded by its free room; requests are
+    the shard with room where most of them are, or, if it is larger than a shard, in as many
+    shards as it needs. What a shard takes in is bounded by its free room; requests are
     served in a fixed order by running totals. So no shard ever exceeds its quota.
     """
-    spark = state.sparkSession
     room_of = quota.select("shard", "quota")
     largest = quota.agg(F.max("quota")).first()[0]
-    for _ in range(rounds):
+    for turn in range(rounds):
         used = state.groupBy("shard").agg(F.sum("n").alias("used"))
         room = room_of.join(used, "shard", "left").select(
             "shard", (F.col("quota") - F.coalesce("used", F.lit(0))).alias("room"))
-        by_size = Window.partitionBy("group").orderBy(F.desc("n"), "shard")  # a row per shard
+        free = [r["shard"] for r in room.where("room > 0").orderBy(F.desc("room"), "shard").collect()]
+        if not free:  # one number per shard came to the driver
+            break
+        # a split group may also gather in some shard with room where it has no member yet
+        split = state.groupBy("group").agg(F.count("*").alias("c")).where("c > 1")
+        offered = F.element_at(F.array(*map(F.lit, free)), F.pmod(
+            F.xxhash64("group", F.lit(turn)), F.lit(len(free))).cast("int") + 1)
+        fresh = split.select("group", offered.cast("int").alias("shard"), F.lit(0).cast("long").alias("n"))
+        labels = state.unionByName(fresh.join(state, ["group", "shard"], "left_anti"))
+        # whole already, then shards with room, then by members: a row per shard
+        whole = F.col("n") >= F.least("members", F.lit(largest))
+        by_size = Window.partitionBy("group").orderBy(
+            F.desc(whole), F.desc(F.col("room") > 0), F.desc("n"), "shard")
         ranked = (
-            state.join(groups, "group").withColumn("rank", F.row_number().over(by_size))
+            labels.join(groups, "group").join(F.broadcast(room), "shard")
+            .withColumn("rank", F.row_number().over(by_size)).drop("room")
             .withColumn("want", F.greatest(F.lit(0), F.least(
                 F.lit(largest), F.col("members") - (F.col("rank") - 1) * F.lit(largest)))))
         asks = ranked.where("want > n").select("group", "shard", (F.col("want") - F.col("n")).alias("ask"))
@@ -53,7 +65,6 @@ def propagate(state: DataFrame, groups: DataFrame, quota: DataFrame, rounds: int
             .select("group", "shard", (F.coalesce("n", F.lit(0)) + F.coalesce("got", F.lit(0))
                                        - F.coalesce("lost", F.lit(0))).alias("n"))
             .where("n > 0"), "shard-state")
-    assert state.sparkSession is spark
     return state
 
 
