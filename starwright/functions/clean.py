@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 NULL_TOKENS = ("", "N/A", "-")
 NULL_DATES = ("", "None", "0000-00-00")
 
-# Month names as written in civic data feeds.
-MONTH_NAMES = (
-    "january", "february", "march", "april", "may", "june",
-    "july", "august", "september", "october", "november", "december",
-)
 
 
 def as_column(value: Column | str) -> Column:
@@ -62,47 +57,25 @@ def to_timestamp(col: Column | str, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.when(~F.trim(text).isin(*NULL_DATES), F.try_to_timestamp(text, F.lit(fmt)))
 
 
-def _slash_date(text: Column) -> Column:
-    """``M/D/YYYY`` rewritten as ``YYYY-MM-DD``; NULL when there are not 3 parts."""
-    part = F.split(text, "/")
-    return F.concat_ws(
-        "-", F.get(part, F.lit(2)), F.lpad(F.get(part, F.lit(0)), 2, "0"),
-        F.lpad(F.get(part, F.lit(1)), 2, "0"),
-    )
+def first_readable(*tries: tuple[Column, str]) -> Column:
+    """The timestamp of the first (text, format) that fits; NULL if none does."""
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for text, fmt in tries])
 
 
 def to_date_any(col: Column | str) -> Column:
     """Date from ISO (with or without time), M/D/YYYY, ``Month DD YYYY`` or a year."""
     text = F.trim(as_column(col))
-    word = F.split(text, " ")
-    month = F.array_position(
-        F.array(*[F.lit(m) for m in MONTH_NAMES]), F.lower(F.get(word, F.lit(0)))
-    )
-    named = (F.size(word) == 3) & (month > 0)
-    iso = (
-        F.when(named, F.concat_ws(
-            "-", F.get(word, F.lit(2)), F.lpad(month.cast("string"), 2, "0"),
-            F.lpad(F.get(word, F.lit(1)), 2, "0")))
-        .when(text.contains("T"), F.substring(text, 1, 10))
-        .when(text.contains("/"), _slash_date(text))
-        .when(F.length(text) == 4, F.concat(text, F.lit("-01-01")))
-        .otherwise(text)
-    )
-    return F.when(F.length(text) > 0, F.try_to_timestamp(iso, F.lit("yyyy-MM-dd"))).cast("date")
+    return first_readable(
+        (F.substring_index(text, "T", 1), "yyyy-MM-dd"), (text, "M/d/yyyy"),
+        (F.initcap(text), "MMMM d yyyy"), (text, "yyyy")).cast("date")
 
 
 def to_timestamp_any(col: Column | str) -> Column:
     """Timestamp from ISO, M/D/YYYY, a bare date or a bare year."""
     text = F.trim(as_column(col))
-    midnight = F.lit(" 00:00:00")
-    full = (
-        F.when(text.contains("T"), F.regexp_replace(F.substring(text, 1, 19), "T", " "))
-        .when(text.contains("/"), F.concat(_slash_date(text), midnight))
-        .when(F.length(text) == 10, F.concat(text, midnight))
-        .when(F.length(text) == 4, F.concat(text, F.lit("-01-01"), midnight))
-        .otherwise(text)
-    )
-    return F.when(F.length(text) > 0, F.try_to_timestamp(full, F.lit("yyyy-MM-dd HH:mm:ss")))
+    return first_readable(
+        (F.translate(F.substring(text, 1, 19), "T", " "), "yyyy-MM-dd HH:mm:ss"),
+        (text, "yyyy-MM-dd"), (text, "M/d/yyyy"), (text, "yyyy"))
 
 
 def year_or_date(year: Column | str | None, date: Column | str) -> Column:
@@ -118,12 +91,15 @@ def surrogate_key(*cols: Column | str, bits: int = 64, separator: str = "_") ->
     32-bit form is kept for tables keyed that way; its one overflow value
     (the smallest int) is mapped to NULL instead of failing.
     """
-    text = F.concat_ws(separator, *[as_column(c).cast("string") for c in cols])
+    parts = [as_column(c).cast("string") for c in cols]
+    given = F.coalesce(*parts).isNotNull()
+    # a NULL part has its own mark, so that (a, NULL, b) and (a, b, NULL) differ
+    text = F.when(given, F.concat_ws(separator, *[F.coalesce(p, F.lit("\u0000")) for p in parts]))
     if bits == 64:
-        return F.pmod(F.xxhash64(text), F.lit(2**63 - 1))
+        return F.when(given, F.pmod(F.xxhash64(text), F.lit(2**63 - 1)))
     if bits == 32:
         code = F.hash(text)
-        return F.when(code > F.lit(-(2**31)), F.abs(code))
+        return F.when(given & (code > F.lit(-(2**31))), F.abs(code))
     raise ValueError("bits must be 32 or 64")
 
 

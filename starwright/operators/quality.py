@@ -153,7 +153,7 @@ def time_coverage(df: DataFrame, date: str, entity: str | None = None) -> DataFr
     return df.agg(*aggs)
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], limit: int | None = 10) -> DataFrame:
+def duplicate_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
     """Keys with more than one row, most rows first; the limit is that of the report."""
     out = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
            .filter(F.col("copies") > 1).orderBy(F.desc("copies"), *keys))

@@ -127,7 +127,7 @@ def federated_union(models: Mapping[str, DataFrame], key: str = "domain_source")
     return union([df.withColumn(key, F.lit(name)) for name, df in models.items()])
 
 
-def distinct_values(df: DataFrame, col: str, limit: int | None = 10_000) -> DataFrame:
+def distinct_values(df: DataFrame, col: str, limit: int | None = None) -> DataFrame:
     """Sorted distinct non-null values; the limit is that of a value list in a report."""
     out = df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col)
     return out if limit is None else out.limit(limit)
@@ -135,7 +135,7 @@ def distinct_values(df: DataFrame, col: str, limit: int | None = 10_000) -> Data
 
 def values_by_measure(
     df: DataFrame, col: str | Column, measure: str | Column, descending: bool = True,
-    context: Iterable[tuple[str | Column, object]] = (), limit: int | None = 10_000,
+    context: Iterable[tuple[str | Column, object]] = (), limit: int | None = None,
 ) -> DataFrame:
     """Distinct values ordered by the average of a measure, under context filters."""
     for field, value in context:

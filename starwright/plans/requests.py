@@ -16,7 +16,6 @@ from starwright.operators.quantiles import exact_percentiles
 from starwright.plans.catalog import Catalog
 
 MAX_ROWS = 30_000     # rows of one response
-MAX_VALUES = 10_000   # entries of one value list
 MAX_RESPONSE_MB = 4
 
 
@@ -168,7 +167,7 @@ def pivot_request(
 
 def value_list(
     catalog: Catalog, field: str, order_by: str | None = None, descending: bool = True,
-    context: Sequence[tuple[str, object]] = (), limit: int = MAX_VALUES,
+    context: Sequence[tuple[str, object]] = (), limit: int | None = None,
 ) -> DataFrame:
     """Distinct values of a field, sorted by value or by the average of a measure."""
     refs = [field, *([order_by] if order_by else []), *[f for f, _ in context]]

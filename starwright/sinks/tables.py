@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starwright.operators.setops import keep_one
+from starwright.session import durable
 from starwright.sources.tables import path_exists, scan
 
 FORMAT = "parquet"
@@ -29,6 +30,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, path)
 
 
+def open_table(spark: SparkSession, path: str) -> DataFrame:
+    """The committed version of a table, after an interrupted swap has been finished."""
+    table_exists(spark, path)
+    return scan(spark, path)
+
+
 def _fs(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
@@ -141,9 +148,12 @@ def append_immutable(
 ) -> str:
     """Append rows whose key is not stored yet; stored rows never change.
 
-    The stored side of the anti join is cut to the batch's date range, which skips row
-    groups: only the bounds of the batch come to the driver. ``year_column`` names a
-    partition column that holds the year of the date, so that partitions are skipped too.
+    Keys are compared NULL-safe, so a NULL key is stored once as well. Where the date is one
+    of the keys, the stored side of the anti join is cut to the batch's date range and
+    to rows without a date, which skips row groups: only the bounds of the batch come to
+    the driver. ``year_column`` names a partition column that holds the year of the date, so that
+    partitions are skipped too. A date outside the key says nothing about where a
+    key may be stored; then all stored keys are compared.
     """
     spark = df.sparkSession
     keys = resolve_keys(df, keys)
@@ -151,17 +161,19 @@ def append_immutable(
     if not table_exists(spark, path):
         return write(batch, path, "overwrite", partitions)
     stored = scan(spark, path)
-    batch = aligned(batch, stored)
+    batch = durable(aligned(batch, stored))  # the bounds and the rows are of one run of the source
     held = stored
-    if date_column and date_column in df.columns:
-        low, high = aligned(df, stored).agg(F.min(date_column), F.max(date_column)).first()
-        if low is None:
-            return path
-        held = held.filter(F.col(date_column).between(F.lit(low), F.lit(high)))
-        if year_column:
-            held = held.filter(F.col(year_column).between(low.year, high.year))
-    fresh = batch.join(held.select(*keys), keys, "left_anti").select(*batch.columns)
-    return write(fresh, path, "append", partitions)
+    if date_column and date_column in keys:
+        low, high = batch.agg(F.min(date_column), F.max(date_column)).first()
+        undated = F.col(date_column).isNull()
+        dated = F.lit(False) if low is None else F.col(date_column).between(F.lit(low), F.lit(high))
+        if year_column and low is not None:
+            dated = dated & F.col(year_column).between(low.year, high.year)
+        held = held.filter(dated | undated)
+    names = {k: f"__held_{i}" for i, k in enumerate(keys)}
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    known = held.select(*[F.col(k).alias(n) for k, n in names.items()])
+    return write(batch.join(known, same, "left_anti"), path, "append", partitions)
 
 
 def merged(
@@ -246,7 +258,7 @@ def merge(
     """Conditional merge: matched rows take ``update`` (column → SQL over ``t.`` and ``s.``),
     unmatched source rows are inserted by ``insert``. None stands for all source columns."""
     spark = source.sparkSession
-    stored = scan(spark, path)
+    stored = open_table(spark, path)
     keyed = keep_one(source, on)
     t = stored.withColumn("__t", F.lit(True)).alias("t")
     s = keyed.withColumn("__s", F.lit(True)).alias("s")
@@ -272,7 +284,7 @@ def merge_delete(
     source: DataFrame, path: str, on: Sequence[str], partitions: Sequence[str] | None = None,
 ) -> str:
     """Delete the stored rows a source row matches."""
-    stored = scan(source.sparkSession, path)
+    stored = open_table(source.sparkSession, path)
     return replace(stored.join(source.select(*on), list(on), "left_anti").select(*stored.columns),
                    path, partitions)
 
@@ -282,7 +294,7 @@ def delete_where(
     partitions: Sequence[str] | None = None,
 ) -> int:
     """Delete matching rows; returns their number. A dry run only counts."""
-    stored = scan(spark, path)
+    stored = open_table(spark, path)
     n = stored.filter(condition).count()
     if n and not dry_run:
         test = F.expr(condition) if isinstance(condition, str) else condition
@@ -297,7 +309,7 @@ def cluster(
 ) -> str:
     """Compact a table into ``files`` range-clustered files, sorted inside, so that min/max
     statistics skip row groups. Long runs of one value are spread by the row hash."""
-    stored = scan(spark, path)
+    stored = open_table(spark, path)
     salt = F.xxhash64(*[c for c in stored.columns
                         if not isinstance(stored.schema[c].dataType, (T.MapType, T.ArrayType))])
     laid = stored.repartitionByRange(files, *columns, salt).sortWithinPartitions(*columns)

@@ -18,8 +18,12 @@ CALENDAR_RANGE = ("1970-01-01", "2069-12-31")
 
 
 def day_dimension(data: Data) -> DataFrame:
-    """The calendar: 36,525 generated rows, whatever the size of the facts."""
-    return calendar(data.spark, *CALENDAR_RANGE)
+    """The calendar: the usual range, widened to whole years that hold every dated fact."""
+    low, high = data.orders.agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    first, last = CALENDAR_RANGE
+    if low is not None:
+        first, last = min(first, f"{low.year:04d}-01-01"), max(last, f"{high.year:04d}-12-31")
+    return calendar(data.spark, first, last)
 
 
 def dated_orders(data: Data) -> DataFrame:

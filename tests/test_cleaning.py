@@ -47,10 +47,14 @@ def test_blank_tokens(spark):
 def test_keys(spark):
     df = texts(spark, "a", "b", None)
     keys = one(df, clean.surrogate_key("t"))
-    assert keys[0] != keys[1] and all(k >= 0 for k in keys)
+    assert keys[0] != keys[1] and keys[2] is None and all(k >= 0 for k in keys[:2])
     assert all(k is None or k >= 0 for k in one(df, clean.surrogate_key("t", bits=32)))
     with pytest.raises(ValueError):
         clean.surrogate_key("t", bits=16)
+    parts = spark.createDataFrame(
+        [("a", None, "b"), ("a", "b", None), ("a_b", None, None), (None, None, None)], "x string, y string, z string")
+    keys = one(parts, clean.surrogate_key("x", "y", "z"))
+    assert len(set(keys)) == 4 and keys[3] is None
 
 
 def test_date_key_round_trip(spark):

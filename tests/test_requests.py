@@ -117,7 +117,8 @@ def test_library_keeps_data_on_the_cluster():
         text = path.read_text()
         assert "localCheckpoint" not in text and ".toPandas(" not in text and ".rdd" not in text, path
         if re.search(r"\.collect\(\)", text):
-            assert path.name == "pivot.py", path  # the at most 201 column values
+            # the at most 201 column values, a bounded training sample, a number per shard
+            assert path.name in ("pivot.py", "mil_quality.py", "balanced_shards.py"), path
 
 
 def test_daily_bars_do_not_depend_on_row_order(data):
@@ -127,3 +128,12 @@ def test_daily_bars_do_not_depend_on_row_order(data):
     mixed = Data(data.spark, data.folder, {"lineitem": data.lineitem.repartition(5, F.rand(3))})
     names = ["ticker", "trade_date", "open", "high", "low", "close"]
     assert rows(daily_bars(mixed).select(*names)) == rows(daily_bars(data).select(*names))
+
+
+def test_date_bounds_that_cannot_be_read_raise():
+    from starwright.operators.filters import to_date_key
+
+    assert to_date_key("2024-02-03") == to_date_key("2024/02/03T01:00") == to_date_key("20240203") == 20240203
+    for bad in ("soon", "2024-13-01", ""):
+        with pytest.raises(ValueError):
+            to_date_key(bad)

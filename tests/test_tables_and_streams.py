@@ -186,3 +186,24 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
         stream = loads.file_stream(spark, source, kv(spark, [(0, 0)]).schema)
         loads.refill_stream(stream, path, scratch_path(spark, "state")).start().awaitTermination()
     assert scan(spark, path).count() == 1
+
+
+def test_append_null_dates_and_keys(spark, tmp_path):
+    path = str(tmp_path / "nulls")
+    kinds = "k int, d date, v string"
+    day = dt.date(2024, 1, 1)
+    first = spark.createDataFrame([(1, day, "a"), (None, day, "b"), (3, None, "c")], kinds)
+    for keys in (["k"], ["k", "d"]):
+        at = path + str(len(keys))
+        for batch in (first, first, spark.createDataFrame([(4, None, "d"), (3, None, "x")], kinds)):
+            sink.append_immutable(batch, at, keys, date_column="d")
+        got = sorted(((r["k"], r["v"]) for r in scan(spark, at).collect()), key=repr)
+        assert got == [(1, "a"), (3, "c"), (4, "d"), (None, "b")]
+
+
+def test_append_key_that_moves_its_date(spark, tmp_path):
+    path = str(tmp_path / "moved")
+    for day in (1, 20):
+        batch = spark.createDataFrame([(7, dt.date(2024, 1, day), str(day))], "k int, d date, v string")
+        sink.append_immutable(batch, path, ["k"], date_column="d")
+    assert [r["v"] for r in scan(spark, path).collect()] == ["1"]
