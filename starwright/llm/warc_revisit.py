@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starwright.llm.common import stage
 from starwright.llm.registry import query, table
 from starwright.operators.ordered import GlobalOrder
 
@@ -63,11 +64,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     revisits = base.where("kind = 'revisit'").select("record_id", "key", "captured_at", "headers")
     # a revisit given twice is found twice with the same answer
     answer = found.groupBy("rid").agg(F.max("response_id").alias("response_id"))
-    stored = base.where(full).groupBy("record_id").agg(
-        F.max(F.map_entries("headers")).alias("entries")).select(
-        F.col("record_id").alias("response_id"), F.map_from_entries("entries").alias("kept"))
-    joined = (revisits.join(answer, F.col("record_id").eqNullSafe(F.col("rid")), "left")
-              .join(stored, "response_id", "left"))
+    stored = base.where(full).groupBy("record_id").agg(F.max(F.map_entries("headers")).alias("entries"))
+    # staged, so that the join below reads plain shuffles on both sides, whose hot keys are split
+    stored = stage(stored.select(F.col("record_id").cast("string").alias("stored_id"), "entries"), "revisit-stored")
+    stored = stored.select("stored_id", F.map_from_entries("entries").alias("kept"))
+    # revisits without a response match none, and are spread instead of meeting under one NULL
+    spread = F.concat(F.lit("none "), F.xxhash64("record_id", "captured_at").cast("string"))
+    joined = revisits.join(answer, F.col("record_id").eqNullSafe(F.col("rid")), "left").withColumn(
+        "stored_id", F.coalesce(F.col("response_id").cast("string"), spread)).join(stored, "stored_id", "left")
     tag, date = F.col("headers")["etag"], F.col("headers")["last-modified"]
     kept_tag, kept_date = F.col("kept")["etag"], F.col("kept")["last-modified"]
     outcome = (
