@@ -68,18 +68,40 @@ def rsi_of(avg_gain: Column, avg_loss: Column) -> Column:
     return F.coalesce(100 - F.try_divide(F.lit(100.0), 1 + strength), F.lit(50.0))
 
 
-# Frames an indicator reaches back over, for the halo of chunked series.
-def reach(spec: Mapping[str, object]) -> int:
+def frame_rows(spec: Mapping[str, object]) -> tuple[int, list[str]]:
+    """Rows before its own that an indicator's frame holds, and the columns it is made of."""
     kind = spec["indicator"]
-    if kind in ("ema",):
-        return 3 * int(spec["period"])
+    if kind == "ema":
+        return 3 * int(spec["period"]) - 1, [spec["source"]]
+    if kind == "sma":
+        return int(spec["period"]) - 1, [spec["source"]]
+    if kind == "bollinger":
+        return int(spec["period"]) - 1, [spec.get("source", "adjusted_close")]
+    if kind in ("rsi", "volatility"):  # over differences, which need one row more
+        return int(spec["period"]), [spec["source"]]
+    if kind == "atr":
+        return int(spec["period"]), ["high", "low", "close"]
+    if kind == "macd_line":
+        return 0, [f"ema_{spec.get('fast', 12)}", f"ema_{spec.get('slow', 26)}"]
     if kind == "macd_signal":
-        return 3 * int(spec.get("signal", 9)) + 3 * int(spec.get("slow", 26))
-    if kind in ("sma", "bollinger"):
-        return int(spec["period"])
-    if kind in ("rsi", "volatility", "atr"):
-        return int(spec["period"]) + 1
-    return 1
+        return 3 * int(spec.get("signal", 9)) - 1, [spec.get("macd_col", "macd")]
+    if kind == "macd_histogram":
+        return 0, [spec.get("macd_col", "macd"), spec.get("signal_col", "macd_signal")]
+    if kind == "volume_ratio":
+        return 0, ["volume", spec.get("sma_col", "volume_sma_20")]
+    raise ValueError(f"unknown indicator {kind!r}")
+
+
+def reach(
+    column: str, specs: Mapping[str, Mapping[str, object]], inputs: Sequence[str], above: Sequence[str] = (),
+) -> int:
+    """Rows before its own that a column depends on: its frame, and what the longest source needs on top."""
+    if column not in specs or column in above:
+        if column not in inputs:
+            raise ValueError(f"source {column!r} is neither a column nor an indicator of this call")
+        return 0
+    own, sources = frame_rows(specs[column])
+    return own + max(reach(s, specs, inputs, [*above, column]) for s in sources)
 
 
 def indicators(
@@ -183,8 +205,11 @@ def long_indicators(
     df: DataFrame, specs: Mapping[str, Mapping[str, object]], entity: Sequence[str],
     order: Sequence[str], coarse: Column, chunk_rows: int = 100_000,
 ) -> DataFrame:
-    """The same over series of any length, cut into chunks (see ``chunked_windows``)."""
-    halo = max(reach(s) for s in specs.values())
+    """The same over series of any length, cut into chunks (see ``chunked_windows``).
+
+    Chunks overlap by the longest chain of frames, such as the signal of a MACD of EMAs.
+    """
+    halo = max((reach(n, specs, df.columns) for n in specs), default=0)
     return chunked_windows(df, entity, order, coarse,
                            lambda d, w: indicators(d, specs, w), halo, chunk_rows)
 
@@ -208,7 +233,21 @@ def add_technicals(
 ) -> DataFrame:
     """Daily return and the standard set; falls back to ``close`` as the price."""
     price = price if price in df.columns else "close"
-    w = series_window(entity, order)
+    return _technicals(df, series_window(entity, order), price)
+
+
+def long_technicals(
+    df: DataFrame, entity: Sequence[str], order: Sequence[str], coarse: Column,
+    price: str = "adjusted_close", chunk_rows: int = 100_000,
+) -> DataFrame:
+    """:func:`add_technicals` over series of any length, cut into chunks."""
+    price = price if price in df.columns else "close"
+    specs = technicals_specs(price)
+    halo = max(reach(n, specs, df.columns) for n in specs)
+    return chunked_windows(df, entity, order, coarse, lambda d, w: _technicals(d, w, price), halo, chunk_rows)
+
+
+def _technicals(df: DataFrame, w: WindowSpec, price: str) -> DataFrame:
     with_return = df.withColumn(
         "daily_return", percent_return(F.col(price), F.lag(price, 1).over(w)))
     return indicators(with_return, technicals_specs(price), w)

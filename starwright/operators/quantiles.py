@@ -1,18 +1,21 @@
 """Exact percentiles without gathering a group in one task.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer. Here a
-mergeable sketch brackets the wanted ranks first, then everything outside the bracket is
-reduced to a count on the map side; only the few values in the bracket are ranked.
+mergeable sketch brackets the wanted ranks first, then everything outside the brackets is
+reduced to counts on the map side; only the values in the brackets are ranked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starwright.session import durable
+from starwright.operators.ordered import GlobalOrder
+
+BROADCAST_GROUPS = 50_000  # one row of bracket ends per group: some megabytes
 
 
 def exact_percentiles(
@@ -21,8 +24,11 @@ def exact_percentiles(
 ) -> DataFrame:
     """Continuous percentiles per group (one row overall when ``by`` is empty).
 
-    Reads the input twice, however many percentiles are asked for; the second pass shuffles
-    about ``4/accuracy`` of the distinct values per percentile. NULL values are left out.
+    Reads the input twice, however many percentiles are asked for. Without groups the brackets are
+    literals; those of at most BROADCAST_GROUPS groups are broadcast, so raw rows are not
+    shuffled by their group. With more groups, rows are counted by (group, value) before they
+    meet the brackets. The values in brackets, about ``4/accuracy`` of the distinct ones
+    per percentile, are ranked over range partitions. NULL values are left out.
     """
     names = list(names or [f"p{round(p * 100):g}" for p in probs])
     keys = [f"__k{i}" for i in range(len(by))] or ["__k0"]
@@ -36,55 +42,57 @@ def exact_percentiles(
         F.percentile_approx("__v", ends, accuracy).alias("__q"),
         F.count(F.lit(1)).alias("__n"),
     )
-    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    # -1, 0, 1: the value lies below, in or above the bracket of a percentile
-    zones = [F.when(F.col("__v") < F.col("__q")[2 * i], -1)
-             .when(F.col("__v") > F.col("__q")[2 * i + 1], 1).otherwise(0).alias(f"__z{i}")
-             for i in range(len(probs))]
-    zone_names = [f"__z{i}" for i in range(len(probs))]
-    zoned = src.alias("s").join(sketch.alias("b"), same).select(
-        *[F.col(f"s.{k}").alias(k) for k in keys], "__v", "__n", *zones)
-    in_any = F.lit(False)
-    for z in zone_names:
-        in_any = in_any | (F.col(z) == 0)
-    # small and read once per percentile: kept, so that the input is not read again for each
-    counted = durable(zoned.groupBy(
-        *keys, "__n", *zone_names, F.when(in_any, F.col("__v")).alias("__in")
-    ).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max")))
-    out = counted.select(*keys).distinct()
-    for p, name, zone in zip(probs, names, zone_names):
-        got = _percentile(counted, keys, zone, p, name)
-        match = [out[k].eqNullSafe(got[f"{k}r"]) for k in keys]
-        out = out.join(got, match, "left").drop(*[f"{k}r" for k in keys])
-    if not by:
-        return out.drop("__k0")
-    return out.withColumnsRenamed(dict(zip(keys, by)))
+    bracketed = _with_brackets(src, sketch, keys) if by else _with_bracket(src, sketch, len(ends))
+    q, v = F.col("__q"), F.col("__v")
+    pairs = [(q[2 * i], q[2 * i + 1]) for i in range(len(probs))]
+    inside = reduce(lambda a, b: a | b, [v.between(low, high) for low, high in pairs])
+    # what lies between two brackets is one row: its number of brackets below
+    below = reduce(lambda a, b: a + b, [F.when(v > high, 1).otherwise(0) for _, high in pairs])
+    counted = bracketed.groupBy(
+        *keys, "__n", "__before", F.when(inside, v).alias("__in"), F.when(~inside, below).alias("__lump"),
+    ).agg(F.sum("__c").alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    order = GlobalOrder(counted, [*keys, "__min"]).running_sum("__run", "__c")
+    placed = order.rows.withColumn("__top", F.col("__run") - F.col("__before"))
+    ranks = [F.lit(p) * (F.col("__n") - 1) for p in probs]
+    found = placed.groupBy(*keys).agg(*[
+        column for i, rank in enumerate(ranks) for column in (
+            F.max(_held(F.floor(rank))).alias(f"__l{i}"),
+            F.max(_held(F.least(F.floor(rank) + 1, F.col("__n") - 1))).alias(f"__u{i}"),
+            F.max(rank - F.floor(rank)).alias(f"__f{i}"))])
+    return found.select(
+        *[F.col(k).alias(c) for c, k in zip(by, keys)],
+        *[(F.col(f"__l{i}") + (F.col(f"__u{i}") - F.col(f"__l{i}")) * F.col(f"__f{i}")).alias(n)
+          for i, n in enumerate(names)])
+
 
+def _with_bracket(src: DataFrame, sketch: DataFrame, ends: int) -> DataFrame:
+    """The one bracket of a whole table as literals."""
+    row = sketch.select("__q", "__n").first()
+    bounds, n = (row["__q"], row["__n"]) if row else ([0.0] * ends, 0)
+    return src.select("*", F.lit(1).alias("__c"), F.lit(n).cast("long").alias("__n"),
+                      F.lit(0).cast("long").alias("__before"),
+                      F.array(*[F.lit(float(b)) for b in bounds]).alias("__q"))
 
-def _percentile(counted: DataFrame, keys: Sequence[str], zone: str, p: float, name: str) -> DataFrame:
-    """One percentile from counted values; the two outer zones are one row each."""
-    inside = F.when(F.col(zone) == 0, F.col("__in"))
-    parts = counted.groupBy(*keys, "__n", F.col(zone).alias("__zone"), inside.alias("__x")).agg(
-        F.sum("__c").alias("__c"), F.min("__min").alias("__min"), F.max("__max").alias("__max"))
-    w = Window.partitionBy(*keys).orderBy("__zone", "__x")
-    rank = F.lit(p) * (F.col("__n") - 1)
-    placed = parts.withColumn("__top", F.sum("__c").over(w)).withColumn(
-        "__k", F.floor(rank)).withColumn("__f", rank - F.col("__k"))
-    first = F.col("__top") - F.col("__c")
 
-    def held(k, at_min, at_max):
-        """Value at 0-based rank k if this row holds it; outer zones know only their ends."""
-        return (
-            F.when((k < first) | (k >= F.col("__top")), None)
-            .when(F.col("__zone") == 0, F.col("__x"))
-            .when((F.col("__zone") < 0) & (k == F.col("__top") - 1), at_max)
-            .when((F.col("__zone") > 0) & (k == first), at_min)
-            .otherwise(F.raise_error(F.lit("percentile outside its bracket")).cast("double"))
-        )
+def _with_brackets(src: DataFrame, sketch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the brackets of their group, and the rows of all groups before it."""
+    groups = GlobalOrder(sketch, keys).running_sum("__upto", "__n").result()
+    groups = groups.withColumn("__before", F.col("__upto") - F.col("__n")).drop("__upto")
+    if groups.count() <= BROADCAST_GROUPS:
+        rows, groups = src.withColumn("__c", F.lit(1)), F.broadcast(groups)
+    else:
+        rows = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    return rows.alias("s").join(groups.alias("b"), same).select(
+        *[F.col(f"s.{k}").alias(k) for k in keys], "__v", "__c", "__n", "__before", "__q")
 
-    lower = held(F.col("__k"), F.col("__min"), F.col("__max"))
-    upper = held(F.least(F.col("__k") + 1, F.col("__n") - 1), F.col("__min"), F.col("__max"))
-    ends = placed.groupBy(*keys).agg(
-        F.max(lower).alias("__l"), F.max(upper).alias("__u"), F.max("__f").alias("__f"))
-    return ends.select(*[F.col(k).alias(f"{k}r") for k in keys],
-                       (F.col("__l") + (F.col("__u") - F.col("__l")) * F.col("__f")).alias(name))
+
+def _held(k: Column) -> Column:
+    """Value at 0-based rank k if this row holds it; of a lump only the ends are known."""
+    top, first = F.col("__top"), F.col("__top") - F.col("__c")
+    return (
+        F.when((k < first) | (k >= top), None)
+        .when(F.col("__lump").isNull() | (k == first), F.col("__min"))
+        .when(k == top - 1, F.col("__max"))
+        .otherwise(F.raise_error(F.lit("percentile outside its bracket")).cast("double"))
+    )

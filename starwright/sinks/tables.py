@@ -27,6 +27,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
         old = f"{path.rstrip('/')}__old"
         if path_exists(spark, old):
             _rename(spark, old, path)
+    _finish_swap(spark, path.rstrip("/"))
     return path_exists(spark, path)
 
 
@@ -81,6 +82,7 @@ def write(
     if keys:
         writer = writer.partitionBy(*keys)
     if mode == "overwrite":
+        _remove(df.sparkSession, f"{path.rstrip('/')}__swap")  # an unfinished rewrite of what goes now
         writer = writer.option("partitionOverwriteMode", "static")
     writer.save(path)
     return path
@@ -117,6 +119,43 @@ def replace(
     return path
 
 
+def replace_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> str:
+    """New versions of those partitions that ``df`` has rows of; the others stay.
+
+    Written beside as a whole and committed by one rename to ``__swap``. From there every
+    partition is moved into its place; if the job dies on the way, the rest is moved by the next
+    :func:`table_exists`. A crash before the rename leaves the table as it was.
+    """
+    spark, base = df.sparkSession, path.rstrip("/")
+    staged = f"{base}__new_{uuid.uuid4().hex}"
+    write(df, staged, "overwrite", partitions)
+    _rename(spark, staged, f"{base}__swap")
+    _finish_swap(spark, base)
+    return path
+
+
+def _finish_swap(spark: SparkSession, base: str) -> None:
+    """Move what a committed partition rewrite still holds into the table; may be repeated."""
+    fs, swap = _fs(spark, f"{base}__swap")
+    if not fs.exists(swap):
+        return
+
+    def place(source, target) -> None:
+        entries = list(fs.listStatus(source))
+        if any(e.isFile() and e.getPath().getName()[0] not in "_." for e in entries):
+            fs.delete(target, True)
+            fs.mkdirs(target.getParent())
+            if not fs.rename(source, target):
+                raise OSError(f"could not rename {source} to {target}")
+            return
+        for entry in entries:
+            if entry.isDirectory():
+                place(entry.getPath(), spark._jvm.org.apache.hadoop.fs.Path(target, entry.getPath().getName()))
+
+    place(swap, _fs(spark, base)[1])
+    fs.delete(swap, True)
+
+
 def resolve_keys(df: DataFrame, keys: Sequence[str]) -> list[str]:
     """Key names as the frame spells them; unknown keys are an error."""
     by_lower = {c.lower(): c for c in df.columns}
@@ -182,24 +221,18 @@ def merged(
 ) -> DataFrame:
     """Stored rows with the batch merged in, one row per key; the winning row counts whole.
 
-    The batch is reduced to one row per key; then a full join of unique keys picks a side,
-    so no key gathers more than one stored and one new row.
+    Both sides are united and reduced to one row per key in one shuffle, so keys the stored
+    table held twice come out once. With ``order`` the last row of either side wins, and a late
+    row does not replace a newer stored one; equal or no order leaves it to the batch.
+    ``update_existing=False`` puts the stored side first.
     """
-    batch = keep_one(aligned(df, stored), keys, order, latest=bool(order))
-    kinds = {f.name: f.dataType for f in [*batch.schema.fields, *stored.schema.fields]}
-    names = [*stored.columns, *[c for c in batch.columns if c not in stored.columns]]
-
-    def sided(frame: DataFrame, tag: str) -> DataFrame:
-        row = [F.col(c) if c in frame.columns else F.lit(None).cast(kinds[c]).alias(c)
-               for c in names]
-        return frame.select(*[F.col(k).alias(f"__{k}{tag}") for k in keys],
-                            F.struct(*row).alias(f"__row{tag}"))
-
-    a, b = sided(stored, "a"), sided(batch, "b")
-    same = reduce(lambda x, y: x & y, [F.col(f"__{k}a").eqNullSafe(F.col(f"__{k}b")) for k in keys])
-    sides = ("__rowb", "__rowa") if update_existing else ("__rowa", "__rowb")
-    return a.join(b, same, "full").select(F.coalesce(*sides).alias("r")).select(
-        *[F.col(f"r.{c}").alias(c) for c in names])
+    latest = bool(order)
+    preferred = 1 if latest else 0
+    batch_side = preferred if update_existing else 1 - preferred
+    both = stored.withColumn("__side", F.lit(1 - batch_side)).unionByName(
+        aligned(df, stored).withColumn("__side", F.lit(batch_side)), allowMissingColumns=True)
+    lead = [*order, "__side"] if update_existing else ["__side", *order]
+    return keep_one(both, resolve_keys(both, keys), lead, latest).drop("__side")
 
 
 def upsert(
@@ -221,9 +254,7 @@ def upsert(
         touched = aligned(df, stored).select(*parts).distinct()
         out = merged(stored.join(touched, parts, "left_semi").select(*stored.columns),
                      df, keys, update_existing, order)
-        spread_for_write(out, parts).write.format(FORMAT).mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy(*parts).save(path)
-        return path
+        return replace_partitions(out, path, parts)
     return replace(merged(stored, df, keys, update_existing, order), path, partitions)
 
 

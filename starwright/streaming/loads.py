@@ -48,7 +48,7 @@ def upsert_stream(
     stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str,
     partitions: Sequence[str] | None = None, order: Sequence[str] = (),
 ) -> DataStreamWriter:
-    """Upsert load: the last row of a key wins, by ``order`` inside a batch."""
+    """Upsert load: the last row of a key by ``order`` wins, in whatever batch it comes."""
     return _writer(stream, checkpoint, lambda df, _: tables.upsert(
         df, path, keys, partitions, True, order))
 

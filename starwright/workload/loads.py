@@ -91,6 +91,60 @@ def upsert_partitions(data: Data):
     return scan(data.spark, path).select("o_orderkey", "year", "status")
 
 
+@query("k4_stored_duplicates", """
+SELECT c_custkey, c_acctbal + CASE WHEN c_mktsegment = 'BUILDING' THEN 1000 ELSE 0 END AS balance FROM customer""")
+def upsert_stored_duplicates(data: Data):
+    """A table that already holds every key twice has each once afterwards."""
+    path = target(data, "k4d")
+    base = data.customer.select("c_custkey", F.col("c_acctbal").alias("balance"))
+    sink.write(base.unionByName(base), path)
+    sink.upsert(data.customer.filter("c_mktsegment = 'BUILDING'").select(
+        "c_custkey", (F.col("c_acctbal") + 1000).alias("balance")), path, ["c_custkey"])
+    return scan(data.spark, path)
+
+
+@query("k4_late_rows", """
+SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, max(ts)::DATE AS day FROM events GROUP BY 1""")
+def upsert_late_rows(data: Data):
+    """A second batch with older versions of all rows changes nothing."""
+    path = target(data, "k4e")
+    batch = data.events.select("user_id", "ts", "event_id", F.col("event_type").alias("last_type"))
+    late = batch.withColumns({"ts": F.col("ts") - F.expr("INTERVAL 400 DAYS"), "last_type": F.lit("late")})
+    for rows in (batch, late):
+        sink.upsert(rows, path, ["user_id"], order=["ts", "event_id"])
+    return scan(data.spark, path).select("user_id", "last_type", F.col("ts").cast("date").alias("day"))
+
+
+@query("k3_null_dates", """
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END AS day FROM orders""")
+def append_null_dates(data: Data):
+    """Rows without a date are stored, and stored once."""
+    path = target(data, "k3n")
+    batch = data.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate").cast("date")).alias("day"))
+    for rows in (batch.filter("day IS NOT NULL"), batch.filter("day IS NULL"), batch):
+        sink.append_immutable(rows, path, ["o_orderkey", "day"], date_column="day")
+    return scan(data.spark, path)
+
+
+@query("k3_null_keys", "SELECT DISTINCT nullif(o_orderstatus, 'P') AS status FROM orders")
+def append_null_keys(data: Data):
+    path = target(data, "k3k")
+    batch = data.orders.select(F.nullif("o_orderstatus", F.lit("P")).alias("status"))
+    for _ in range(2):
+        sink.append_immutable(batch, path, ["status"])
+    return scan(data.spark, path)
+
+
+@query("k3_key_moves_date", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
+def append_key_moves_date(data: Data):
+    """A key that comes again under a far date is not stored twice."""
+    path = target(data, "k3m")
+    batch = data.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    for rows in (batch, batch.withColumn("day", F.date_add("day", 10_000))):
+        sink.append_immutable(rows, path, ["o_orderkey"], date_column="day")
+    return scan(data.spark, path)
+
+
 @query("k5_nan_to_null", """
 SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_nationkey END AS nation FROM customer""")
 def nan_to_null(data: Data):
@@ -109,14 +163,15 @@ def resolved_keys(data: Data):
 
 
 @query("k7_strategy", """
-SELECT event_id, ts::DATE AS day FROM events""")
+SELECT event_id, ts::DATE AS day, 'second' AS load FROM events""")
 def strategy(data: Data):
+    """Two appends keep the first rows, the upsert then replaces them all."""
     path = target(data, "k7")
-    batch = data.events.select("event_id", F.col("ts").cast("date").alias("day"))
+    batch = data.events.select("event_id", F.col("ts").cast("date").alias("day"), F.lit("first").alias("load"))
     for _ in range(2):
         sink.smart_write(batch, path, "append", ["event_id"], ["day"], "day")
-    sink.smart_write(batch.filter("event_id < 0"), path, "upsert", ["event_id", "day"], ["day"])
-    return scan(data.spark, path)
+    sink.smart_write(batch.withColumn("load", F.lit("second")), path, "upsert", ["event_id", "day"], ["day"])
+    return scan(data.spark, path).select("event_id", "day", "load")
 
 
 @query("k8_evolving_schema", """

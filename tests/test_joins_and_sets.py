@@ -145,6 +145,33 @@ def test_exact_percentiles_on_a_hot_group(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+@pytest.mark.parametrize("groups", [0, 50_000])
+def test_exact_percentiles_move_no_raw_rows(spark, monkeypatch, threshold, groups):
+    """Neither a cartesian product nor a shuffle of the facts by their group, with many groups or few."""
+    from starwright.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", groups)
+    frames, order = [], quantiles.GlobalOrder
+    monkeypatch.setattr(quantiles, "GlobalOrder", lambda df, by: (frames.append(df), order(df, by))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = spark.range(3_000).select((F.col("id") % 7).alias("k"), F.pmod(F.xxhash64("id"), F.lit(97)).alias("v"))
+        for by in (["k"], []):
+            frames.clear()
+            got = sorted(tuple(r) for r in exact_percentiles(df, by, "v", [0.9, 0.25], accuracy=300).collect())
+            want = df.groupBy(*by).agg(F.percentile("v", 0.9).alias("a"), F.percentile("v", 0.25).alias("b"))
+            assert got == sorted(tuple(r) for r in want.collect())
+            plan = frames[-1]._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+            if by and groups:
+                assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert exact_percentiles(df.limit(0), [], "v", [0.5]).count() == 0
+
+
 def test_quality_report(spark):
     df = spark.createDataFrame([(1, 5.0, "x"), (2, None, "y"), (3, 50.0, "y")], "id int, v double, e string")
     checks = quality.Checks(required=["id", "v"], optional=["w"], numeric=["v", "e"], ranges={"v": (6, 40)},

@@ -99,6 +99,38 @@ def test_long_series_equal_plain_windows(spark):
         chunked_windows(df, ["ticker"], ["id"], F.col("day"), lambda d, w: d, halo_rows=50, chunk_rows=10)
 
 
+def same_columns(plain, cut, names):
+    a = {r["id"]: r.asDict() for r in plain.collect()}
+    got = cut.collect()
+    assert len(got) == len(a)
+    for r in got:
+        for n in names:
+            want = a[r["id"]][n]
+            assert (r[n] is None and want is None) or r[n] == pytest.approx(want, abs=1e-9), (n, r["id"])
+
+
+def test_long_chained_indicators_equal_plain_windows(spark):
+    df = spark.range(400).select(
+        F.lit("a").alias("ticker"), (F.col("id") / 7).cast("int").alias("day"), "id",
+        (F.pmod(F.xxhash64("id"), F.lit(1000)) / 10).alias("close"), F.col("id").cast("double").alias("volume"))
+    specs = {"avg": {"indicator": "sma", "period": 9, "source": "close"},
+             "smooth": {"indicator": "ema", "period": 4, "source": "avg"},
+             "ema_3": {"indicator": "ema", "period": 3, "source": "close"},
+             "ema_13": {"indicator": "ema", "period": 13, "source": "close"},
+             "macd": {"indicator": "macd_line", "fast": 3, "slow": 13},
+             "macd_signal": {"indicator": "macd_signal", "signal": 5},
+             "hist": {"indicator": "macd_histogram"}}
+    assert indicators.reach("smooth", specs, df.columns) == 8 + 11
+    assert indicators.reach("hist", specs, df.columns) == 14 + 38
+    same_columns(indicators.add_indicators(df, specs, "ticker", "id"), indicators.long_indicators(
+        df, specs, ["ticker"], ["id"], F.col("day"), chunk_rows=55), specs)
+    plain = indicators.add_technicals(df, "ticker", "id")
+    same_columns(plain, indicators.long_technicals(df, ["ticker"], ["id"], F.col("day"), chunk_rows=210),
+                 ["daily_return", "sma_200", "rsi_14", "volatility_60d", "bollinger_upper", "volume_ratio"])
+    with pytest.raises(ValueError):
+        indicators.long_indicators(df, {"macd": specs["macd"]}, ["ticker"], ["id"], F.col("day"))
+
+
 def test_numbered(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 2)
     out = numbered(df, ["k"], ["id"], F.floor(F.col("id") / 9), "pos")

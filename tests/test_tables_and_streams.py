@@ -134,6 +134,47 @@ def test_interrupted_swap_is_finished(spark):
     assert rows(scan(spark, path)) == [(1, 1), (2, 2)]
 
 
+def test_upsert_reduces_stored_duplicates_and_late_rows_lose(spark):
+    path = scratch_path(spark, "upsert-late")
+    sink.write(kv(spark, [(1, 20), (1, 20), (2, 5), (None, 3), (None, 4)]), path)
+    sink.upsert(kv(spark, [(1, 10), (2, 7)]), path, ["K"], order=["v"])
+    assert rows(scan(spark, path)) == [(1, 20), (2, 7), (None, 4)]
+    sink.upsert(kv(spark, [(1, 30), (3, 1)]), path, ["k"], update_existing=False, order=["v"])
+    assert rows(scan(spark, path)) == [(1, 20), (2, 7), (3, 1), (None, 4)]
+
+
+@pytest.mark.parametrize("moved", [0, 1])
+def test_interrupted_partition_rewrite_is_finished(spark, monkeypatch, moved):
+    path = scratch_path(spark, "parts")
+    base = spark.createDataFrame([(1, 1, "x", 1), (2, 1, "y", 2), (3, 2, "x", 3), (4, 3, "z", 4)],
+                                 "k int, a int, b string, v int")
+    sink.write(base, path, partitions=["a", "b"])
+    change = base.filter("a < 3").withColumn("v", F.col("v") * 10)
+    with monkeypatch.context() as patch:
+        patch.setattr(sink, "_finish_swap", lambda *_: None)  # the job dies right after the commit
+        sink.upsert(change, path, ["k", "a", "b"], ["a", "b"])
+    if moved:  # or while it moves: one partition is in place, the old one of another is gone
+        sink._remove(spark, f"{path}/a=1/b=x")
+        sink._rename(spark, f"{path}__swap/a=1/b=x", f"{path}/a=1/b=x")
+        sink._remove(spark, f"{path}/a=2/b=x")
+    want = [(1, 10), (2, 20), (3, 30), (4, 4)]
+    assert rows(sink.open_table(spark, path).select("k", "v")) == want
+    assert not path_exists(spark, f"{path}__swap")
+    sink.upsert(change, path, ["k", "a", "b"], ["a", "b"])
+    assert rows(scan(spark, path).select("k", "v")) == want
+
+
+def test_overwrite_drops_an_unfinished_rewrite(spark, monkeypatch):
+    path = scratch_path(spark, "over")
+    base = spark.createDataFrame([(1, 1, 1)], "k int, a int, v int")
+    sink.write(base, path, partitions=["a"])
+    with monkeypatch.context() as patch:
+        patch.setattr(sink, "_finish_swap", lambda *_: None)
+        sink.upsert(base, path, ["k", "a"], ["a"])
+    sink.write(base.withColumn("v", F.lit(7)), path, partitions=["a"])
+    assert rows(sink.open_table(spark, path).select("k", "v")) == [(1, 7)]
+
+
 def test_delete_keeps_null_rows(spark):
     path = scratch_path(spark, "delete")
     sink.write(kv(spark, [(1, 1), (2, None), (3, 9)]), path)
