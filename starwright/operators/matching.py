@@ -1,11 +1,11 @@
 """Resolve raw names to canonical ones: exact lookup first, n-gram cosine second.
 
 Cosine similarity is over TF-IDF weights of character n-grams inside words, fitted on the
-canonical names. Grams of a name are ordered from rare to common and only its head is joined
-to the canonical names; the tail, whose norm is at most half the threshold, can add no more
-than that times the norm of what is left of the other vector. Pairs that could still reach
-the threshold are then computed in full, so no match is missed, and the common grams, whose
-lists are long, are never joined for all names.
+canonical names. Grams of both sides are put in one order from rare to common. Of a match, the
+first gram in common lies where the norms of what is left of the two vectors still multiply to
+the threshold; only such heads are joined, so no match is missed, and the common grams, whose
+lists are long, are not joined for most names. Pairs that could still reach the threshold
+after their joined grams are then computed in full.
 """
 
 from __future__ import annotations
@@ -48,32 +48,55 @@ def unit_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.select("id", "gram", (F.col("x") / norm).alias("w"), "df")
 
 
+def ranked_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, gram, w, rest, after): norms of the vector from a gram on and after it, rare grams first."""
+    # summed from the common end: a frame that grows costs one step per row
+    onward = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    square = F.col("w") * F.col("w")
+    summed = unit_vectors(counts, idf).withColumn("s", F.sum(square).over(onward))
+    return summed.select("id", "gram", "w", F.sqrt("s").alias("rest"),
+                         F.sqrt(F.greatest(F.lit(0.0), F.col("s") - square)).alias("after"))
+
+
+def candidate_pairs(left_vec: DataFrame, right_vec: DataFrame, threshold: float) -> DataFrame:
+    """(a_id, b_id) of all pairs whose similarity can reach the threshold.
+
+    What two texts have in common from one gram on is at most the product of their norms from it
+    on. So the grams joined here are the first ones a pair has in common, and what it has in
+    common beyond them is at most the smallest product of the norms after them. A gram of very
+    many names is split by AQE: both sides of the join are plain shuffles.
+    """
+    least = threshold - 1e-9
+    head = lambda vec, side: vec.filter(F.col("rest") >= least).select(
+        F.col("id").alias(f"{side}_id"), "gram", *[F.col(c).alias(f"{side}_{c}") for c in ("w", "rest", "after")])
+    return head(left_vec, "a").join(head(right_vec, "b"), "gram").filter(
+        F.col("a_rest") * F.col("b_rest") >= least).groupBy("a_id", "b_id").agg(
+        F.sum(F.col("a_w") * F.col("b_w")).alias("dot"),
+        F.min(F.col("a_after") * F.col("b_after")).alias("beyond")).filter(
+        F.col("dot") + F.col("beyond") >= least).select("a_id", "b_id")
+
+
+def vectors(names: DataFrame, canon: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`ranked_vectors` of both (id, text) frames; the order counts grams on both sides."""
+    # counts and vectors are read several times, so they are computed once
+    name_counts, canon_counts = durable(gram_counts(names)), durable(gram_counts(canon))
+    n = canon_counts.select(F.count_distinct("id").alias("n")).scalar()
+    both = canon_counts.select("gram", F.lit(1).alias("c")).unionAll(
+        name_counts.select("gram", F.lit(0).alias("c")))
+    idf = both.groupBy("gram").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("df")).filter("c > 0").select(
+        "gram", "df", (F.ln((1 + n) / (1 + F.col("c"))) + 1).alias("idf"))
+    return durable(ranked_vectors(name_counts, idf)), durable(ranked_vectors(canon_counts, idf))
+
+
 def cosine_matches(
     names: DataFrame, name: str, canon: DataFrame, canonical: str, threshold: float = 0.85,
 ) -> DataFrame:
     """(name, canonical, similarity) of all pairs of distinct texts at or above the threshold."""
     left, right = distinct_texts(names, name), distinct_texts(canon, canonical)
-    # counts and vectors are read several times below, so they are computed once
-    canon_counts = durable(gram_counts(right))
-    n = canon_counts.select(F.count_distinct("id").alias("n")).scalar()
-    idf = canon_counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn(
-        "idf", F.ln((1 + n) / (1 + F.col("df"))) + 1)
-    right_vec = durable(unit_vectors(canon_counts, idf)).select(
-        F.col("id").alias("b_id"), "gram", F.col("w").alias("b"))
-    # norm of a text's grams from this one on, rare grams first; summed from the common end,
-    # since a frame that grows costs one step per row and one that shrinks is summed anew
-    ahead = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    left_vec = durable(unit_vectors(gram_counts(left), idf).withColumn(
-        "rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(ahead))))
-    cut = threshold / 2
-    head = left_vec.filter(F.col("rest") >= cut).select(
-        F.col("id").alias("a_id"), "gram", F.col("w").alias("a"))
-    partial = head.join(right_vec, "gram").groupBy("a_id", "b_id").agg(
-        F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("b") * F.col("b")).alias("used"))
-    # the grams left out add at most cut · (norm of the rest of b)
-    most = F.col("dot") + cut * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("used")))
-    pairs = partial.filter(most >= threshold - 1e-9).select("a_id", "b_id")
+    left_vec, right_vec = vectors(left, right)
+    pairs = candidate_pairs(left_vec, right_vec, threshold)
+    right_vec = right_vec.select(F.col("id").alias("b_id"), "gram", F.col("w").alias("b"))
     full = pairs.join(left_vec.select(F.col("id").alias("a_id"), "gram", F.col("w").alias("a")), "a_id")
     found = full.join(right_vec, ["b_id", "gram"]).groupBy("a_id", "b_id").agg(
         F.sum(F.col("a") * F.col("b")).alias("similarity")).filter(F.col("similarity") >= threshold)

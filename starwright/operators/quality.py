@@ -43,9 +43,10 @@ def summary(df: DataFrame, checks: Checks) -> DataFrame:
     for c in checks.required:
         if c in have:
             aggs.append(F.count(c).alias(f"{c}__set"))
-    for c in {*checks.ranges, *[n for n in checks.numeric[:1]]} & have:
+    numeric = [n for n in checks.numeric if n in have and not non_numeric(df, [n])]
+    for c in [n for n in dict.fromkeys([*numeric, *checks.ranges]) if n in have]:
         aggs += [F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
-    for c in [n for n in checks.numeric if n in have and n not in non_numeric(df, [n])][:1]:
+    for c in numeric:
         aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std")]
     if checks.date in have:
         aggs += [F.min(checks.date).alias("min_date"), F.max(checks.date).alias("max_date"),

@@ -61,9 +61,10 @@ def read_nested_map(
 ) -> DataFrame:
     """``{key: {date: {…}}}`` responses to one row per entity and date.
 
-    Without a schema the values are read as text, with the fields of the first record. The
-    dates are never inferred as struct fields: a response with 5,000 days would become a
-    schema of 5,000 columns.
+    Without a schema the values are read as text, with the fields of all records in the order of
+    their names; finding them takes a pass of its own, which a schema saves. The dates are
+    never inferred as struct fields: a response with 5,000 days would become a schema of 5,000
+    columns.
     """
     text_map = T.MapType(T.StringType(), T.StringType())
     dates = T.MapType(T.StringType(), text_map if value_schema is None else value_schema)
@@ -73,8 +74,9 @@ def read_nested_map(
     rows = df.select(F.col("__entity").alias(entity), F.explode(at).alias(key, "__value"))
     if value_schema is not None:
         return flattened(rows, [entity, key], "__value")
-    sample = rows.select(F.map_keys("__value")).first()
-    names = sample[0] if sample else []
+    # field names are columns of the result, so there are as few as columns
+    fields = rows.select(F.explode(F.map_keys("__value")).alias("f")).distinct().orderBy("f")
+    names = [r["f"] for r in fields.collect()]
     return rows.select(entity, key, *[
         F.try_element_at("__value", F.lit(n)).alias(n) for n in names])
 

@@ -172,6 +172,14 @@ def test_exact_percentiles_move_no_raw_rows(spark, monkeypatch, threshold, group
     assert exact_percentiles(df.limit(0), [], "v", [0.5]).count() == 0
 
 
+def test_quality_statistics_of_all_numeric_columns(spark):
+    df = spark.createDataFrame([(1, 5.0, "x"), (3, 9.0, "y")], "a int, b double, e string")
+    got = {r.item: r.value for r in quality.report(df, quality.Checks(numeric=["a", "b", "e"])).collect()
+           if r.kind == "metric"}
+    assert (got["a_mean"], got["b_mean"], got["a_max"], got["b_min"]) == (2.0, 7.0, 3.0, 5.0)
+    assert "e_max" not in got and "b_std" in got
+
+
 def test_quality_report(spark):
     df = spark.createDataFrame([(1, 5.0, "x"), (2, None, "y"), (3, 50.0, "y")], "id int, v double, e string")
     checks = quality.Checks(required=["id", "v"], optional=["w"], numeric=["v", "e"], ranges={"v": (6, 40)},

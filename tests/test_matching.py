@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from starwright.operators.matching import cosine_matches, resolve_names
 
@@ -77,3 +78,17 @@ def test_lookup_first_then_cosine(spark):
     assert left_out.count() == 0
     with pytest.raises(Exception):
         resolve_names(frame(spark, ["qqq"], "n"), "n", frame(spark, CANON, "c"), "c", unmatched="error").collect()
+
+
+def test_candidates_stay_near_the_matches(spark):
+    """Names of disjoint topics that share a common last word: few pairs beyond the matches."""
+    from starwright.operators import matching
+
+    topics = spark.range(40).select(F.substring(F.md5(F.col("id").cast("string")), 1, 12).alias("t"), "id")
+    canon = topics.select(F.concat("t", F.lit(" company")).alias("c"))
+    names = topics.select(F.explode(F.array(
+        F.concat("t", F.lit(" company")), F.concat("t", F.lit(" company inc")))).alias("n"))
+    left, right = matching.distinct_texts(names, "n"), matching.distinct_texts(canon, "c")
+    found = matching.candidate_pairs(*matching.vectors(left, right), 0.85).count()
+    matches = cosine_matches(names, "n", canon, "c").count()
+    assert 40 <= matches <= found <= 2 * matches

@@ -24,6 +24,16 @@ def put(folder, name, value):
     (folder / name).write_text(json.dumps(value))
 
 
+def test_nested_map_fields_of_all_records(spark, tmp_path):
+    put(tmp_path, "A.json", {"response": {"data": {
+        "2020-01-01": {"close": "1"}, "2020-01-02": {"close": "2", "split": "2.0"}}}})
+    put(tmp_path, "B.json", {"response": {"data": {"2020-01-01": {"volume": "9"}}}})
+    df = json_files.read_nested_map(spark, str(tmp_path / "*.json"), "data")
+    assert df.columns[2:] == ["close", "split", "volume"]
+    assert rows(df.drop("ticker")) == sorted([("2020-01-01", "1", None, None), ("2020-01-02", "2", "2.0", None),
+                                              ("2020-01-01", None, None, "9")], key=repr)
+
+
 def test_nested_map_files(spark, tmp_path):
     for t, days in (("AAA", {"2024-01-02": {"1. open": "1.5", "4. close": "2"}}),
                     ("BRK-B", {"2024-01-02": {"1. open": "7", "4. close": "8"},
