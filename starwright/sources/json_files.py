@@ -74,9 +74,9 @@ def read_nested_map(
     rows = df.select(F.col("__entity").alias(entity), F.explode(at).alias(key, "__value"))
     if value_schema is not None:
         return flattened(rows, [entity, key], "__value")
-    # field names are columns of the result, so there are as few as columns
-    fields = rows.select(F.explode(F.map_keys("__value")).alias("f")).distinct().orderBy("f")
-    names = [r["f"] for r in fields.collect()]
+    # one row of field names, as few as the result has columns
+    fields = rows.select(F.explode(F.map_keys("__value")).alias("f"))
+    names = fields.agg(F.sort_array(F.collect_set("f"))).first()[0]
     return rows.select(entity, key, *[
         F.try_element_at("__value", F.lit(n)).alias(n) for n in names])
 
