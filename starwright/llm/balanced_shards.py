@@ -2,27 +2,160 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starwright.llm.common import buckets_for, running_total, stage
 from starwright.llm.registry import query, table
 
-ROUNDS = 12
+PLACES = 256  # tasks that number the groups, at least
+
+
+def give_room(to: int, need: int, held: list[dict[int, int]], room: list[int]) -> bool:
+    """Exchange whole groups until shard ``to`` has ``need`` free rows; False if no exchange helps.
+
+    A group of ``to`` goes to another shard and a smaller one, or none, comes back; the other
+    shard pays the difference from its room. No group is split and no quota is exceeded.
+    """
+    while room[to] < need:
+        best = None
+        for other in range(len(room)):
+            most = min(room[other], need - room[to])
+            if other == to or most < 1:
+                continue
+            back = sorted({0, *(m for m, n in held[other].items() if n)})
+            for out in (m for m, n in held[to].items() if n):
+                smaller = back[bisect_left(back, max(0, out - most))] if out - most <= back[-1] else out
+                if smaller < out and (best is None or out - smaller > best[0]):
+                    best = out - smaller, other, out, smaller
+        if best is None:
+            return False
+        gain, other, out, back_in = best
+        for shard, size, by in ((to, out, -1), (other, out, 1), (to, back_in, 1), (other, back_in, -1)):
+            if size:
+                held[shard][size] = held[shard].get(size, 0) + by
+        room[to] += gain
+        room[other] -= gain
+    return True
+
+
+def level(size: int, count: int, room: list[int]) -> list[int]:
+    """How many of ``count`` groups each shard takes so that the room left is as even as can be."""
+    low, high = 0, max(room)
+    while low < high:  # the least room left at which they are not more than there are
+        mid = (low + high) // 2
+        low, high = (low, mid) if sum(max(0, r - mid) // size for r in room) <= count else (mid + 1, high)
+    taken = [max(0, r - low) // size for r in room]
+    for s in sorted(range(len(room)), key=lambda s: (taken[s] * size - room[s], s))[:count - sum(taken)]:
+        taken[s] += room[s] - taken[s] * size >= size
+    return taken
+
 
+def pack(sizes: dict[int, int], quotas: list[int]) -> tuple[dict[int, list], list[tuple[int, int, int, int]]]:
+    """Labels to start from: ``(whole, parts)`` for ``sizes`` {members: groups}, alike groups by rank.
 
-def propagate(state: DataFrame, groups: DataFrame, quota: DataFrame, rounds: int) -> DataFrame:
+    ``whole`` gives per size ``(upto, shard)``: the groups of a rank below ``upto`` and not below the
+    one before are whole in the shard. ``parts (members, rank, shard, n)`` are the others. Large
+    groups come first; one larger than a shard fills empty shards and its rest counts as a group. A
+    group that fits nowhere gets room by exchanges; one that still does not fit is split over
+    the shards with most room. There are fewer of these than shards, since their rows are at most all room
+    left, which is less than one such group in each shard. Groups are dealt evenly and shard by shard;
+    the way that splits fewer is taken.
+    """
+    ways = [pack_one_way(sizes, quotas, even) for even in (True, False)]
+    return min(ways, key=lambda way: len(way[1]))
+
+
+def pack_one_way(
+    sizes: dict[int, int], quotas: list[int], even: bool,
+) -> tuple[dict[int, list], list[tuple[int, int, int, int]]]:
+    """:func:`pack` with the groups of a size dealt evenly, or each shard filled before the next."""
+    room, held = list(quotas), [{} for _ in quotas]
+    left, rests, parts = dict(sizes), {}, []
+    for members in sorted((m for m in sizes if m > max(quotas)), reverse=True):
+        for rank in range(left.pop(members)):
+            rest = members
+            for s in sorted((s for s in range(len(room)) if room[s] == quotas[s]), key=lambda s: (-room[s], s)):
+                if rest >= room[s] > 0:
+                    parts.append((members, rank, s, room[s]))
+                    rest -= room[s]
+                    room[s] = 0
+            if rest:
+                rests.setdefault(rest, []).append((members, rank))
+                left[rest] = left.get(rest, 0) + 1
+    cut = []
+    for size in sorted(left, reverse=True):
+        count = left[size]
+        dealt = level(size, count, room) if even else [r // size for r in room]
+        for s in range(len(room)):
+            n = min(count, dealt[s])
+            if n:
+                held[s][size] = n
+                room[s] -= n * size
+                count -= n
+        cut += [size] * count
+    still = {}
+    for size in cut:
+        for s in sorted(range(len(room)), key=lambda s: (-room[s], s)):
+            if sum(room) >= size <= quotas[s] and give_room(s, size, held, room):
+                held[s][size] = held[s].get(size, 0) + 1
+                room[s] -= size
+                break
+        else:
+            still[size] = still.get(size, 0) + 1
+    whole = {}
+    for size in left:
+        slots = [[s, held[s][size]] for s in range(len(room)) if held[s].get(size)]
+        loose = still.get(size, 0)
+        for owner in rests.get(size, []):
+            if slots:
+                parts.append((*owner, slots[0][0], size))
+                slots[0][1] -= 1
+                slots = slots if slots[0][1] else slots[1:]
+            else:
+                loose -= 1
+                parts += [(*owner, s, n) for s, n in spread(size, room)]
+        upto, whole[size] = 0, []
+        for s, n in slots:
+            upto += n
+            whole[size].append((upto, s))
+        for k in range(loose):
+            parts += [(size, upto + k, s, n) for s, n in spread(size, room)]
+    merged = {}
+    for members, rank, s, n in parts:
+        merged[members, rank, s] = merged.get((members, rank, s), 0) + n
+    return whole, [(*k, n) for k, n in sorted(merged.items())]
+
+
+def spread(size: int, room: list[int]) -> list[tuple[int, int]]:
+    """Take ``size`` rows from the shards with most room."""
+    taken = []
+    while size:
+        s = max(range(len(room)), key=lambda s: room[s])
+        n = min(size, room[s])
+        taken.append((s, n))
+        room[s] -= n
+        size -= n
+    return taken
+
+
+def propagate(state: DataFrame, groups: DataFrame, quota: DataFrame) -> DataFrame:
     """Move members of groups between shards until none gains, within the quota of each shard.
 
     ``state (group, shard, n)`` says how many members of a group carry which label; members of
     a group are alike, so counts stand for them. In each round a group wants its members in
     the shard with room where most of them are, or, if it is larger than a shard, in as many
     shards as it needs. What a shard takes in is bounded by its free room; requests are
-    served in a fixed order by running totals. So no shard ever exceeds its quota.
+    served in a fixed order by running totals. So no shard ever exceeds its quota. A round that
+    leaves as many labels as before is not taken, and ends it.
     """
     room_of = quota.select("shard", "quota")
     largest = quota.agg(F.max("quota")).first()[0]
-    for turn in range(rounds):
+    labels_before, turn = state.count(), 0
+    while not state.groupBy("group").agg(F.count("*").alias("c")).join(groups, "group").where(
+            F.col("c") > F.ceil(F.col("members") / F.lit(largest))).isEmpty():
         used = state.groupBy("shard").agg(F.sum("n").alias("used"))
         room = room_of.join(used, "shard", "left").select(
             "shard", (F.col("quota") - F.coalesce("used", F.lit(0))).alias("room"))
@@ -60,23 +193,28 @@ def propagate(state: DataFrame, groups: DataFrame, quota: DataFrame, rounds: int
             "spare", F.col("n") - F.col("want"))
         gone = spare.withColumn("ahead", F.coalesce(F.sum("spare").over(smallest_first), F.lit(0))).select(
             "group", "shard", F.greatest(F.lit(0), F.least("spare", F.col("moved") - F.col("ahead"))).alias("lost"))
-        state = stage(
+        moved = stage(
             state.join(served, ["group", "shard"], "full").join(gone, ["group", "shard"], "left")
             .select("group", "shard", (F.coalesce("n", F.lit(0)) + F.coalesce("got", F.lit(0))
                                        - F.coalesce("lost", F.lit(0))).alias("n"))
             .where("n > 0"), "shard-state")
+        labels_after = moved.count()
+        if labels_after >= labels_before:
+            break
+        state, labels_before, turn = moved, labels_after, turn + 1
     return state
 
 
 def balanced_shards(
     df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text",
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Spread rows over shards, counts at most one apart, with equal texts together if they fit.
 
-    Rows with equal texts are linked. Linked rows start spread evenly and then follow their
-    neighbours by :func:`propagate`; rows without links, which cut no edge wherever they are,
-    fill what room is left. A group larger than a shard takes as few shards as it can.
+    Rows with equal texts are linked. Linked rows start with the label :func:`pack` gives their
+    group and then follow their neighbours by :func:`propagate`; rows without links, which cut no
+    edge wherever they are, fill what room is left. A group larger than a shard takes as few shards
+    as it can; of the others fewer than ``shards`` are split, and only where no exchange of whole
+    groups found makes room. Packing all groups at best is a hard problem, so this need not be the fewest.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row: size is UTF-8
     bytes plus 16, law is ``rows``, slot counts from 0 without gaps in each shard, grown_shard is
@@ -84,7 +222,8 @@ def balanced_shards(
     columns are ignored; an empty table gives no rows; more shards than rows leaves some empty.
 
     All numbering goes through hash buckets and their totals, so neither a shard nor a group is
-    ever sorted in one task. The driver holds one number per shard.
+    ever sorted in one task. The driver holds one number per shard and the number of groups of each
+    size: of N rows, fewer than the square root of 2 N different sizes.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     narrow = stage(df.select(
@@ -103,17 +242,20 @@ def balanced_shards(
     n_linked = linked.where("members IS NOT NULL").count()
     placed = running_total(
         linked.where("members IS NOT NULL"), ["group"], ["doc_id", "text_crc32"], F.lit(1), "at",
-        buckets_for(n_linked))
+        max(PLACES, buckets_for(n_linked)))
     offset = groups.select("group", "members")
-    starts = running_total(offset, [], ["group"], F.col("members"), "first", buckets_for(n_linked))
-    # the start: row number k of all linked rows is in shard k modulo shards
-    first = F.pmod(F.col("first"), F.lit(shards))
-    begin = starts.select(
-        "group", "members", F.explode(F.sequence(F.lit(0), F.least(F.lit(shards), F.col("members")) - 1)).alias("i"),
-        first.alias("f")).select(
-        "group", F.pmod(F.col("f") + F.col("i"), F.lit(shards)).cast("int").alias("shard"),
-        F.ceil((F.col("members") - F.col("i")) / F.lit(shards)).cast("long").alias("n"))
-    state = propagate(stage(begin, "shard-state"), offset, quota, rounds)
+    ranked = running_total(offset, ["members"], ["group"], F.lit(1), "rank", max(PLACES, buckets_for(n_linked)))
+    sizes = {r["members"]: r["n"] for r in groups.groupBy("members").agg(F.count("*").alias("n")).collect()}
+    whole, parts = pack(sizes, quotas)
+    table_of = spark.createDataFrame([(m, v) for m, v in whole.items()],
+                                     "members long, slots array<struct<upto: long, to: int>>")
+    pieces = spark.createDataFrame(parts, "members long, rank long, shard int, n long")
+    ranked = stage(ranked.withColumn("rank", F.col("rank").cast("long")), "shard-ranked")
+    begin = ranked.join(F.broadcast(table_of), "members").select(
+        "group", F.expr("element_at(filter(slots, s -> s.upto > rank), 1).to").alias("shard"),
+        F.col("members").alias("n")).where("shard IS NOT NULL").union(
+        ranked.join(F.broadcast(pieces), ["members", "rank"]).select("group", "shard", "n"))
+    state = propagate(stage(begin, "shard-state"), offset, quota)
     upto = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     plan = state.withColumn("upto", F.sum("n").over(upto)).groupBy("group").agg(
         F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("plan"))  # a row per shard at most

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from conftest import DATA_DIR
 from starwright.llm import queries as llm
-from starwright.llm.balanced_shards import balanced_shards
+from starwright.llm.balanced_shards import balanced_shards, pack
 from starwright.llm.bpe import ForcedBoundaryEncoder, PieceEncoder, encode_decode, vocabulary_path
 from starwright.llm.common import components
 from starwright.llm.exact_dedup import exact_dedup
@@ -167,6 +167,45 @@ def test_shards(spark, docs, odd, empty):
     assert balanced_shards(odd).count() == len(ODD) and balanced_shards(empty).count() == 0
 
 
+def test_shards_keep_copies_whole_without_single_rows(spark):
+    # pairs and threes only: no row is slack, and every quota can be filled by whole groups
+    for sizes, shards in (({2: 200}, 10), ({2: 60, 3: 60}, 5), ({2: 100, 3: 40, 7: 20, 90: 1}, 5)):
+        texts = [f"text {m} {i}" for m, n in sizes.items() for i in range(n) for _ in range(m)]
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        rows = balanced_shards(frame, shards=shards).collect()
+        counts, group = {}, {}
+        for r in rows:
+            counts[r["shard"]] = counts.get(r["shard"], 0) + 1
+            group.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        assert len(rows) == len(texts) and max(counts.values()) - min(counts.values()) <= 1
+        largest = max(counts.values())
+        split = [t for t, at in group.items() if len(at) > -(-texts.count(t) // largest)]
+        assert not split, (sizes, split)
+
+
+def test_pack_holds_every_group_within_quotas():
+    rng = random.Random(5)
+    for _ in range(200):
+        sizes = {rng.randint(2, 90): rng.randint(1, 40) for _ in range(rng.randint(1, 12))}
+        shards = rng.choice([1, 2, 5, 40])
+        total = sum(m * n for m, n in sizes.items()) + rng.choice([0, 3, 50])
+        quotas = [total // shards + (s < total % shards) for s in range(shards)]
+        whole, parts = pack(sizes, quotas)
+        used, got = [0] * shards, {}
+        for m, slots in whole.items():
+            ranks = 0
+            for upto, s in slots:
+                used[s] += (upto - ranks) * m
+                ranks = upto
+            got.update({(m, r): m for r in range(ranks)})
+        for m, r, s, n in parts:
+            assert (m, r) not in got or got[m, r] + n <= m
+            got[m, r] = got.get((m, r), 0) + n
+            used[s] += n
+        assert got == {(m, r): m for m, n in sizes.items() for r in range(n)}
+        assert all(u <= q for u, q in zip(used, quotas))
+
+
 def shingles(text, width):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
