@@ -17,9 +17,9 @@ DEGREE = 32  # neighbours of a node in the graph
 REVERSE = 32  # of those that point to a node, how many it introduces to each other
 BLOCK = 128  # vectors compared with each other at the start
 PLANTINGS = 4  # random partitions at the start
-ROUNDS = 5  # of NN-descent
+SETTLED = 0.01  # NN-descent ends with a round that replaces less than this share of all neighbours
 TELL = 12  # new neighbours that one introduction may name for a node
-BEAM, EXPAND, HOPS = 128, 32, 4  # of the greedy search
+BEAM, EXPAND = 128, 32  # of the greedy search
 SEED = 17
 
 
@@ -82,7 +82,7 @@ def neighbour_graph(nodes: DataFrame, count: int, dimension: int) -> DataFrame:
     ``nodes``: ``(node, packed)``. Random hyperplanes first deal the nodes into blocks of about BLOCK,
     PLANTINGS times, and each block is solved. Then NN-descent: every node introduces its
     neighbours and those it is a neighbour of to each other; what beats a node's worst
-    neighbour replaces it. A node introduces at most DEGREE + REVERSE + 1, so no group grows with the
+    neighbour replaces it. Rounds go on until one replaces less than SETTLED of all neighbours. A node introduces at most DEGREE + REVERSE + 1, so no group grows with the
     data.
     """
     bits = max(0, math.ceil(math.log2(max(1, count / BLOCK * 2))))
@@ -109,7 +109,7 @@ def neighbour_graph(nodes: DataFrame, count: int, dimension: int) -> DataFrame:
     nearest = (F.desc("score"), F.col("dst"))
     found = introduce(groups, DEGREE).distinct()
     edges = stage(best(found, "src", DEGREE, *nearest), "ann-edges")
-    for _ in range(ROUNDS):
+    while True:
         bars = edges.groupBy("src").agg(F.min("score").alias("low"), F.count("*").alias("n")).select(
             F.col("src").alias("node"),
             F.when(F.col("n") < DEGREE, F.lit(float("-inf"))).otherwise(F.col("low")).cast("float").alias("bar"))
@@ -122,8 +122,11 @@ def neighbour_graph(nodes: DataFrame, count: int, dimension: int) -> DataFrame:
         groups = members.join(known, "node").groupBy("centre").agg(
             F.collect_list(F.struct("node", "bar", "packed")).alias("m"))
         merged = edges.union(introduce(groups, TELL)).groupBy("src", "dst").agg(F.max("score").alias("score"))
-        edges = stage(best(merged, "src", DEGREE, *nearest), "ann-edges")
-    return edges
+        after = stage(best(merged, "src", DEGREE, *nearest), "ann-edges")
+        fresh = after.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").count()
+        edges = after
+        if fresh <= SETTLED * after.count():
+            return edges
 
 
 def nearest(
@@ -139,8 +142,8 @@ def nearest(
     Equal vectors are one node that keeps its ``count + 1`` smallest ids, which is all an answer
     can need, so copies cost nothing in the graph. For unequal norms the graph uses the usual
     extra coordinate that turns inner products into distances. A query starts at its own node and
-    follows the graph: HOPS times, the best EXPAND unvisited of its BEAM best nodes hand on their
-    neighbours. Answers are ranked by exact scores on the original vectors.
+    follows the graph: the best EXPAND unvisited of its BEAM best nodes hand on their neighbours, until
+    no query has an unvisited node in its beam. Answers are ranked by exact scores on the original vectors.
     """
     rows = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"),
@@ -176,10 +179,14 @@ def nearest(
     beam = stage(starts.select("q", F.col("q").alias("node"), inner("qv", "qv").alias("score"), F.lit(False).alias("seen")),
                  "ann-beam")
     order = (F.desc("score"), F.col("node"))
-    for hop in range(HOPS + 1):
+    hop = 0
+    while True:
         # the first hop opens the query's own node, later ones the best unopened of the beam
         opened = best(beam.where("NOT seen"), "q", EXPAND if hop else 1, *order).select("q", "node")
         opened = stage(opened, "ann-opened")
+        if opened.isEmpty():
+            break
+        hop += 1
         reached = opened.join(graph, "node").select("q", F.explode("next").alias("node")).distinct()
         new = reached.join(beam.select("q", "node"), ["q", "node"], "left_anti")
         scored = new.join(vectors, "node").join(starts, "q").select(

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import DATA_DIR
+from starwright.llm import nn_descent
 from starwright.llm import queries as llm
 from starwright.llm.balanced_shards import balanced_shards, pack
 from starwright.llm.bpe import ForcedBoundaryEncoder, PieceEncoder, encode_decode, vocabulary_path
@@ -321,6 +322,25 @@ def test_nearest_recall(spark):
     assert nearest(frame.where("vec_id < 3"), F.lit(True)).count() == 6
 
 
+def test_nearest_goes_on_until_settled(spark, monkeypatch):
+    # a small degree on a poor start takes more rounds and hops than a fixed few
+    for name, value in (("DEGREE", 8), ("REVERSE", 8), ("TELL", 2), ("BLOCK", 12), ("PLANTINGS", 1), ("BEAM", 48),
+                        ("EXPAND", 4)):
+        monkeypatch.setattr(nn_descent, name, value)
+    v = np.random.default_rng(3).normal(size=(4000, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(frame, F.col("vec_id") % 20 == 0, 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 4000, 20):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-score)[:10].tolist()))
+    assert hit >= 0.9 * 2000, hit
+
+
 def test_pipeline(spark, docs):
     out = docs
     before = docs.count()
