@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from starwright.llm.common import stage
 from starwright.llm.registry import query, table
+from starwright.llm.words import mix
 
 DEGREE = 32  # neighbours of a node in the graph
 REVERSE = 32  # of those that point to a node, how many it introduces to each other
@@ -80,12 +81,14 @@ def neighbour_graph(nodes: DataFrame, count: int, dimension: int) -> DataFrame:
     """``(src, dst, score)``: about the DEGREE nearest nodes of every node.
 
     ``nodes``: ``(node, packed)``. Random hyperplanes first deal the nodes into blocks of about BLOCK,
-    PLANTINGS times, and each block is solved. Then NN-descent: every node introduces its
+    PLANTINGS times, and a hash of the node deals them once more over the whole table, so that nodes alone
+    on their side of the planes get edges too; each block is solved. Then NN-descent: every node introduces its
     neighbours and those it is a neighbour of to each other; what beats a node's worst
     neighbour replaces it. Rounds go on until one replaces less than SETTLED of all neighbours. A node introduces at most DEGREE + REVERSE + 1, so no group grows with the
     data.
     """
     bits = max(0, math.ceil(math.log2(max(1, count / BLOCK * 2))))
+    parts = max(1, math.ceil(count / BLOCK))
     planes = np.random.default_rng(SEED).normal(size=(PLANTINGS, dimension, max(bits, 1)))
 
     def deal(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +100,11 @@ def neighbour_graph(nodes: DataFrame, count: int, dimension: int) -> DataFrame:
                 side = (v @ planes[turn] > 0)[:, :bits]
                 key = side @ (1 << np.arange(bits)) if bits else np.zeros(len(v), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(key.astype(np.int64) * PLANTINGS + turn)], ["node", "key"])
+                    [batch.column(0), pa.array(key.astype(np.int64) * (PLANTINGS + 1) + turn)], ["node", "key"])
+            with np.errstate(over="ignore"):
+                dealt_by = mix(batch.column(0).to_numpy().astype(np.uint64) + np.uint64(SEED)) % np.uint64(parts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(dealt_by.astype(np.int64) * (PLANTINGS + 1) + PLANTINGS)], ["node", "key"])
 
     dealt = stage(nodes.select("node", "packed").mapInArrow(deal, "node long, key long"), "ann-dealt")
     sizes = dealt.groupBy("key").agg(F.count("*").alias("c"))
@@ -143,7 +150,8 @@ def nearest(
     can need, so copies cost nothing in the graph. For unequal norms the graph uses the usual
     extra coordinate that turns inner products into distances. A query starts at its own node and
     follows the graph: the best EXPAND unvisited of its BEAM best nodes hand on their neighbours, until
-    no query has an unvisited node in its beam. Answers are ranked by exact scores on the original vectors.
+    no query has an unvisited node in its beam. A query that reached fewer nodes than an answer
+    needs is compared with all nodes. Answers are ranked by exact scores on the original vectors.
     """
     rows = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"),
@@ -194,6 +202,13 @@ def nearest(
         marked = beam.join(opened.withColumn("now", F.lit(True)), ["q", "node"], "left").select(
             "q", "node", "score", (F.col("seen") | F.coalesce("now", F.lit(False))).alias("seen"))
         beam = stage(best(marked.unionByName(scored), "q", BEAM, *order), "ann-beam")
+    reached = beam.groupBy("q").agg(F.count("*").alias("n"))
+    short = stage(reached.where(F.col("n") < min(count + 1, total)).join(starts, "q").select("q", "qv"), "ann-short")
+    if not short.isEmpty():
+        everyone = short.crossJoin(vectors).select(
+            "q", "node", inner("qv", "vector").alias("score"), F.lit(True).alias("seen"))
+        beam = stage(beam.join(short.select("q"), "q", "left_anti").unionByName(
+            best(everyone, "q", max(count + 1, BEAM), *order)), "ann-beam")
     answers = askers.withColumnRenamed("home", "q").join(beam, "q").join(
         nodes.select("node", F.explode("copies").alias("vec_id")), "node").where("id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "vec_id"))

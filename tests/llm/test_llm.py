@@ -322,6 +322,19 @@ def test_nearest_recall(spark):
     assert nearest(frame.where("vec_id < 3"), F.lit(True)).count() == 6
 
 
+def test_nearest_reaches_islands(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=32)
+    v = np.concatenate([centre + 0.05 * rng.normal(size=(2000, 32)), -centre + 0.05 * rng.normal(size=(10, 32))])
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(frame, F.col("vec_id") >= 2000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(got) == 10
+    for q, found in got.items():
+        assert len(found) == 20 and set(range(2000, 2010)) - {q} <= found
+
+
 def test_nearest_goes_on_until_settled(spark, monkeypatch):
     # a small degree on a poor start takes more rounds and hops than a fixed few
     for name, value in (("DEGREE", 8), ("REVERSE", 8), ("TELL", 2), ("BLOCK", 12), ("PLANTINGS", 1), ("BEAM", 48),
