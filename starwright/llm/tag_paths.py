@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,25 +34,34 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
          "th": {"tr", "table"}, "option": {"select"}}
-# elements and names (of class, id or role) that never hold the article
-ASIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "noscript", "template", "svg", "menu",
-         "dialog", "object", "audio", "video", "canvas", "map", "script", "style", "textarea", "iframe"}
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"sidebar|side|widget|footer|foot|header|masthead|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|reply|replies|"
-    r"disqus|search|pagination|pager|toc|complementary|contentinfo)(?:$|[\s_-])", re.I)
+# elements that never hold text of an article, and those that seldom do outside of one
+NEVER = {"head", "button", "select", "noscript", "template", "svg", "object", "audio", "video", "canvas", "map",
+         "script", "style", "textarea", "iframe"}
+SELDOM = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
+# whole names (of class, id or role) of parts that seldom hold the article
+SELDOM_NAMES = {
+    "ad", "ads", "adv", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "nav", "navbar",
+    "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "footer", "header", "masthead", "cookie",
+    "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share",
+    "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "respond", "disqus",
+    "search", "pagination", "pager", "toc", "complementary", "contentinfo"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """``(path, text, linked)`` of every block of text in page order.
+Block = tuple[str, str, int, tuple[int, ...], int]
+
+
+def blocks(page: str) -> list[Block]:
+    """``(path, text, linked, asides, outer)`` of every block of text in page order.
 
     The path names the block elements from the root down, with their class; ``linked`` counts the
     characters inside links. Character references are decoded, white space becomes one
-    space. Text of elements set aside is left out. Tags left open are closed as browsers do.
+    space. ``asides`` numbers the elements around a block that seldom hold an article (negative for nav and
+    footer); ``outer`` of them are around the article or main element that the block is in, -1 if in none. Text of elements that never hold any is left out. Tags left open are closed as browsers do.
     """
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # (tag, name on the path, set aside)
+    out: list[Block] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...], int]] = []  # (tag, name on the path, left out, asides, outer)
+    opened = 0
     parts: list[str] = []
     linked = links = 0
 
@@ -59,7 +69,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         nonlocal linked
         text = SPACES.sub(" ", html.unescape("".join(parts))).strip(" ")
         if text:
-            out.append(("/".join(n for _, n, _ in stack), text, linked))
+            out.append(("/".join(e[1] for e in stack), text, linked, *(stack[-1][3:] if stack else ((), -1))))
         parts.clear()
         linked = 0
 
@@ -100,7 +110,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
-        if tag in CLOSES_P and any(t == "p" for t, _, _ in stack):
+        if tag in CLOSES_P and any(e[0] == "p" for e in stack):
             close_to(max(k for k, e in enumerate(stack) if e[0] == "p"))
         if tag in SIBLINGS:
             for k in range(len(stack) - 1, -1, -1):
@@ -111,16 +121,44 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                     break
         flush()
         names = " ".join(v for a in ATTRIBUTE.finditer(m[3]) for v in a.groups()[1:] if v) if "=" in m[3] else ""
-        away = (bool(stack) and stack[-1][2]) or tag in ASIDE or bool(
-            names and tag not in ("html", "body", "article", "main") and ASIDE_NAMES.search(names))
-        if tag == "body":
-            away = False
-        stack.append((tag, f"{tag}.{names}" if names else tag, away))
+        away = tag != "body" and (bool(stack) and stack[-1][2] or tag in NEVER)
+        asides, outer = stack[-1][3:] if stack else ((), -1)
+        opened += 1
+        if tag in SELDOM and not (tag == "header" and outer >= 0) or (
+                names and tag not in HEADINGS and tag not in ("html", "body", "article", "main")
+                and not SELDOM_NAMES.isdisjoint(structural(m[3], tag == "section" and outer >= 0))):
+            asides = (*asides, -opened if tag in ("nav", "footer") else opened)
+        if tag in ("article", "main") and outer < 0:
+            outer = len(asides)
+        stack.append((tag, f"{tag}.{names}" if names else tag, away, asides, outer))
         links = 0
     flush()
     return out
 
 
+def structural(attributes: str, topic: bool) -> list[str]:
+    """Names of class, id and role, in lower case; without the id if that names a ``topic``."""
+    return [name for a in ATTRIBUTE.finditer(attributes) if not (topic and a[1].lower() == "id")
+            for name in (a[2] or a[3] or a[4] or "").lower().split()]
+
+
+def in_favour(found: list[Block]) -> list[Block]:
+    """The blocks outside of asides, where a page has an article or main element with such blocks.
+
+    Else an aside around an article or main element does not count inside it, and one that holds most
+    of the page's unlinked text is none, unless it is nav or footer.
+    """
+    if any(outer >= 0 and not asides for *_, asides, outer in found):
+        return [b for b in found if not b[3]]
+    text, total = Counter(), 0
+    for _, words, linked, asides, _ in found:
+        size = max(0, len(words) - linked)
+        total += size
+        for a in asides:
+            text[a] += size
+    return [b for b in found if all(a > 0 and 2 * text[a] > total for a in b[3][max(b[4], 0):])]
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by one space.
 
@@ -130,7 +168,7 @@ def main_text(page: str | None) -> str:
     value reaches SHARE of the best path's; all blocks of a content path are kept, so a short
     paragraph among long ones is kept as well.
     """
-    found = blocks(page or "")
+    found = in_favour(blocks(page or ""))
     if not found:
         return ""
     paths = {p: i for i, p in enumerate(dict.fromkeys(b[0] for b in found))}

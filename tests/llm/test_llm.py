@@ -270,6 +270,25 @@ def test_main_text(spark):
     assert extract_text(frame.limit(0), carry=("page_id",)).count() == 0
 
 
+PROSE = "A long sentence, with some marks; it goes on and on, as the prose of an article does. " * 3
+
+
+def words_of(inner):
+    return re.sub(r"<[^>]*>", " ", inner).split()
+
+
+@pytest.mark.parametrize("wrap", [
+    '<div class="container has-sidebar">{}</div>', '<div class="no-sidebar"><article>{}</article></div>',
+    "<form><article>{}</article></form>", "<form>{}</form>", '<div class="widget"><main>{}</main></div>',
+    '<div class="search-results-study">{}</div>'])
+def test_names_do_not_empty_a_page(wrap):
+    body = (f"<h1>Title</h1><p>{PROSE}</p><section id='side-effects'><h2 id='related-work'>Effects</h2><p>{PROSE}</p>"
+            f"</section><section id='{'search' if 'article' in wrap or 'main>' in wrap else 'search-results'}'>"
+            f"<p>{PROSE}</p></section>")
+    page = f"<body><nav><a href=x>Home</a></nav>{wrap.format(body)}<footer>All rights, of all.</footer></body>"
+    assert main_text(page).split() == words_of(body)
+
+
 def test_pages_keep_every_article(spark):
     strip = lambda h: [w for w in re.sub(r"<[^>]*>", " ", re.search(r"<article>(.*?)(</article>|$)", h, re.S)[1]).split()]
     import html as library
