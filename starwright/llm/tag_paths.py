@@ -46,6 +46,7 @@ SELDOM_NAMES = {
     "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "respond", "disqus",
     "search", "pagination", "pager", "toc", "complementary", "contentinfo"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTED = {"li", "dt", "dd", "td", "th", "caption", "pre", "blockquote", "figcaption"}  # short text of an article
 
 
 Block = tuple[str, str, int, tuple[int, ...], int]
@@ -159,6 +160,15 @@ def in_favour(found: list[Block]) -> list[Block]:
     return [b for b in found if all(a > 0 and 2 * text[a] > total for a in b[3][max(b[4], 0):])]
 
 
+def gathered(path: str, sizes: dict[str, int], total: int) -> str:
+    """The innermost container around ``path`` that has half of the content's characters or more."""
+    while path:
+        path = path.rpartition("/")[0]
+        if 2 * sizes.get(path, 0) >= total:
+            return path
+    return ""
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by one space.
 
@@ -166,7 +176,10 @@ def main_text(page: str | None) -> str:
     block gets its path's ratios (text per block and punctuation per block), both are smoothed over
     the page by a Gaussian, and fused by product. A path is content if its blocks' mean fused
     value reaches SHARE of the best path's; all blocks of a content path are kept, so a short
-    paragraph among long ones is kept as well.
+    paragraph among long ones is kept as well. Lists, tables, quotes and other short blocks are not
+    cut for their length: a path with few links is kept if it is in an article or main element that
+    holds content, or in the container of most content, either as a list, table, quote or the like or
+    between content blocks; in body itself both are asked.
     """
     found = in_favour(blocks(page or ""))
     if not found:
@@ -197,7 +210,36 @@ def main_text(page: str | None) -> str:
         parent, _, leaf = p.rpartition("/")
         if parent in best and re.match(r"h[1-6](?:\.|$)", leaf):
             content[i] = True
-    return " ".join(b[1] for b, i in zip(found, owner) if content[i])
+    sizes, ends = Counter(), {}
+    for k, (b, i) in enumerate(zip(found, owner)):
+        if content[i]:
+            path = b[0]
+            while path:
+                path = path.rpartition("/")[0]
+                sizes[path] += len(b[1])
+                ends[path] = (ends.get(path, (k, k))[0], k)
+    total = sum(len(b[1]) for b, i in zip(found, owner) if content[i])
+    length = np.bincount(owner, [len(b[1]) for b in found])
+    few_links = np.bincount(owner, chars) >= 0.5 * length
+    kept = []
+    for k, (b, i) in enumerate(zip(found, owner)):
+        keep = content[i]
+        if not keep and few_links[i]:
+            names = b[0].split("/")
+            tags = [n.split(".")[0] for n in names]
+            home = next(("/".join(names[:j + 1]) for j, t in enumerate(tags) if t in ("article", "main")
+                         and "/".join(names[:j + 1]) in ends), None)
+            if home:
+                keep = True
+            else:
+                home = gathered(b[0], sizes, total)
+                between = home in ends and ends[home][0] < k < ends[home][1]
+                listed = not LISTED.isdisjoint(tags[home.count("/") + 1 if home else 0:])
+                plain = home.rpartition("/")[2].split(".")[0] in ("", "html", "body")
+                keep = between and listed if plain else between or listed
+        if keep:
+            kept.append(b[1])
+    return " ".join(kept)
 
 
 def extract_text(df: DataFrame, html_col: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:

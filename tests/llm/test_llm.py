@@ -289,6 +289,19 @@ def test_names_do_not_empty_a_page(wrap):
     assert main_text(page).split() == words_of(body)
 
 
+@pytest.mark.parametrize("short", [
+    "<ul>" + "<li>an item of some forty characters, or so" * 8 + "</ul>",
+    "<ol>" + "<li>twelve items of sixty characters with one mark, as a list</li>" * 12 + "</ol>",
+    "<table>" + "<tr><td>twelve chars<td>cell</td></tr>" * 15 + "</table>",
+    "<dl><dt>Term<dd>What it is</dl>", "<pre>x = 1</pre>", "<blockquote><p>So it goes.</p></blockquote>"])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div class="post">{}</div>', "{}"])
+def test_short_blocks_of_an_article_stay(short, wrap):
+    body = "".join(f"<p>{PROSE}</p>" for _ in range(4)) + short + "".join(f"<p>{PROSE}</p>" for _ in range(4))
+    links = "<ul>" + "<li><a href=x>Home and more</a></li>" * 6 + "</ul>"
+    page = f"<body><nav>{links}</nav><div class=ad>Buy, now.</div>{wrap.format(body)}<div>{links}</div><footer>All.</footer></body>"
+    assert main_text(page).split() == words_of(body)
+
+
 def test_pages_keep_every_article(spark):
     strip = lambda h: [w for w in re.sub(r"<[^>]*>", " ", re.search(r"<article>(.*?)(</article>|$)", h, re.S)[1]).split()]
     import html as library
