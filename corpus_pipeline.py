@@ -23,9 +23,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
-    kept = exact_dedup(docs, carry={c: docs[c] for c in ["text", "lang", "source", "n_chars"]})
-    return kept.where("kept").select(*COLUMNS)
+    """Of equal texts the row with the largest id stays, once if it was given twice."""
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    kept = exact_dedup(docs, carry={**{c: docs[c] for c in ["text", "lang", "source", "n_chars"]}, "digest": digest})
+    return kept.where("kept").dropDuplicates(["keep_id", "digest"]).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -386,6 +386,17 @@ def test_nearest_goes_on_until_settled(spark, monkeypatch):
     assert hit >= 0.9 * 2000, hit
 
 
+def test_drop_copies_of_rows_given_twice(spark, docs):
+    some = docs.limit(20)
+    once = corpus_pipeline.drop_copies(spark, some, DATA_DIR).collect()
+    twice = corpus_pipeline.drop_copies(spark, some.union(some), DATA_DIR).collect()
+    assert sorted(r["doc_id"] for r in once) == sorted(r["doc_id"] for r in twice)
+    assert len({r["text"] for r in twice}) == len(twice)
+    rows = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), (1, None), (1, "")], "doc_id long, text string")
+    rows = rows.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    assert sorted(r["text"] or "" for r in corpus_pipeline.drop_copies(spark, rows, DATA_DIR).collect()) == ["", "a", "b"]
+
+
 def test_pipeline(spark, docs):
     out = docs
     before = docs.count()
