@@ -55,10 +55,13 @@ def passages(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner = first[owner_doc] + np.minimum(inside // width[owner_doc], pieces[owner_doc] - 1)
     k, count = KIND[data], len(document)
     single = np.bincount(owner * KINDS + k, minlength=count * KINDS).reshape(count, KINDS)
-    pair = np.bincount(owner[:-1] * KINDS**2 + k[:-1] * KINDS + k[1:], minlength=count * KINDS**2).reshape(count, -1)
+    inner = owner_doc[:-1] == owner_doc[1:]  # the byte after a text belongs to the next one
+    pair = np.bincount((owner[:-1] * KINDS**2 + k[:-1] * KINDS + k[1:])[inner],
+                       minlength=count * KINDS**2).reshape(count, -1)
     size = np.maximum(single.sum(1, keepdims=True), 1)
     words, _ = word_hashes(raws)
     extra = np.zeros((count, 6))
+    extra[:, 3] = np.minimum(size[:, 0] / 10, 3)  # as for a passage without words among others
     if len(words):
         space = np.isin(k, (3, 4))
         starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))

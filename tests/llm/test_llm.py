@@ -23,7 +23,7 @@ from starwright.llm.balanced_shards import balanced_shards, pack
 from starwright.llm.bpe import ForcedBoundaryEncoder, PieceEncoder, encode_decode, vocabulary_path
 from starwright.llm.common import components
 from starwright.llm.exact_dedup import exact_dedup
-from starwright.llm.mil_quality import score_quality
+from starwright.llm.mil_quality import passages, score_quality
 from starwright.llm.nn_descent import nearest
 from starwright.llm.pivotal_mix import pivotal_mix
 from starwright.llm.setsketch import near_duplicates
@@ -257,6 +257,13 @@ def test_quality_held_out(spark, docs, odd, empty):
     assert {r["score"] for r in score_quality(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_passages_alone_and_among_others():
+    raws = [b"", b"a", b"Zebra, 12.", b"", b"(x)" * 300, b"9"]
+    features, document = passages(raws)
+    for i, raw in enumerate(raws):
+        assert np.array_equal(features[document == i], passages([raw])[0])
+
+
 def test_main_text(spark):
     page = ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Home</a></ul></nav>"
             "<div class='ad'>Buy now, it is cheap, cheap, cheap.</div><article><h1>Head</h1><p><b>One &amp; two,\n three.<br>"
