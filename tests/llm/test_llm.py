@@ -61,7 +61,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(llm.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA_DIR}/{t}.parquet'")
     got = llm.QUERIES[name](spark, DATA_DIR)
     names = sorted(got.columns)
