@@ -10,6 +10,7 @@ from starwright.llm import (  # noqa: F401  (registers the queries)
     nn_descent,
     pivotal_mix,
     setsketch,
+    string_kernel,
     tag_paths,
     token_orc,
     warc_revisit,
