@@ -5,6 +5,7 @@ from starwright.llm import (  # noqa: F401  (registers the queries)
     balanced_shards,
     bpe,
     exact_dedup,
+    lemp,
     merkle,
     mil_quality,
     nn_descent,
