@@ -2,6 +2,8 @@
 
 A table is a directory of Parquet files, replaced as a whole by staging the new version
 beside it and renaming. Appends and partition overwrites go through Spark's committer.
+
+NULL is a key like any other in all of them: appends, upserts and merges compare keys NULL-safe.
 """
 
 from __future__ import annotations
@@ -62,15 +64,36 @@ def spread_for_write(df: DataFrame, partitions: Sequence[str], tasks: int | None
     """Shuffle by the partition columns, so that each directory gets few files.
 
     Left to AQE's REBALANCE, which also splits a partition value that holds many rows over
-    several tasks; a plain hash repartition would give it to one.
+    several tasks; a plain hash repartition would give it to one. With a number of ``tasks`` the rows
+    are dealt by ranges of the partition columns and a hash of the row, so a value that holds
+    many rows spans as many tasks as its share of them.
     """
     if not partitions:
         return df
     if tasks:
-        return df.repartition(tasks, *partitions)
+        return df.repartitionByRange(tasks, *partitions, row_hash(df))
     return df.hint("rebalance", *[F.col(c) for c in partitions])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields
+                        if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.VariantType))])
+
+
+def landed(df: DataFrame, partitions: Sequence[str] | None) -> DataFrame:
+    """Rows as they will be read back: an empty text in a partition column is stored as NULL."""
+    empty = [c for c in present_partitions(df, partitions) if isinstance(df.schema[c].dataType, T.StringType)]
+    return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in empty}) if empty else df
+
+
+def same_key(left: Mapping[str, str] | Sequence[str], a: str = "", b: str = "") -> Column:
+    """NULL-safe equality of all key columns, ``{left: right}`` or one name for both, under two aliases."""
+    pairs = left.items() if isinstance(left, Mapping) else [(k, k) for k in left]
+    name = lambda side, k: F.col(f"{side}.`{k}`" if side else f"`{k}`")
+    return reduce(lambda x, y: x & y, [name(a, x).eqNullSafe(name(b, y)) for x, y in pairs])
+
+
 def write(
     df: DataFrame, path: str, mode: str = "overwrite", partitions: Sequence[str] | None = None,
     fmt: str = FORMAT, spread: bool = True,
@@ -181,6 +204,22 @@ def aligned(df: DataFrame, stored: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def stored_like(df: DataFrame, path: str, partitions: Sequence[str] | None) -> DataFrame:
+    """The stored table for a batch: partition values read as the batch has them.
+
+    What Spark infers from folder names alone turns ``01`` into 1, and a column of NULLs into no type.
+    """
+    spark = df.sparkSession
+    stored = scan(spark, path)
+    kinds = {c: df.schema[c].dataType for c in present_partitions(stored, partitions) if c in df.columns}
+    kinds = {c: k for c, k in kinds.items() if k != stored.schema[c].dataType and (
+        isinstance(k, T.StringType) or isinstance(stored.schema[c].dataType, T.NullType))}
+    if not kinds:
+        return stored
+    return spark.read.schema(T.StructType([
+        T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in stored.schema.fields])).parquet(path)
+
+
 def append_immutable(
     df: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str] | None = None,
     date_column: str | None = None, order: Sequence[str] = (), year_column: str | None = None,
@@ -196,10 +235,10 @@ def append_immutable(
     """
     spark = df.sparkSession
     keys = resolve_keys(df, keys)
-    batch = keep_one(df, keys, order)
+    batch = keep_one(landed(df, partitions), keys, order)
     if not table_exists(spark, path):
         return write(batch, path, "overwrite", partitions)
-    stored = scan(spark, path)
+    stored = stored_like(df, path, partitions)
     batch = durable(aligned(batch, stored))  # the bounds and the rows are of one run of the source
     held = stored
     if date_column and date_column in keys:
@@ -210,7 +249,7 @@ def append_immutable(
             dated = dated & F.col(year_column).between(low.year, high.year)
         held = held.filter(dated | undated)
     names = {k: f"__held_{i}" for i, k in enumerate(keys)}
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    same = same_key(names)
     known = held.select(*[F.col(k).alias(n) for k, n in names.items()])
     return write(batch.join(known, same, "left_anti"), path, "append", partitions)
 
@@ -242,18 +281,20 @@ def upsert(
     """Insert or update by key. ``update_existing=False`` keeps stored rows.
 
     Where the partition columns belong to the key, a row cannot change its partition, so only
-    the partitions the batch touches are rewritten; otherwise the table is replaced.
+    the partitions the batch touches are rewritten, the one of NULL among them; otherwise the
+    table is replaced.
     """
     spark = df.sparkSession
     keys = resolve_keys(df, keys)
+    df = landed(df, partitions)
     if not table_exists(spark, path):
         return write(keep_one(df, keys, order, latest=bool(order)), path, "overwrite", partitions)
-    stored = scan(spark, path)
+    stored = stored_like(df, path, partitions)
     parts = present_partitions(stored, partitions)
     if parts and set(parts) <= set(keys) and set(df.columns) <= set(stored.columns):
-        touched = aligned(df, stored).select(*parts).distinct()
-        out = merged(stored.join(touched, parts, "left_semi").select(*stored.columns),
-                     df, keys, update_existing, order)
+        names = {c: f"__touched_{i}" for i, c in enumerate(parts)}
+        touched = aligned(df, stored).select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+        out = merged(stored.join(touched, same_key(names), "left_semi"), df, keys, update_existing, order)
         return replace_partitions(out, path, parts)
     return replace(merged(stored, df, keys, update_existing, order), path, partitions)
 
@@ -287,14 +328,15 @@ def merge(
     insert: Mapping[str, str] | None = None, partitions: Sequence[str] | None = None,
 ) -> str:
     """Conditional merge: matched rows take ``update`` (column → SQL over ``t.`` and ``s.``),
-    unmatched source rows are inserted by ``insert``. None stands for all source columns."""
+    unmatched source rows are inserted by ``insert``. None stands for all source columns.
+
+    A NULL key matches a NULL key, so merging the same rows again inserts nothing."""
     spark = source.sparkSession
     stored = open_table(spark, path)
     keyed = keep_one(source, on)
     t = stored.withColumn("__t", F.lit(True)).alias("t")
     s = keyed.withColumn("__s", F.lit(True)).alias("s")
-    cond = reduce(lambda x, y: x & y, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on])
-    both = t.join(s, cond, "full")
+    both = t.join(s, same_key(on, "t", "s"), "full")
     shared = {c: f"s.{c}" for c in stored.columns if c in source.columns}
     changes = shared if update is None else update
     inserts = shared if insert is None else insert
@@ -314,9 +356,10 @@ def merge(
 def merge_delete(
     source: DataFrame, path: str, on: Sequence[str], partitions: Sequence[str] | None = None,
 ) -> str:
-    """Delete the stored rows a source row matches."""
+    """Delete the stored rows a source row matches; a NULL key matches a NULL key."""
     stored = open_table(source.sparkSession, path)
-    return replace(stored.join(source.select(*on), list(on), "left_anti").select(*stored.columns),
+    gone = source.select(*on).distinct()
+    return replace(stored.alias("t").join(gone.alias("s"), same_key(on, "t", "s"), "left_anti"),
                    path, partitions)
 
 
@@ -334,17 +377,69 @@ def delete_where(
     return n
 
 
+def z_order(ranks: Sequence[Column], bits: int) -> Column:
+    """Interleaved bits of several ranks, the highest bits first (the Morton code)."""
+    parts = []
+    for bit in range(bits):
+        for i, rank in enumerate(ranks):
+            place = bit * len(ranks) + (len(ranks) - 1 - i)
+            parts.append(F.shiftleft(F.shiftright(rank, bit).bitwiseAND(F.lit(1)).cast("long"), place))
+    return reduce(lambda x, y: x.bitwiseOR(y), parts)
+
+
+def range_ranks(df: DataFrame, columns: Sequence[str], bits: int) -> dict[str, Column]:
+    """Per column its place among ``2 ** bits`` ranges of about equally many rows, NULL first.
+
+    The bounds come from Spark's approximate quantiles (numbers, dates) or, for text, from the
+    quantiles of the first seven bytes read as a number; only the bounds reach the driver.
+    """
+    def number(name: str) -> Column:
+        kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+        if isinstance(kind, T.NumericType):
+            return c.cast("double")
+        if isinstance(kind, T.BooleanType):
+            return c.cast("int").cast("double")
+        if isinstance(kind, T.DateType):
+            return F.unix_date(c).cast("double")
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return F.unix_micros(c.cast("timestamp")).cast("double")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+            return F.conv(head, 16, 10).cast("double")
+        raise ValueError(f"{name}: cannot cluster by {kind.simpleString()}")
+
+    count = 1 << bits
+    probs = F.array(*[F.lit(i / count) for i in range(1, count)])
+    numbers = {name: number(name) for name in columns}
+    found = df.agg(*[F.approx_percentile(x, probs, F.lit(count * 100)).alias(n) for n, x in numbers.items()]).first()
+
+    def rank(name: str) -> Column:
+        x, bounds = numbers[name], sorted(set(found[name] or []))
+        below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < x)) if bounds else F.lit(0)
+        return F.when(x.isNull(), F.lit(0)).otherwise(below).cast("int")
+
+    return {name: rank(name) for name in columns}
+
+
 def cluster(
     spark: SparkSession, path: str, columns: Sequence[str], files: int,
-    partitions: Sequence[str] | None = None,
+    partitions: Sequence[str] | None = None, zorder: bool = False, bits: int = 7,
 ) -> str:
     """Compact a table into ``files`` range-clustered files, sorted inside, so that min/max
-    statistics skip row groups. Long runs of one value are spread by the row hash."""
+    statistics skip row groups. Long runs of one value are spread by the row hash.
+
+    With ``zorder`` the rows follow the interleaved bits of the columns' range ranks, so a filter on any
+    one of them skips files; sorted by columns in turn, only the first would. NULLs lie with the
+    smallest values. ``bits`` per column bound how fine the ranges are.
+    """
     stored = open_table(spark, path)
-    salt = F.xxhash64(*[c for c in stored.columns
-                        if not isinstance(stored.schema[c].dataType, (T.MapType, T.ArrayType))])
-    laid = stored.repartitionByRange(files, *columns, salt).sortWithinPartitions(*columns)
-    return replace(laid, path, partitions, spread=False)
+    salt = row_hash(stored)
+    if not zorder:
+        laid = stored.repartitionByRange(files, *columns, salt).sortWithinPartitions(*columns)
+        return replace(laid, path, partitions, spread=False)
+    code = z_order(list(range_ranks(stored, columns, bits).values()), bits)
+    laid = stored.withColumn("__z", code).repartitionByRange(files, "__z", salt).sortWithinPartitions("__z", *columns)
+    return replace(laid.drop("__z"), path, partitions, spread=False)
 
 
 def write_star(

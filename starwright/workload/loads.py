@@ -31,7 +31,7 @@ def write_if_missing(data: Data):
     path = target(data, "k2")
     first = data.supplier.select("s_suppkey", "s_name")
     sink.write_if_missing(first, path)
-    sink.write_if_missing(first.limit(0), path)
+    sink.write_if_missing(first.withColumn("s_name", F.lit("late")), path)
     return scan(data.spark, path)
 
 
@@ -91,6 +91,21 @@ def upsert_partitions(data: Data):
     return scan(data.spark, path).select("o_orderkey", "year", "status")
 
 
+@query("k4_null_partition", """
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END::INTEGER AS year,
+       CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 OR year(o_orderdate) = 1997 AND o_orderstatus <> 'P'
+            THEN 'X' ELSE o_orderstatus END AS status FROM orders""")
+def upsert_null_partition(data: Data):
+    """Rows without a partition value are rewritten with their partition, and none is lost."""
+    path = target(data, "k4n")
+    base = data.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(
+        F.col("o_orderstatus") != "P", F.year("o_orderdate")).alias("year"))
+    sink.upsert(base, path, ["year", "o_orderkey"], ["year"])
+    new = base.filter("year IS NULL AND o_orderkey % 2 = 0 OR year = 1997").withColumn("status", F.lit("X"))
+    sink.upsert(new, path, ["year", "o_orderkey"], ["year"])
+    return scan(data.spark, path).select("o_orderkey", "year", "status")
+
+
 @query("k4_stored_duplicates", """
 SELECT c_custkey, c_acctbal + CASE WHEN c_mktsegment = 'BUILDING' THEN 1000 ELSE 0 END AS balance FROM customer""")
 def upsert_stored_duplicates(data: Data):
@@ -201,6 +216,32 @@ def merge(data: Data):
     return scan(data.spark, path)
 
 
+NULL_KEY_MERGE_SQL = """
+SELECT nullif(s_nationkey, 3) AS nation, count(*) + CASE WHEN {again} THEN 1000 ELSE 0 END AS n
+FROM supplier GROUP BY 1"""
+
+
+@query("k9_null_keys", NULL_KEY_MERGE_SQL.format(again="nullif(s_nationkey, 3) IS NULL OR nullif(s_nationkey, 3) > 10"))
+def merge_null_keys(data: Data):
+    """A NULL key is updated like the others, and inserted once only."""
+    path = target(data, "k9n")
+    counts = data.supplier.groupBy(F.nullif("s_nationkey", F.lit(3)).alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    sink.write(counts.filter("nation <= 10"), path)
+    for add in (0, 1000):
+        sink.merge(counts.filter("nation IS NULL OR nation > 10").withColumn("n", F.col("n") + add), path, ["nation"])
+    return scan(data.spark, path)
+
+
+@query("k10_null_keys", """
+SELECT p_partkey, nullif(p_size, 7) AS size FROM part WHERE p_size NOT IN (7, 8)""")
+def merge_delete_null_keys(data: Data):
+    path = target(data, "k10n")
+    rows = data.part.select("p_partkey", F.nullif("p_size", F.lit(7)).alias("size"))
+    sink.write(rows, path)
+    sink.merge_delete(rows.filter("size IS NULL OR size = 8"), path, ["size"])
+    return scan(data.spark, path)
+
+
 @query("k10_merge_delete", "SELECT p_partkey, p_brand FROM part WHERE p_size >= 10")
 def merge_delete(data: Data):
     path = target(data, "k10")
@@ -217,6 +258,16 @@ def cluster(data: Data):
     return scan(data.spark, path)
 
 
+@query("k11_zorder", "SELECT l_orderkey, l_partkey, l_shipdate::DATE AS day, l_quantity FROM lineitem")
+def cluster_zorder(data: Data):
+    """Clustered by two columns at once; the rows stay what they are."""
+    path = target(data, "k11z")
+    sink.write(data.lineitem.select("l_orderkey", "l_partkey", F.col("l_shipdate").cast("date").alias("day"),
+                                    "l_quantity"), path)
+    sink.cluster(data.spark, path, ["l_partkey", "day"], files=16, zorder=True)
+    return scan(data.spark, path)
+
+
 @query("k12_spread_for_write", """
 SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1""")
 def spread_for_write(data: Data):

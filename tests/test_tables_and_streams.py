@@ -258,3 +258,71 @@ def test_append_key_that_moves_its_date(spark, tmp_path):
         batch = spark.createDataFrame([(7, dt.date(2024, 1, day), str(day))], "k int, d date, v string")
         sink.append_immutable(batch, path, ["k"], date_column="d")
     assert [r["v"] for r in scan(spark, path).collect()] == ["1"]
+
+
+NULLABLE = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.one_of(st.none(), st.sampled_from(["a", "b", ""])),
+                              st.integers(0, 99)), min_size=1, max_size=10)
+
+
+@FEW
+@given(NULLABLE, NULLABLE)
+def test_no_stored_key_disappears_under_nulls(spark, a, b):
+    """Upserts keep every key, whatever is NULL, and give each once; empty partition values are NULL."""
+    kind = "k int, p string, v int"
+    path = scratch_path(spark, "null-keys")
+    sink.upsert(spark.createDataFrame(a, kind), path, ["k", "p"], ["p"])
+    sink.upsert(spark.createDataFrame(b, kind), path, ["k", "p"], ["p"])
+    got = [(r["k"], r["p"]) for r in scan(spark, path).select("k", "p").collect()]
+    assert sorted(got, key=repr) == sorted({(k, p or None) for k, p, _ in a + b}, key=repr)
+    sink.append_immutable(spark.createDataFrame(a, kind), path, ["k", "p"], ["p"])
+    assert scan(spark, path).count() == len(got)
+
+
+def test_one_null_rule_for_merges(spark):
+    path = scratch_path(spark, "null-merge")
+    rows_of = lambda *r: spark.createDataFrame(r, "k int, v int")
+    sink.write(rows_of((None, 1), (1, 1)), path)
+    for _ in range(2):
+        sink.merge(rows_of((None, 7), (2, 7)), path, ["k"])
+    assert rows(scan(spark, path)) == sorted([(None, 7), (1, 1), (2, 7)], key=repr)
+    sink.merge_delete(rows_of((None, 0), (2, 0)), path, ["k"])
+    assert rows(scan(spark, path)) == [(1, 1)]
+
+
+def files_met(spark, path, column, low, high):
+    """How many files hold a value of the range by their own bounds."""
+    ends = scan(spark, path).groupBy(F.input_file_name()).agg(F.min(column).alias("a"), F.max(column).alias("b"))
+    return ends.filter((F.col("a") <= high) & (F.col("b") >= low)).count()
+
+
+def test_z_order_skips_files_on_every_column(spark):
+    path = scratch_path(spark, "zorder")
+    made = spark.range(40_000).select(
+        (F.xxhash64("id") % 1000).alias("x"), (F.xxhash64("id", F.lit(1)) % 1000).alias("y"),
+        F.when(F.col("id") % 50 != 0, F.col("id")).alias("z"))
+    sink.write(made, path)
+    sink.cluster(spark, path, ["x", "y"], files=16)
+    before = files_met(spark, path, "y", 0, 20)
+    sink.cluster(spark, path, ["x", "y"], files=16, zorder=True)
+    assert files_met(spark, path, "y", 0, 20) <= before // 2 and files_met(spark, path, "x", 0, 20) <= 8
+    assert scan(spark, path).exceptAll(made).isEmpty() and scan(spark, path).count() == 40_000
+
+
+def test_z_order_of_other_types(spark):
+    path = scratch_path(spark, "zorder-types")
+    made = spark.createDataFrame(
+        [(None, None, None, True), ("a", dt.date(2020, 1, 1), dt.datetime(2020, 1, 1), False), ("é", None, None, None)] * 9,
+        "s string, d date, t timestamp, b boolean")
+    sink.write(made, path)
+    sink.cluster(spark, path, ["s", "d", "t", "b"], files=3, zorder=True)
+    assert rows(scan(spark, path)) == rows(made)
+    sink.write(made.limit(0), path)
+    sink.cluster(spark, path, ["s", "d"], files=3, zorder=True)
+    assert scan(spark, path).isEmpty()
+
+
+def test_hot_partition_value_spans_tasks(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise("cold").alias("p"), "id")
+    spread = sink.spread_for_write(df, ["p"], tasks=8)
+    tasks = spread.filter("p = 'hot'").select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks >= 4
