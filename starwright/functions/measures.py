@@ -26,8 +26,6 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "variance": F.var_samp,
 }
 
-# Measures that can be built from partial results of finer groups.
-MERGEABLE = ("sum", "count", "min", "max", "avg")
 ROW_ORDERED = ("delta", "pct_delta")
 
 

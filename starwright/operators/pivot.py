@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starwright.functions import measures as M
+from starwright.operators import partials as P
 from starwright.operators.ordered import GlobalOrder
 from starwright.operators.quantiles import exact_percentiles
 from starwright.session import durable
 
-MAX_COLUMN_VALUES = 200
 LAYOUTS = ("by_measure", "by_column", "by_dimension")
 TOTAL = "TOTAL"
 WINDOW_KINDS = {
@@ -28,7 +28,7 @@ class PivotSpec:
 
     ``sort`` orders the rows: ``{by: measure, where?: column value, order}``,
     ``{field: column, dir}`` or ``{values: [first, second, …]}``; ``{rows: …, cols: {order}}``
-    orders both.
+    orders both. With ``max_columns`` a pivot of more column combinations is refused.
     """
 
     rows: Mapping[str, object]
@@ -40,6 +40,7 @@ class PivotSpec:
     sort: Mapping[str, object] | None = None
     windows: Sequence[Sequence[str]] = ()
     buckets: Mapping[str, Mapping[str, object]] = field(default_factory=dict)
+    max_columns: int | None = None
 
 
 def as_expr(value: object) -> Column:
@@ -94,61 +95,50 @@ def wide_name(combo: str, key: str, layout: str) -> str:
     return f"{combo}||{key}" if layout == "by_column" else f"{key}||{combo}"
 
 
-def column_values(df: DataFrame, cols: Iterable[str]) -> list[tuple]:
-    """Sorted distinct non-NULL combinations of the column fields.
+def column_values(
+    df: DataFrame, cols: Iterable[str], limit: int | None = None, offset: int = 0,
+) -> list[tuple]:
+    """Sorted distinct non-NULL combinations of the column fields, ``limit`` of them from ``offset`` on."""
+    found = df.select(*cols).dropna().distinct().orderBy(*cols)
+    if offset:
+        found = found.offset(offset)
+    return [tuple(r) for r in (found if limit is None else found.limit(limit)).collect()]
 
-    More than 200 are refused: such a pivot has no readable columns.
-    """
-    found = (df.select(*cols).dropna().distinct().orderBy(*cols)
-             .limit(MAX_COLUMN_VALUES + 1).collect())
-    if len(found) > MAX_COLUMN_VALUES:
-        raise ValueError(f"more than {MAX_COLUMN_VALUES} column combinations; add filters")
-    return [tuple(r) for r in found]
 
+@dataclass(frozen=True)
+class _Groups:
+    """States per (row keys, column keys) of a pivot, and what they were made from."""
 
-def _partials(ms: Sequence[M.Measure]) -> dict[str, list[tuple[str, Column, str]]]:
-    """Per measure: (partial column, its aggregate over raw rows, how partials merge)."""
-    out = {}
-    for m in ms:
-        x = M.operand(m)
-        kind = m.agg or "avg"
-        if kind == "avg":
-            out[m.key] = [(f"__{m.key}_s", F.sum(x), "sum"), (f"__{m.key}_n", F.count(x), "count")]
-        elif kind == "count":
-            out[m.key] = [(f"__{m.key}", F.count(x), "count")]
-        else:
-            out[m.key] = [(f"__{m.key}", M.AGGREGATES[kind](x), kind)]
-    return out
+    spec: PivotSpec
+    measures: list[M.Measure]
+    extra: list[M.Measure]  # for sorting only
+    keys: list[str]
+    cols: list[str]
+    finest: DataFrame  # also by the values of distinct counts
+    fine: DataFrame
+    center: dict[str, float]
 
+    @property
+    def base(self) -> list[M.Measure]:
+        return [m for m in self.measures if not m.computed]
 
-def _merge(m: M.Measure, partials: list[tuple[str, Column, str]], match: Column | None) -> Column:
-    """The measure over finer groups, restricted to those matching a column value."""
-    merged = []
-    for name, _, how in partials:
-        x = F.col(name) if match is None else F.when(match, F.col(name))
-        if how == "count":
-            merged.append(F.coalesce(F.sum(x), F.lit(0)))
-        else:
-            merged.append({"sum": F.sum, "min": F.min, "max": F.max}[how](x))
-    if len(merged) == 2:
-        return F.try_divide(merged[0], F.nullif(merged[1], F.lit(0)))
-    return merged[0]
+    @property
+    def distinct(self) -> list[M.Measure]:
+        return [m for m in self.base if P.kind_of(m) == P.EXACT]
 
+    @property
+    def stateful(self) -> list[M.Measure]:
+        return [m for m in [*self.base, *self.extra] if P.kind_of(m) != P.EXACT]
 
-def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
-    """One row per row-key combination, measures per column combination.
 
-    The table is read once into groups of (row keys, column keys), kept in the shared folder;
-    columns, cells, totals and subtotals come from those groups. Measures that do not merge (distinct counts) are
-    evaluated straight on the rows instead.
-    """
+def _groups(df: DataFrame, spec: PivotSpec) -> _Groups:
+    """One pass over the table; the groups are kept in the shared folder if more than one step reads them."""
     if spec.layout not in LAYOUTS:
         raise ValueError(f"unknown layout {spec.layout!r}")
     for _, _, kind, *_ in spec.windows:
         if kind not in WINDOW_KINDS:
             raise ValueError(f"unknown window type {kind!r}")
     ms = [M.measure(m) for m in spec.measures]
-    base = [m for m in ms if not m.computed]
     rows = {n: as_expr(e) for n, e in spec.rows.items()}
     for name, how in spec.buckets.items():
         if how.get("size"):
@@ -158,69 +148,152 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
         else:
             df = df.withColumn("__binned", rows[name])
             rows[name] = bucket_count(df, "__binned", how["count"])
-    mergeable = all((m.agg or "avg") in M.MERGEABLE for m in base)
     cols = {f"__c{i}": as_expr(e) for i, e in enumerate(spec.cols.values())}
     sort = row_sort(spec)
-    extra = []
-    if sort.get("field") is not None:
-        extra = [M.Measure("__sort", sort["field"], "min")]
-    keyed = df.select("*", *[c.alias(f"__r_{n}") for n, c in rows.items()],
-                      *[c.alias(n) for n, c in cols.items()])
+    extra = [M.Measure("__sort", sort["field"], "min")] if sort.get("field") is not None else []
     keys = [f"__r_{n}" for n in rows]
-    if mergeable:
-        partials = _partials([*base, *extra])
-        fine = keyed.groupBy(*keys, *cols).agg(
-            *[agg.alias(n) for group in partials.values() for n, agg, _ in group])
-        if cols:
-            # the columns and the cells both come from these groups: join and scan once
-            fine = durable(fine)
-    else:
-        fine = keyed
-    combos = column_values(fine, cols) if cols else []
+    keyed = df.select("*", *[c.alias(k) for k, c in zip(keys, rows.values())], *[c.alias(n) for n, c in cols.items()])
+    base = [*[m for m in ms if not m.computed], *extra]
+    finest = P.grouped(keyed, [*keys, *cols], base)
+    split = any(P.kind_of(m) == P.EXACT for m in base)
+    if cols or split or any(P.kind_of(m) in P.MOMENTS for m in base):
+        finest = durable(finest)  # columns, cells and centers all come from these groups
+    center = P.centers(finest, base)
+    fine = P.regrouped(finest, [*keys, *cols], [m for m in base if P.kind_of(m) != P.EXACT], center) if split else finest
+    return _Groups(spec, ms, extra, keys, list(cols), finest, fine, center)
+
+
+def _matching(cols: Sequence[str], combo: Sequence[object]) -> Column:
+    cond = F.lit(True)
+    for name, v in zip(cols, combo):
+        cond = cond & (F.col(name) == F.lit(v))
+    return cond
+
+
+def _distinct_counts(g: _Groups, m: M.Measure, names: Sequence[tuple[str, Column | None]]) -> DataFrame:
+    """An exact distinct count per output row, one column per ``(name, test of the columns or None)``.
+
+    Rows are made distinct from the finest level up: what is distinct under a prefix of the row keys
+    follows from what is distinct one key further down, so neither raw rows nor groups are copied
+    per level or per column.
+    """
+    v = P.value_name(m)
+    found, levels = P.distinct_values(g.finest, [*g.keys, *g.cols], m), []
+    depths = range(len(g.keys), -1, -1) if g.spec.row_totals else [len(g.keys)]
+    for depth in depths:
+        prefix = g.keys[:depth]
+        if depth < len(g.keys):
+            found = found.select(*prefix, *g.cols, v).distinct()
+        cells = found.groupBy(*prefix, *g.cols).agg(F.count(F.lit(1)).alias("__n")).withColumn("__whole", F.lit(not g.cols))
+        if g.cols and any(match is None for _, match in names):
+            whole = found.select(*prefix, v).distinct().groupBy(*prefix).agg(F.count(F.lit(1)).alias("__n"))
+            cells = cells.unionByName(whole.withColumn("__whole", F.lit(True)), allowMissingColumns=True)
+        aggs = [F.sum(F.when(F.col("__whole") if match is None else ~F.col("__whole") & match, F.col("__n"))).alias(name)
+                for name, match in names]
+        level = cells.groupBy(*prefix).agg(*aggs)
+        missing = [F.lit(None).cast(g.finest.schema[k].dataType).alias(k) for k in g.keys[depth:]]
+        levels.append(level.select(*g.keys[:depth], *missing, *[F.col(f"`{n}`") for n, _ in names],
+                                   F.lit((1 << (len(g.keys) - depth)) - 1).cast("long").alias("__g")))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def _with_distinct(out: DataFrame, g: _Groups, slots: Sequence[tuple[str, M.Measure, Column | None]]) -> DataFrame:
+    """Add the exact distinct counts of ``slots`` to rows keyed by (level, row keys)."""
+    for m in g.distinct:
+        names = [(name, match) for name, owner, match in slots if owner is m]
+        found = _distinct_counts(g, m, names).withColumnsRenamed({k: f"__d{i}" for i, k in enumerate([*g.keys, "__g"])})
+        same = F.col("__g") == F.col(f"__d{len(g.keys)}")
+        for i, k in enumerate(g.keys):
+            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__d{i}"))
+        out = out.join(found, same, "left").drop(*[f"__d{i}" for i in range(len(g.keys) + 1)])
+        out = out.withColumns({name: F.coalesce(F.col(f"`{name}`"), F.lit(0)) for name, _ in names})
+    return out
+
+
+def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
+    """One row per row-key combination, measures per column combination.
+
+    The table is read once into states per (row keys, column keys), kept in the shared folder;
+    columns, cells, totals and subtotals come from those, whatever the aggregate (see
+    ``operators/partials.py``). As many columns as there are combinations; :func:`pivot_long` and
+    :func:`pivot_pages` are for more than a frame of columns is good for.
+    """
+    g = _groups(df, spec)
+    combos = column_values(g.fine, g.cols, None if spec.max_columns is None else spec.max_columns + 1) if g.cols else []
+    if spec.max_columns is not None and len(combos) > spec.max_columns:
+        raise ValueError(f"more than {spec.max_columns} column combinations; add filters or read it in pages")
     if columns_descend(spec):
         combos.reverse()
-    if cols and not combos:
-        return df.select(*[c.alias(n) for n, c in rows.items()]).limit(0)
+    return _wide(df, g, combos)
+
 
-    def value(m: M.Measure, match: Column | None) -> Column:
-        if mergeable:
-            return _merge(m, partials[m.key], match)
-        agg = M.AGGREGATES[m.agg or "avg"]
-        return agg(M.operand(m) if match is None else F.when(match, M.operand(m)))
+def pivot_pages(df: DataFrame, spec: PivotSpec, columns: int) -> Iterator[DataFrame]:
+    """The same pivot in pages of at most ``columns`` combinations, all from one set of states."""
+    g, at = _groups(df, spec), 0
+    while combos := column_values(g.fine, g.cols, columns, at):
+        yield _wide(df, g, combos)
+        at += len(combos)
 
-    def matching(combo: tuple) -> Column:
-        cond = F.lit(True)
-        for name, v in zip(cols, combo):
-            cond = cond & (F.col(name) == F.lit(v))
-        return cond
 
+def pivot_long(df: DataFrame, spec: PivotSpec, name: str = "column") -> DataFrame:
+    """The same cells as rows: row keys, the column combination by its key, measures.
+
+    No combination comes to the driver, so there may be any number of them.
+    """
+    if spec.row_totals or spec.col_totals or spec.windows:
+        raise ValueError("totals and windows are those of the wide form")
+    g = _groups(df, spec)
+    some = g.fine.dropna(subset=g.cols)
+    cells = some.groupBy(*g.keys, *g.cols).agg(
+        F.lit(1).alias("__one"), *[P.finished(m, g.center).alias(m.key) for m in g.base if m not in g.distinct])
+    for m in g.distinct:
+        counted = P.distinct_values(g.finest.dropna(subset=g.cols), [*g.keys, *g.cols], m).groupBy(*g.keys, *g.cols).agg(
+            F.count(F.lit(1)).alias(m.key))
+        counted = counted.withColumnsRenamed({k: f"__d{i}" for i, k in enumerate([*g.keys, *g.cols])})
+        same = F.lit(True)
+        for i, k in enumerate([*g.keys, *g.cols]):
+            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__d{i}"))
+        cells = cells.join(counted, same, "left").withColumn(m.key, F.coalesce(F.col(f"`{m.key}`"), F.lit(0)))
+    for m in g.measures:
+        if m.computed:
+            cells = cells.withColumn(m.key, M.computed_column(m.field, M.as_operand))
+    first, *others = [F.col(c).cast("string") for c in g.cols]
+    key = F.concat(first, F.lit("||"), F.concat_ws(" | ", *others)) if others else first
+    return cells.select(*[F.col(k).alias(n) for k, n in zip(g.keys, spec.rows)], key.alias(name),
+                        *[F.col(f"`{m.key}`") for m in g.measures])
+
+
+def _wide(df: DataFrame, g: _Groups, combos: Sequence[tuple]) -> DataFrame:
+    spec, ms, keys, cols = g.spec, g.measures, g.keys, g.cols
+    if cols and not combos:
+        return g.fine.select(*[F.col(k).alias(n) for k, n in zip(keys, spec.rows)]).limit(0)
     # (combination or None for the whole row, its test)
-    slots = [(combo_key(c), matching(c)) for c in combos] if cols else [(None, None)]
-    aggs, order = [], []
+    slots = [(combo_key(c), _matching(cols, c)) for c in combos] if cols else [(None, None)]
+    order = []
     pairs = [(s, m) for s in slots for m in ms] if spec.layout != "by_measure" else \
             [(s, m) for m in ms for s in slots]
     for (combo, match), m in pairs:
-        name = m.key if combo is None else wide_name(combo, m.key, spec.layout)
-        order.append((name, m, combo))
-        if not m.computed:
-            aggs.append(value(m, match).alias(name))
+        order.append((m.key if combo is None else wide_name(combo, m.key, spec.layout), m, combo, match))
     if cols and spec.col_totals:
-        for m in ms:
-            name = wide_name(TOTAL, m.key, spec.layout)
-            order.append((name, m, TOTAL))
-            if not m.computed:
-                aggs.append(value(m, None).alias(name))
-    aggs += [value(m, None).alias(m.key) for m in extra]
+        order += [(wide_name(TOTAL, m.key, spec.layout), m, TOTAL, None) for m in ms]
+    aggs = [P.finished(m, g.center, match).alias(name) for name, m, _, match in order if m in g.stateful]
+    aggs += [P.finished(m, g.center).alias(m.key) for m in g.extra]
+    aggs = aggs or [F.lit(1).alias("__one")]
     group = [F.col(k) for k in keys]
     if spec.row_totals:
-        out = fine.rollup(*group).agg(*aggs, F.grouping_id().alias("__g"))
+        out = g.fine.rollup(*group).agg(*aggs, F.grouping_id().alias("__g"))
     else:
-        out = fine.groupBy(*group).agg(*aggs).withColumn("__g", F.lit(0).cast("long"))
+        out = g.fine.groupBy(*group).agg(*aggs).withColumn("__g", F.lit(0).cast("long"))
+    if g.distinct:
+        out = _with_distinct(out, g, [(name, m, match) for name, m, _, match in order])
 
     def name_of(key: str, combo: str | None) -> str:
         return key if combo is None else wide_name(combo, key, spec.layout)
 
-    for name, m, combo in order:
+    for name, m, combo, _ in order:
         if m.computed and m.field["fn"] not in (*M.ROW_ORDERED, "share"):
             out = out.withColumn(name, M.computed_column(
                 m.field,
@@ -237,14 +310,14 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
         out = _with_windows(out, windows, keys, combos_named, name_of)
 
     labelled = []
-    for i, (key, name) in enumerate(zip(keys, rows)):
+    for i, (key, name) in enumerate(zip(keys, spec.rows)):
         if spec.row_totals:
             bit = F.lit(1 << (len(keys) - 1 - i))
             rolled = F.col("__g").bitwiseAND(bit) > 0
             labelled.append(F.when(rolled, TOTAL).otherwise(F.col(key).cast("string")).alias(name))
         else:
             labelled.append(F.col(key).alias(name))
-    measured = [n for n, m, _ in order if n in out.columns]
+    measured = [n for n, *_ in order if n in out.columns]
     added = [name_of(w[0], c) for w in windows for c in combos_named
              if name_of(w[0], c) in out.columns and name_of(w[0], c) not in measured]
     out = _sorted(out, spec, keys, name_of, combos)
@@ -356,8 +429,16 @@ def pivot_labels(spec: PivotSpec, columns: Sequence[str]) -> list[dict[str, obje
 def pivot_plain(
     df: DataFrame, rows: Sequence[str], cols: Sequence[str], measures: Sequence[object],
 ) -> DataFrame:
-    """Spark's own pivot over the first column field, no totals or windows."""
-    grouped = df.groupBy(*rows)
-    if cols:
-        grouped = grouped.pivot(cols[0])
-    return grouped.agg(*[M.aggregate_column(M.measure(m)) for m in measures])
+    """A pivot over all column fields without totals or windows.
+
+    Columns are named by the combination, followed by the measure if there is more than one.
+    """
+    spec = PivotSpec({c: F.col(f"`{c}`") for c in rows}, measures, {c: F.col(f"`{c}`") for c in cols}, "by_column")
+    out = pivot(df, spec)
+    if not cols:
+        return out
+    names = {}
+    for name in out.columns[len(rows):]:
+        combo, _, key = name.rpartition("||")
+        names[name] = combo if len(spec.measures) == 1 else f"{combo}_{key}"
+    return out.withColumnsRenamed(names)

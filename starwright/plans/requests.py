@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from starwright.functions import clean
 from starwright.functions import measures as M
 from starwright.operators import setops
-from starwright.operators.pivot import PivotSpec, pivot
+from starwright.operators.pivot import PivotSpec, pivot, pivot_plain
 from starwright.operators.quantiles import exact_percentiles
 from starwright.plans.catalog import Catalog
 
@@ -72,7 +72,7 @@ def heatmap(
         M.aggregate_column(M.Measure(short(z), at[z].col, aggregation)))
     if not wide:
         return cells
-    return cells.groupBy(short(x)).pivot(short(y)).agg(F.first(short(z), ignorenulls=True))
+    return pivot_plain(cells, [short(x)], [short(y)], [[short(z), f"`{short(z)}`", "max"]])  # one value per cell
 
 
 def box(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starwright.operators import setops
-from starwright.operators.pivot import PivotSpec, combo_key, pivot, pivot_plain
+from starwright.operators.pivot import PivotSpec, combo_key, pivot, pivot_long, pivot_pages, pivot_plain
 from starwright.operators.pivot import column_values as pivot_columns
 from starwright.plans import requests as R
 from starwright.workload.aggregates import r
@@ -43,12 +43,40 @@ def wide_with_totals(data: Data):
 SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem
 WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL""")
 def column_values(data: Data):
-    """The combinations a pivot gets as columns; a cap of 200 guards the column count."""
+    """The combinations a pivot gets as columns."""
     found = pivot_columns(data.lineitem, ["l_returnflag", "l_linestatus"])
     return data.lineitem.select("l_returnflag", "l_linestatus").distinct().filter(
         F.concat_ws("||", "l_returnflag", "l_linestatus").isin([combo_key(c) for c in found]))
 
 
+QUANTITIES = [(q, flag, status) for q in range(1, 51) for flag in "ANR" for status in "FO"]
+
+
+@query("v3_over_200_columns", "SELECT l_shipmode_day AS weekday, " + ", ".join(
+    f"count(*) FILTER (WHERE l_quantity = {q} AND l_returnflag = '{f}' AND l_linestatus = '{s}') AS \"n||{q}||{f} | {s}\""
+    for q, f, s in QUANTITIES) + " FROM (SELECT *, isodow(l_shipdate)::INTEGER AS l_shipmode_day FROM lineitem) GROUP BY 1")
+def over_200_columns(data: Data):
+    """300 combinations of quantity, flag and status, read as two pages of one set of groups and joined."""
+    spec = PivotSpec(rows={"weekday": "weekday(l_shipdate) + 1"}, cols={
+        "q": "cast(l_quantity as int)", "flag": "l_returnflag", "status": "l_linestatus"}, measures=[["n", "*", "count"]])
+    pages = list(pivot_pages(data.lineitem, spec, 200))
+    out = pages[0]
+    for page in pages[1:]:
+        out = out.join(page, "weekday")
+    return out
+
+
+@query("v3_long_any_number", """
+SELECT o_orderpriority AS priority, o_orderkey::VARCHAR || '||' || o_orderstatus AS "column", count(*) AS n,
+       round(sum(o_totalprice), 2) AS total, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1, 2""")
+def long_any_number(data: Data):
+    """As many column combinations as orders, as rows."""
+    out = pivot_long(data.orders, PivotSpec(
+        rows={"priority": "o_orderpriority"}, cols={"o": "o_orderkey", "s": "o_orderstatus"}, measures=[
+            ["n", "*", "count"], ["total", "o_totalprice", "sum"], ["customers", "o_custkey", "count_distinct"]]))
+    return r(out, total=2)
+
+
 @query("v4_multi_column_keys", """
 SELECT o_orderpriority, count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS "n||A||F",
        count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'O') AS "n||A||O",
@@ -183,6 +211,19 @@ def plain_pivot(data: Data):
     return out.withColumns({c: F.col(c).cast("long") for c in "ANR"})
 
 
+@query("v10_plain_pivot_two_fields", """
+SELECT o_orderpriority, """ + ", ".join(
+    f"count(*) FILTER (WHERE l_returnflag = '{f}' AND l_linestatus = '{s}') AS \"{f}||{s}_n\", "
+    f"round(stddev_samp(l_quantity) FILTER (WHERE l_returnflag = '{f}' AND l_linestatus = '{s}'), 8) AS \"{f}||{s}_sd\""
+    for f in "ANR" for s in "FO") + """
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def plain_pivot_two_fields(data: Data):
+    joined = data.lineitem.join(data.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    out = pivot_plain(joined, ["o_orderpriority"], ["l_returnflag", "l_linestatus"],
+                      [["n", "*", "count"], ["sd", "l_quantity", "stddev"]])
+    return out.withColumns({c: F.round(f"`{c}`", 8) for c in out.columns if c.endswith("_sd")})
+
+
 CODES = {"l_quantity": "QTY", "l_extendedprice": "PRICE", "l_discount": "DISC", "l_tax": "TAX"}
 
 
@@ -272,6 +313,29 @@ def wide_distinct_counts(data: Data):
         measures=[["parts", "l_partkey", "count_distinct"]], row_totals=True))
 
 
+ANY_AGGREGATE = [("parts", "count(DISTINCT l_partkey)", 0), ("makers", "count(DISTINCT l_suppkey)", 0),
+                 ("sd", "stddev_samp(l_extendedprice)", 6), ("v", "var_samp(l_discount)", 10),
+                 ("mean", "avg(l_extendedprice)", 6), ("n", "count(*)", 0), ("top", "max(l_extendedprice)", 2)]
+
+
+@query("v2_wide_any_aggregate", """
+SELECT CASE WHEN grouping(l_returnflag) = 1 THEN 'TOTAL' ELSE l_returnflag END AS l_returnflag,
+       CASE WHEN grouping(y) = 1 THEN 'TOTAL' ELSE y END AS y, """ + ", ".join(
+    (f"round({agg}{where}, {digits})" if digits else f"{agg}{where}") + f' AS "{key}||{c}"' for key, agg, digits in ANY_AGGREGATE
+    for c, where in (("F", " FILTER (WHERE l_linestatus = 'F')"), ("O", " FILTER (WHERE l_linestatus = 'O')"), ("TOTAL", ""))) + """
+FROM (SELECT *, year(l_shipdate)::VARCHAR AS y FROM lineitem) GROUP BY ROLLUP (l_returnflag, y)""")
+def wide_any_aggregate(data: Data):
+    """Distinct counts, deviations and plain aggregates with subtotals and column totals, from one read."""
+    out = pivot(data.lineitem, PivotSpec(
+        rows={"l_returnflag": "l_returnflag", "y": "cast(year(l_shipdate) as string)"}, cols={"s": "l_linestatus"}, measures=[
+            ["parts", "l_partkey", "count_distinct"], ["makers", "l_suppkey", "count_distinct"],
+            ["sd", "l_extendedprice", "stddev"], ["v", "l_discount", "variance"], ["mean", "l_extendedprice", "avg"],
+            ["n", "*", "count"], ["top", "l_extendedprice", "max"]], row_totals=True, col_totals=True))
+    digits = {key: d for key, _, d in ANY_AGGREGATE if d}
+    return out.withColumns({c: F.round(f"`{c}`", digits[c.split("||")[0]])
+                            for c in out.columns if c.split("||")[0] in digits})
+
+
 @query("v1_null_row_key", """
 SELECT CASE WHEN grouping(k) = 1 THEN 'TOTAL' ELSE k END AS k, count(*) AS n
 FROM (SELECT nullif(o_orderstatus, 'P') AS k FROM orders) GROUP BY ROLLUP (k)""")
