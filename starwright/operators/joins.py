@@ -54,11 +54,21 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> Da
     return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
 
 
+def column_of(table: str, column: str) -> Column:
+    return F.col(f"`{table}`.`{column}`")
+
+
 def key_condition(left: str, right: str, on: Iterable[tuple[str, str]]) -> Column:
-    pairs = [F.col(f"{left}.{a}") == F.col(f"{right}.{b}") for a, b in on]
+    pairs = [column_of(left, a) == column_of(right, b) for a, b in on]
     return reduce(lambda x, y: x & y, pairs)
 
 
+def role_of(name: str) -> tuple[str, str | None]:
+    """``table@via`` as (table, via); a plain table has no role."""
+    table, _, via = name.partition("@")
+    return table, via or None
+
+
 def join_path(
     edges: Sequence[Edge], start: str, goal: str, allowed: set[str] | None = None,
     domain_of: Mapping[str, str] | None = None,
@@ -110,7 +120,7 @@ def auto_edges(
     ]
 
 
-def star_join(
+def join_steps(
     tables: Mapping[str, DataFrame],
     edges: Sequence[Edge],
     needed: Iterable[str] | None = None,
@@ -118,15 +128,17 @@ def star_join(
     allowed: set[str] | None = None,
     domain_of: Mapping[str, str] | None = None,
     allow_cross: bool = False,
-) -> DataFrame:
-    """Join the needed tables along the edges, facts first, tables between included.
+) -> tuple[str, list[Edge]]:
+    """The first table of a star join and the edges to follow, in order.
 
-    Columns are read from the result as ``F.col("table.column")``. ``path`` is a chain of
-    tables to join first, for hops through a table that more than one edge leads to; needed
-    tables off the chain follow. All key pairs of an edge count, and an optional edge joins
-    left.
+    A table may be needed in several roles: ``nation@customer`` is the nation found by way of
+    ``customer``, a copy of its own, and so are the tables between the two. The graph searched is the one
+    of (table, role), so each role has one place in the join.
     """
-    names = sorted(needed or tables, key=lambda n: (n.startswith("dim_"), n))
+    named = list(needed or tables)
+    roles = sorted({n for n in named if role_of(n)[1]}, key=lambda n: (n.count("@"), n))
+    plain = {n for n in named if not role_of(n)[1]} | {n.split("@")[-1] for n in roles}
+    names = sorted(plain, key=lambda n: (n.startswith("dim_"), n))
     included = list(path) if path else names[:1]
     base, steps = included[0], []
     both_ways = [*edges, *[e.flipped() for e in edges]]
@@ -150,9 +162,35 @@ def star_join(
             if step.right not in included:
                 steps.append(step)
                 included.append(step.right)
-    out = tables[base].alias(base)
+
+    def place(name: str) -> None:
+        """Join a role: first what it is reached by, then the copies from there on."""
+        table, via = role_of(name)
+        if name in included:
+            return
+        if "@" in via:
+            place(via)
+        chain = join_path(edges, role_of(via)[0], table, allowed, domain_of)
+        if not chain:
+            raise ValueError(f"no join path to {name}")
+        left = via
+        for step in chain:
+            right = f"{step.right}@{via}"
+            if right not in included:
+                steps.append(Edge(left, right, step.on, step.optional, step.domain, step.name))
+                included.append(right)
+            left = right
+
+    for name in roles:
+        place(name)
+    return base, steps
+
+
+def follow(base: DataFrame, name: str, steps: Iterable[Edge], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Join the tables of ``steps`` to ``base``, each under the name it has there."""
+    out = base.alias(name)
     for step in steps:
-        other = tables[step.right].alias(step.right)
+        other = tables[role_of(step.right)[0]].alias(step.right)
         if not step.on:
             out = out.crossJoin(other)
         else:
@@ -161,6 +199,26 @@ def star_join(
     return out
 
 
+def star_join(
+    tables: Mapping[str, DataFrame],
+    edges: Sequence[Edge],
+    needed: Iterable[str] | None = None,
+    path: Sequence[str] | None = None,
+    allowed: set[str] | None = None,
+    domain_of: Mapping[str, str] | None = None,
+    allow_cross: bool = False,
+) -> DataFrame:
+    """Join the needed tables along the edges, facts first, tables between included.
+
+    Columns are read from the result as ``F.col("table.column")``, or by :func:`column_of` for roles
+    (see :func:`join_steps`). ``path`` is a chain of tables to join first, for hops through a table
+    that more than one edge leads to; needed tables off the chain follow. All key pairs of an edge
+    count, and an optional edge joins left.
+    """
+    base, steps = join_steps(tables, edges, needed, path, allowed, domain_of, allow_cross)
+    return follow(tables[base], base, steps, tables)
+
+
 def enrich(
     df: DataFrame, lookup: DataFrame, keys: Sequence[str], columns: Sequence[str],
 ) -> DataFrame:

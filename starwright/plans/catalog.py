@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starwright.operators.joins import Edge, auto_edges, reachable_domains, star_join
+from starwright.functions import measures as M
+from starwright.operators import partials as P
+from starwright.operators.filters import apply_specs
+from starwright.operators.joins import (
+    Edge, auto_edges, column_of, estimated_bytes, follow, join_steps, reachable_domains, role_of,
+)
 
 
 @dataclass(frozen=True)
@@ -21,7 +26,7 @@ class Field:
 
     @property
     def col(self) -> Column:
-        return F.col(f"{self.table}.{self.column}")
+        return column_of(self.table, self.column)
 
 
 @dataclass
@@ -61,8 +66,12 @@ class Catalog:
     def resolve(self, ref: str) -> Field:
         """``domain.field`` to a column: longest matching domain, first table that has it.
 
-        ``domain.table.field`` names the table as well.
+        ``domain.table.field`` names the table as well. ``domain.field@table`` is the field in the role its
+        table has when reached by way of that table, such as the nation of the customer.
         """
+        ref, at, via = ref.partition("@")
+        if via and role_of(via)[0] not in self.tables:
+            raise ValueError(f"unknown table {via!r}")
         parts = ref.split(".")
         for cut in range(len(parts) - 1, 0, -1):
             domain, rest = ".".join(parts[:cut]), parts[cut:]
@@ -72,7 +81,7 @@ class Catalog:
                 name = rest[-1]
                 column = self.fields.get(table, {}).get(name, name)
                 if column in self.tables[table].columns:
-                    return Field(domain, table, column)
+                    return Field(domain, table + at + via, column)
         raise ValueError(f"unknown field {ref!r}")
 
     def find(self, ref: str) -> Field | None:
@@ -90,8 +99,11 @@ class Catalog:
         Filters on unknown fields or on tables out of reach of the requested domains are
         skipped. Catalyst pushes the filters down to the scans.
         """
-        from starwright.operators.filters import apply_specs
+        found, usable, base, steps = self._steps(refs, filters, path)
+        df = follow(self.tables[base], base, steps, self.tables)
+        return apply_specs(df, usable, lambda ref: self.resolve(ref).col), found
 
+    def _steps(self, refs, filters, path) -> tuple[dict[str, Field], list, str, list[Edge]]:
         found = {r: self.resolve(r) for r in refs}
         allowed = reachable_domains({f.domain for f in found.values()}, self.depends_on)
         usable, filter_fields = [], []
@@ -103,6 +115,50 @@ class Catalog:
         needed = {f.table for f in [*found.values(), *filter_fields]}
         if not needed:
             raise ValueError("a request names at least one field")
-        df = star_join(self.tables, self.edges, needed, path, allowed, self.domain_of) \
-            if len(needed) > 1 or path else self.tables[min(needed)].alias(min(needed))
-        return apply_specs(df, usable, lambda ref: self.resolve(ref).col), found
+        base, steps = join_steps(self.tables, self.edges, needed, path, allowed, self.domain_of)
+        return found, usable, base, steps
+
+    def aggregated(
+        self, keys: Mapping[str, str], measures: Sequence[M.Measure], filters: Sequence[Mapping[str, object]] = (),
+        path: Sequence[str] | None = None, early: bool | None = None,
+    ) -> DataFrame:
+        """Measures per ``keys`` {name: field reference}; fields of measures are references as well.
+
+        Where all measures are of the first table of the join and have a state that merges, its rows may
+        be aggregated by the columns the joins, keys and filters need *before* they are joined:
+        a join repeats or drops all rows of such a group alike. ``early`` says whether; by default it is done if a
+        table to be joined is too large to be broadcast, so that groups are shuffled to it
+        and not raw rows. With small tables only, the rows are joined where they are read.
+        """
+        plain = [m for m in measures if not m.computed]
+        fields = [m.field for m in plain if isinstance(m.field, str) and m.field != "*"]
+        found, usable, base, steps = self._steps([*keys.values(), *fields], filters, path)
+        ready = [replace(m, field=found[m.field].col) if m.field in fields else m for m in plain]
+        own = {f.table for r, f in found.items() if r in fields} | ({base} if len(fields) < len(plain) else set())
+        possible = steps and own <= {base} and all(
+            P.kind_of(m) in P.ADDITIVE and m.where is None and isinstance(m.field, str) for m in plain)
+        if early is None:
+            early = possible and any(self._large(role_of(e.right)[0]) for e in steps)
+        if not (early and possible):
+            df = apply_specs(follow(self.tables[base], base, steps, self.tables), usable, lambda ref: self.resolve(ref).col)
+            out = [M.aggregate_column(m) for m in ready]
+            by = [found[ref].col.alias(name) for name, ref in keys.items()]
+            grouped = df.groupBy(*by).agg(*out) if by else df.agg(*out)
+            return M.with_computed(grouped, measures).select(*keys, *[F.col(f"`{m.key}`") for m in measures])
+        inner = [spec for spec in usable if self.resolve(spec["field"]).table == base]
+        outer = [spec for spec in usable if spec not in inner]
+        fact = apply_specs(self.tables[base].alias(base), inner, lambda ref: self.resolve(ref).col)
+        kept = {f.column for r, f in found.items() if f.table == base and r in keys.values()}
+        kept |= {a for e in steps if e.left == base for a, _ in e.on}
+        states = P.grouped(fact, [column_of(base, c) for c in sorted(kept)], ready)
+        df = apply_specs(follow(states, base, steps, self.tables), outer, lambda ref: self.resolve(ref).col)
+        by = [found[ref].col.alias(name) for name, ref in keys.items()]
+        out = [P.finished(m, {}).alias(m.key) for m in ready]
+        grouped = df.groupBy(*by).agg(*out) if by else df.agg(*out)
+        return M.with_computed(grouped, measures).select(*keys, *[F.col(f"`{m.key}`") for m in measures])
+
+    def _large(self, table: str) -> bool:
+        """Whether a table is over the session's broadcast threshold by Catalyst's estimate."""
+        df = self.tables[table]
+        jvm = df.sparkSession._jsparkSession.sessionState().conf()
+        return estimated_bytes(df) > int(jvm.autoBroadcastJoinThreshold())

@@ -20,7 +20,9 @@ MAX_RESPONSE_MB = 4
 
 
 def short(ref: str) -> str:
-    return ref.split(".")[-1]
+    """The column name of a field; of one in a role, with the table it is reached by before it."""
+    name, _, via = ref.split(".")[-1].partition("@")
+    return f"{via}_{name}".replace("@", "_") if via else name
 
 
 def ordered(df: DataFrame, sort: Mapping[str, str] | None, default: Sequence[str] = ()) -> DataFrame:
@@ -39,13 +41,9 @@ def chart(
 ) -> DataFrame:
     """Aggregate of each y per x (and group), ordered by x: columns x, [group], y…"""
     ys = [y] if isinstance(y, str) else list(y)
-    df, at = catalog.joined([x, *ys, *([group_by] if group_by else [])], filters, path)
-    keys = [at[x].col.alias(short(x))]
-    if group_by:
-        keys.append(at[group_by].col.alias(short(group_by)))
-    aggs = [M.aggregate_column(M.Measure(short(v), at[v].col, aggregation)) for v in ys]
-    out = df.groupBy(*keys).agg(*aggs)
-    return ordered(out, sort, [short(x), *([short(group_by)] if group_by else [])])
+    keys = {short(ref): ref for ref in [x, *([group_by] if group_by else [])]}
+    out = catalog.aggregated(keys, [M.Measure(short(v), v, aggregation) for v in ys], filters, path)
+    return ordered(out, sort, list(keys))
 
 
 def series(points: DataFrame, x: str, y: str, group: str | None = None,
@@ -67,9 +65,7 @@ def heatmap(
     filters: Sequence[Mapping[str, object]] = (), wide: bool = False,
 ) -> DataFrame:
     """z per (x, y); ``wide`` turns the y values into columns."""
-    df, at = catalog.joined([x, y, z], filters)
-    cells = df.groupBy(at[x].col.alias(short(x)), at[y].col.alias(short(y))).agg(
-        M.aggregate_column(M.Measure(short(z), at[z].col, aggregation)))
+    cells = catalog.aggregated({short(x): x, short(y): y}, [M.Measure(short(z), z, aggregation)], filters)
     if not wide:
         return cells
     return pivot_plain(cells, [short(x)], [short(y)], [[short(z), f"`{short(z)}`", "max"]])  # one value per cell
@@ -114,12 +110,12 @@ def flat_table(
     With any aggregate among them, the plain ones become the group.
     """
     cols = [(list(c) + [None] * 5)[:3] for c in columns]
-    df, at = catalog.joined([f for _, f, _ in cols], filters, path)
     if any(agg for *_, agg in cols):
-        keys = [at[f].col.alias(k) for k, f, agg in cols if not agg]
-        aggs = [M.aggregate_column(M.Measure(k, at[f].col, agg)) for k, f, agg in cols if agg]
-        out = (df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)).select(*[k for k, *_ in cols])
+        out = catalog.aggregated({k: f for k, f, agg in cols if not agg},
+                                 [M.Measure(k, f, agg) for k, f, agg in cols if agg], filters, path)
+        out = out.select(*[F.col(f"`{k}`") for k, *_ in cols])
     else:
+        df, at = catalog.joined([f for _, f, _ in cols], filters, path)
         out = df.select(*[at[f].col.alias(k) for k, f, _ in cols])
     out = ordered(out, sort)
     return out if limit is None else out.limit(limit)
@@ -141,9 +137,7 @@ def kpi(
     path: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row of measures."""
-    ms, refs = resolved_measures(catalog, measures)
-    df, _ = catalog.joined(refs, filters, path)
-    return M.aggregate(df, [], ms)
+    return catalog.aggregated({}, [M.measure(m) for m in measures], filters, path)
 
 
 def pivot_request(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starwright.functions import clean
+from starwright.functions import measures as M
 from starwright.operators import filters, joins
 from starwright.plans import requests as R
 from starwright.workload.registry import Data, query
@@ -60,6 +61,49 @@ def auto_join(data: Data):
     return R.chart(star(data), "geo.r_name", "sales.l_quantity", "goods.p_brand", "sum")
 
 
+@query("j5_two_roles", """
+SELECT cn.n_name AS dim_customer_n_name, sn.n_name AS dim_supplier_n_name, round(sum(l_extendedprice), 2) AS l_extendedprice
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN supplier ON l_suppkey = s_suppkey JOIN nation cn ON c_nationkey = cn.n_nationkey
+JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2""")
+def two_roles(data: Data):
+    """Trade between nations: the one of the customer and the one of the supplier."""
+    out = R.chart(star(data), "geo.n_name@dim_customer", "sales.l_extendedprice", "geo.n_name@dim_supplier", "sum")
+    return out.withColumn("l_extendedprice", F.round("l_extendedprice", 2))
+
+
+@query("j15_role_hops", """
+SELECT cr.r_name AS buyer, sr.r_name AS seller, count(*) AS n, max(l_quantity) AS most
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN supplier ON l_suppkey = s_suppkey JOIN nation cn ON c_nationkey = cn.n_nationkey
+JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region cr ON cn.n_regionkey = cr.r_regionkey
+JOIN region sr ON sn.n_regionkey = sr.r_regionkey
+WHERE cr.r_name <> sr.r_name AND cn.n_name <> 'NATION_3' GROUP BY 1, 2""")
+def role_hops(data: Data):
+    """Regions two hops behind their roles, filtered in one role only."""
+    out = R.flat_table(star(data), [
+        ["buyer", "geo.r_name@dim_customer"], ["seller", "geo.r_name@dim_supplier"],
+        ["n", "sales.l_orderkey", "count"], ["most", "sales.l_quantity", "max"]],
+        filters=[{"field": "geo.n_name@dim_customer", "op": "in",
+                  "value": [f"NATION_{i}" for i in range(25) if i != 3]}])
+    return out.filter("buyer <> seller")
+
+
+@query("a12_early_groups", """
+SELECT c_mktsegment, p_brand, round(sum(l_extendedprice), 2) AS total, count(*) AS n, max(l_quantity) AS most
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
+WHERE o_orderstatus = 'F' AND l_discount > 0.02 GROUP BY 1, 2""")
+def early_groups(data: Data):
+    """Line items are aggregated by (order, part) before they meet the other tables."""
+    out = star(data).aggregated(
+        {"c_mktsegment": "parties.c_mktsegment", "p_brand": "goods.p_brand"},
+        [M.Measure("total", "sales.l_extendedprice", "sum"), M.Measure("n", "sales.l_orderkey", "count"),
+         M.Measure("most", "sales.l_quantity", "max")],
+        [{"field": "sales.o_orderstatus", "op": "eq", "value": "F"}, {"field": "sales.l_discount", "op": "gte", "value": 0.021}],
+        early=True)
+    return out.withColumn("total", F.round("total", 2))
+
+
 @query("j7_domain_scope", """
 SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY 1""")
 def domain_scope(data: Data):

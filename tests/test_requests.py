@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import starwright
 from conftest import rows
 from starwright import session
+from starwright.functions import measures as M
 from starwright.operators.joins import edge
 from starwright.plans import requests as R
 from starwright.plans import views
@@ -137,3 +138,60 @@ def test_date_bounds_that_cannot_be_read_raise():
     for bad in ("soon", "2024-13-01", ""):
         with pytest.raises(ValueError):
             to_date_key(bad)
+
+
+def small_star(spark):
+    catalog = Catalog()
+    catalog.add("s", "fact_sale", spark.createDataFrame(
+        [(1, 10, 1.0), (1, 10, 2.0), (1, 11, None), (2, 11, 8.0), (3, 10, 16.0), (None, 11, 32.0)], "buyer int, seller int, v double"))
+    catalog.add("p", "dim_person", spark.createDataFrame(
+        [(1, "x"), (2, "x"), (3, "y"), (10, "x"), (11, "y"), (11, "z")], "id int, town string"))
+    catalog.add("p", "dim_buyer", spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "buyer int, person int"))
+    catalog.add("p", "dim_seller", spark.createDataFrame([(10, 10), (11, 11)], "seller int, person int"))
+    catalog.depends_on["s"] = ["p"]
+    return catalog.link(
+        edge("fact_sale", "dim_buyer", "buyer", optional=True), edge("fact_sale", "dim_seller", "seller"),
+        edge("dim_buyer", "dim_person", "person=id", optional=True), edge("dim_seller", "dim_person", "person=id"))
+
+
+def test_one_table_in_two_roles(spark):
+    out = R.flat_table(small_star(spark), [["b", "p.town@dim_buyer"], ["s", "p.town@dim_seller"], ["v", "s.v", "sum"]])
+    assert rows(out) == sorted([("x", "x", 3.0), ("x", "y", 8.0), ("x", "z", 8.0), ("y", "x", 16.0),
+                                (None, "y", 32.0), (None, "z", 32.0)], key=repr)
+    only = R.flat_table(small_star(spark), [["s", "p.town@dim_seller"], ["n", "p.id@dim_seller", "count"]])
+    assert rows(only) == [("x", 1), ("y", 1), ("z", 1)]
+    with pytest.raises(ValueError):
+        small_star(spark).resolve("p.town@nowhere")
+    assert R.short("p.town@dim_buyer") == "dim_buyer_town"
+
+
+@pytest.mark.parametrize("agg", ["sum", "avg", "min", "max", "count"])
+def test_early_groups_equal_late_ones(spark, agg):
+    """Also where a join repeats rows, drops them or finds nothing."""
+    catalog = small_star(spark)
+    keys = {"b": "p.town@dim_buyer", "s": "p.town@dim_seller"}
+    measures = [M.Measure("m", "s.v", agg), M.Measure("n", "*", "count")]
+    filters = [{"field": "s.v", "op": "lte", "value": 16.0}, {"field": "p.town@dim_seller", "op": "in", "value": ["x", "y"]}]
+    for some in ([], filters):
+        early, late = (catalog.aggregated(keys, measures, some, early=e) for e in (True, False))
+        assert rows(early) == rows(late)
+    total = [catalog.aggregated({}, measures, filters, early=e) for e in (True, False)]
+    assert rows(total[0]) == rows(total[1])
+
+
+def test_rows_are_grouped_below_joins_with_large_tables(spark, data):
+    """By default only where a table of the join is over the broadcast threshold."""
+    from starwright.workload.star import star
+
+    def plan():
+        out = R.chart(star(data), "parties.c_mktsegment", "sales.o_totalprice", aggregation="sum")
+        return out._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan().count("Aggregate") == 1
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        text = plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert text.count("Aggregate") == 2 and text.index("Join") < text.rindex("Aggregate")
