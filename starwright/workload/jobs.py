@@ -72,14 +72,119 @@ def indicator_table(data: Data):
     return r(out, sma_10=6)
 
 
-@query("u4_forecast_ar")
+def solve_sql(size: int) -> str:
+    """CTE members: the equations ``gram (entity, m)`` eliminated column by column, and their solution ``beta``."""
+    return f"""
+solve(entity, k, m, diagonal) AS (
+  SELECT entity, 0, m, list_transform(range(1, {size + 1}), lambda i: m[i][i]) FROM gram
+  UNION ALL
+  SELECT entity, k + 1, CASE WHEN m[k + 1][k + 1] > 1e-10 * diagonal[k + 1] THEN list_transform(m, lambda line, i:
+      CASE WHEN i = k + 1 THEN line ELSE list_transform(line, lambda v, j: v - line[k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END)
+      ELSE m END, diagonal FROM solve WHERE k < {size}),
+beta AS (SELECT entity, list_transform(range(1, {size + 1}), lambda i: CASE WHEN m[i][i] > greatest(1e-10 * diagonal[i], 0)
+    THEN m[i][{size + 1}] / m[i][i] ELSE 0 END) AS beta FROM solve WHERE k = {size})"""
+
+
+def gram_sql(columns: list[str], target: str) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in [*columns, target]) + "]" for a in columns) + "]"
+
+
+def ar_sql(bars: str) -> str:
+    """AR(5) on first differences of the last 252 rows of ``bars (entity, day, y)``, 30 steps by recursion."""
+    lags = [f"d{k}" for k in range(1, 6)]
+    return f"""
+WITH RECURSIVE {bars},
+cut AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS back FROM bars_y QUALIFY back <= 252),
+moves AS (SELECT *, y - lag(y) OVER (PARTITION BY entity ORDER BY day) AS d FROM cut),
+lagged AS (SELECT *, {", ".join(f"lag(d, {k}) OVER (PARTITION BY entity ORDER BY day) AS d{k}" for k in range(1, 6))} FROM moves),
+ends AS (SELECT entity, day AS last, y AS level, [d, d1, d2, d3, d4] AS past FROM lagged WHERE back = 1),
+sizes AS (SELECT entity, count(*) AS n FROM cut GROUP BY 1),
+gram AS (SELECT entity, {gram_sql(lags, "d")} AS m, sum(d * d) AS squares, count(*) AS n FROM lagged
+  WHERE d5 IS NOT NULL GROUP BY 1),{solve_sql(5)},
+fit AS (SELECT entity, beta, last, level, past,
+    sqrt(greatest(squares - list_inner_product(beta, list_transform(m, lambda line: line[6])), 0) / greatest(gram.n - 5, 1)) AS sigma
+  FROM beta JOIN gram USING (entity) JOIN ends USING (entity) JOIN sizes USING (entity) WHERE sizes.n >= 60),
+ahead(entity, h, past, moved, pulse, response, power) AS (
+  SELECT entity, 0, past, 0.0::DOUBLE, [0.0, 0, 0, 0, 0]::DOUBLE[], 0.0::DOUBLE, 0.0::DOUBLE FROM fit
+  UNION ALL
+  SELECT entity, h + 1, [step] || past[1:4], moved + step, [psi] || pulse[1:4], response + psi, power + (response + psi) ** 2
+  FROM (SELECT a.*, list_inner_product(beta, a.past) AS step,
+               CASE WHEN h = 0 THEN 1.0 ELSE list_inner_product(beta, pulse) END AS psi
+        FROM ahead a JOIN fit USING (entity) WHERE h < 30))
+SELECT entity, last + h AS forecast_date, h::INTEGER AS horizon_days, round(level + moved, 3) AS predicted_close,
+       round(level + moved - 1.6448536269514722 * sigma * sqrt(power), 3) AS predicted_low,
+       round(level + moved + 1.6448536269514722 * sigma * sqrt(power), 3) AS predicted_high, 'ar_5_1_0' AS model_type
+FROM ahead JOIN fit USING (entity) WHERE h > 0
+UNION ALL SELECT entity, NULL, NULL, NULL, NULL, NULL, 'too_short' FROM sizes WHERE n < 60"""
+
+
+def seasonal_sql(bars: str) -> str:
+    """Trend, weekdays and waves of the year over the last 1095 rows of ``bars (entity, day, y)``."""
+    def columns(day: str) -> list[str]:
+        number = f"date_diff('day', DATE '1970-01-01', {day})"
+        turn = f"({number} * {2 * 3.141592653589793 / 365.25!r})"
+        return ["1.0::DOUBLE", f"(date_diff('day', start, {day}) / 365.25)",
+                *[f"(isodow({day}) = {k})::INTEGER::DOUBLE" for k in range(2, 8)],
+                *[f"CASE WHEN yearly THEN {f}({turn} * {k}) ELSE 0 END" for k in (1, 2, 3) for f in ("sin", "cos")]]
+
+    size = len(columns("day"))
+    names = [f"x{i}" for i in range(size)]
+    return f"""
+WITH RECURSIVE {bars},
+cut AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS back FROM bars_y QUALIFY back <= 1095),
+ends AS (SELECT entity, min(day) AS start, max(day) AS last, date_diff('day', min(day), max(day)) >= 730 AS yearly,
+         count(*) AS n FROM cut GROUP BY 1),
+x AS (SELECT entity, y, {", ".join(f"{c} AS x{i}" for i, c in enumerate(columns("day")))} FROM cut JOIN ends USING (entity)),
+gram AS (SELECT entity, {gram_sql(names, "y")} AS m, sum(y * y) AS squares FROM x GROUP BY 1),{solve_sql(size)},
+fit AS (SELECT ends.*, beta,
+    sqrt(greatest(squares - list_inner_product(beta, list_transform(m, lambda line: line[{size + 1}])), 0)
+         / greatest(n - {size}, 1)) AS sigma
+  FROM beta JOIN gram USING (entity) JOIN ends USING (entity) WHERE n >= 60),
+ahead AS (SELECT *, (last + h::INTEGER)::DATE AS day FROM fit, range(1, 31) AS r(h)),
+made AS (SELECT *, list_inner_product(beta, [{", ".join(columns("day"))}]::DOUBLE[]) AS p FROM ahead)
+SELECT entity, day AS forecast_date, h::INTEGER AS horizon_days, round(p, 3) AS predicted_close,
+       round(p - 1.6448536269514722 * sigma, 3) AS predicted_low, round(p + 1.6448536269514722 * sigma, 3) AS predicted_high,
+       'trend_weekday' AS model_type FROM made
+UNION ALL SELECT entity, NULL, NULL, NULL, NULL, NULL, 'too_short' FROM ends WHERE n < 60"""
+
+
+CLOSES_SQL = f"{BARS_SQL}, bars_y AS (SELECT ticker AS entity, trade_date AS day, close AS y FROM bars)"
+REVENUE_SQL = """bars_y AS (
+  SELECT 's' || l_suppkey AS entity, l_shipdate::DATE AS day, sum(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2
+  UNION ALL SELECT 'p' || l_partkey, l_shipdate::DATE, sum(l_extendedprice) FROM lineitem GROUP BY 1, 2)"""
+
+
+def revenue(data: Data):
+    """Daily revenue of every supplier, a long series, and of every part, a short one."""
+    def of(prefix: str, key: str):
+        return data.lineitem.groupBy(F.concat(F.lit(prefix), F.col(key)).alias("entity"),
+                                     F.col("l_shipdate").cast("date").alias("day")).agg(F.sum("l_extendedprice").alias("y"))
+
+    return of("s", "l_suppkey").unionByName(of("p", "l_partkey"))
+
+
+PREDICTED = {"predicted_close": 3, "predicted_low": 3, "predicted_high": 3}
+
+
+@query("u4_forecast_ar", ar_sql(CLOSES_SQL))
 def forecast_ar(data: Data):
-    return fc.forecast(daily_bars(data), "ticker", "trade_date", "close", "ar")
+    return r(fc.forecast(daily_bars(data), "ticker", "trade_date", "close", "ar"), **PREDICTED)
+
+
+@query("u4_forecast_many", ar_sql(REVENUE_SQL))
+def forecast_many(data: Data):
+    """Series that are too short are told, not dropped."""
+    return r(fc.forecast(revenue(data), "entity", "day", "y", "ar"), **PREDICTED)
 
 
-@query("u5_forecast_trend_weekday")
+@query("u5_forecast_trend_weekday", seasonal_sql(CLOSES_SQL))
 def forecast_trend_weekday(data: Data):
-    return fc.forecast(daily_bars(data), "ticker", "trade_date", "close", "trend_weekday")
+    return r(fc.forecast(daily_bars(data), "ticker", "trade_date", "close", "trend_weekday"), **PREDICTED)
+
+
+@query("u5_forecast_many", seasonal_sql(REVENUE_SQL))
+def forecast_seasonal_many(data: Data):
+    return r(fc.forecast(revenue(data), "entity", "day", "y", "trend_weekday"), **PREDICTED)
 
 
 @query("u4_history_cut", f"""
@@ -91,11 +196,19 @@ def history_cut(data: Data):
         F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
-@query("u6_random_forest")
+@query("u6_random_forest", f"""
+WITH {BARS_SQL}, lagged AS (
+  SELECT *, lag(close, 14) OVER w AS oldest, count(close) OVER (PARTITION BY ticker ORDER BY trade_date ROWS 19 PRECEDING) AS n,
+         lag(close) OVER w AS before FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)),
+split AS (SELECT *, ('0x' || substr(md5(ticker || '|' || trade_date::VARCHAR || '|42'), 1, 6))::BIGINT % 1000 >= 800 AS test
+  FROM lagged WHERE n = 20 AND oldest IS NOT NULL)
+SELECT count(*) FILTER (WHERE test) AS test_rows, count(*) FILTER (WHERE NOT test) AS train_rows,
+       round(sqrt(avg((close - before) ** 2) FILTER (WHERE test)), 4) AS naive_rmse, true AS better_than_naive FROM split""")
 def random_forest(data: Data):
-    """One row: error of a forest on the test share of the daily series."""
-    _, metrics = fc.random_forest(daily_bars(data), "ticker", "trade_date", "close", trees=20, depth=5)
-    return metrics
+    """Rows of both shares, and whether the forest beats the value of the day before."""
+    _, metrics = fc.random_forest(daily_bars(data), "ticker", "trade_date", "close")
+    return r(metrics.select("test_rows", "train_rows", "naive_rmse",
+                            (F.col("rmse") < F.col("naive_rmse")).alias("better_than_naive")), naive_rmse=4)
 
 
 @query("u7_accuracy", f"""

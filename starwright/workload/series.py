@@ -23,9 +23,10 @@ def bars_with(data: Data, specs: dict, digits: int = 6):
 
 
 def ema_sql(column: str, period: int, source: str, name: str) -> str:
-    """CTE members ``name`` with the EMA of a column of ``source``, as weights over a list."""
-    weights = ", ".join(repr(w) for w in I.ema_weights(period))
+    """CTE members ``name`` with the EMA of a column of ``source``: weights a(1 - a)^age, a = 2 / (period + 1),
+    over the last 3 periods, made to add up to 1."""
     n = 3 * period
+    weights = f"list_transform(range({n}), lambda i: pow(1 - 2.0::DOUBLE / {period + 1}, {n - 1} - i))"
     return f"""
 {name}_l AS (
   SELECT *, list({column}) OVER (PARTITION BY ticker ORDER BY trade_date ROWS {n - 1} PRECEDING) AS l,
@@ -34,7 +35,7 @@ def ema_sql(column: str, period: int, source: str, name: str) -> str:
 {name} AS (
   SELECT * EXCLUDE (l, n), CASE WHEN n = {n} THEN
            list_inner_product(list_transform(l, lambda v: coalesce(v, 0))::DOUBLE[],
-           [{weights}]::DOUBLE[]) END AS {name} FROM {name}_l)"""
+           {weights}) / list_sum({weights}) END AS {name} FROM {name}_l)"""
 
 
 @query("w1_sma", f"""

@@ -171,7 +171,9 @@ def test_forecast_continues_a_line(spark):
         ("B", dt.date(2024, 1, 1), 1.0, 1.0, 1.0, 1.0)])
     for model in forecast.MODELS:
         out = forecast.forecast(df, "ticker", "trade_date", "close", model, horizon=5).orderBy("horizon_days").collect()
-        assert len(out) == 5 and {r.entity for r in out} == {"A"}  # one row is too few for B
+        short, *out = out
+        assert tuple(short) == ("B", None, None, None, None, None, "too_short")  # one row is too few
+        assert len(out) == 5 and {r.entity for r in out} == {"A"}
         for h, r in enumerate(out, 1):
             assert r.predicted_close == pytest.approx(100 + 2 * (n - 1 + h), abs=1e-6)
             assert r.predicted_low <= r.predicted_close <= r.predicted_high
@@ -221,3 +223,35 @@ def test_repeat_offender_and_compliance(spark):
 def test_unknown_weighting(spark):
     with pytest.raises(ValueError):
         rolling.weighted_index(prices(spark, [1.0]), "ticker", "trade_date", weighting="luck")
+
+
+def test_autoregression_equals_least_squares(spark):
+    """Coefficients and interval against numpy on the same rows."""
+    rng = np.random.default_rng(4)
+    y = np.cumsum(rng.normal(size=300)) * 3 + 100
+    out = forecast.forecast(prices(spark, y.tolist()), "ticker", "trade_date", "close", horizon=7).orderBy("horizon_days").collect()
+    y = y[-252:]
+    d = np.diff(y)
+    x = np.column_stack([d[5 - k:len(d) - k] for k in range(1, 6)])
+    phi = np.linalg.lstsq(x, d[5:], rcond=None)[0]
+    noise = d[5:] - x @ phi
+    sigma = np.sqrt(noise @ noise / (len(noise) - 5))
+    past, psi, level = list(d[::-1][:5]), [1.0], y[-1]
+    for h, r in enumerate(out):
+        step = float(phi @ past)
+        past, level = [step, *past[:-1]], level + step
+        spread = sigma * np.sqrt(np.sum(np.cumsum(psi) ** 2))
+        assert r.predicted_close == pytest.approx(level, abs=1e-7)
+        assert r.predicted_high - level == pytest.approx(forecast.NORMAL_90 * spread, rel=1e-7)
+        psi.append(sum(phi[k] * psi[len(psi) - k - 1] for k in range(min(5, len(psi)))))
+
+
+def test_seasonal_model_finds_the_year(spark):
+    """Trend, weekday and waves of the year that the data were made of come back."""
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(1000)]
+    turn = lambda day: 2 * np.pi * (day - dt.date(1970, 1, 1)).days / 365.25
+    value = lambda day: float(50 + 0.02 * (day - days[0]).days + 5 * np.sin(turn(day)) - 2 * np.cos(2 * turn(day))
+                              + (4 if day.weekday() == 5 else 0))
+    df = spark.createDataFrame([("A", day, value(day)) for day in days], "ticker string, trade_date date, close double")
+    for r in forecast.forecast(df, "ticker", "trade_date", "close", "trend_weekday").collect():
+        assert r.predicted_close == pytest.approx(value(r.forecast_date), abs=1e-5)
