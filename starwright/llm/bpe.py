@@ -10,23 +10,40 @@ from functools import lru_cache
 from operator import add
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from starwright.llm.registry import query, table
 
-WORD_CACHE = 800_000  # entries of each cache of a Python worker; a full one is emptied
+WORD_CACHE = 600_000  # entries of each cache of a Python worker; a full one is emptied
+LONGEST = 64  # characters of what is remembered; longer pieces are worked out each time
 # the white space of the tokenizer's pattern language, written out
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# fixed values: the split pattern and the byte alphabet of byte-level BPE vocabularies
-PIECE = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+"
-    rf"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+# fixed values: the split pattern, for text of Latin letters, and the byte alphabet of byte-level BPE vocabularies. Which
+# characters beyond are letters or numbers depends on the Unicode version, so the library itself splits text that holds them.
+LATIN_END = "\u0250"  # the letters and numbers before it are settled
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_SPACES = r"\t\n\x0b\x0c\r \x85\xa0"
+PIECE = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{LATIN_SPACES}{LETTERS}{NUMBERS}]+"
+    rf"|[{LATIN_SPACES}]+(?![^{LATIN_SPACES}])|[{LATIN_SPACES}]+")
+LATIN_WORD = re.compile(f"[{LETTERS}]+").fullmatch
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 # a chunk is a run of white space and what follows up to the next; no token spans two chunks
 CHUNK = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-OTHER_SPACES = re.compile(rf"[{SPACES}] |[{SPACES}](?=$)| (?=[{SPACES}])")
+RARE_SPACES = [*"\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000"]
+SPACE_PAIRS = ["  ", *[pair for c in "\t\n\x0b\x0c\r" for pair in (c + " ", " " + c)]]
+MARKS = set(".,;:!?")
+
+
+def odd_spaces(text: str) -> bool:
+    """Whether a space stands beside other white space or at the end, or white space beyond ASCII occurs.
+
+    Otherwise each space belongs to the word that follows it.
+    """
+    return (text[-1:].isspace() or any(pair in text for pair in SPACE_PAIRS)
+            or not text.isascii() and any(c in text for c in RARE_SPACES))
 
 
 def byte_alphabet() -> list[str]:
@@ -39,14 +56,18 @@ def byte_alphabet() -> list[str]:
 
 
 class Remembered(dict):
-    """Values of a function, worked out when first asked for."""
+    """Values of a function, worked out when first asked for; at most ``limit`` of them, of short keys."""
 
-    def __init__(self, function):
+    def __init__(self, function, limit: int):
         super().__init__()
-        self.function = function
+        self.function, self.limit = function, limit
 
     def __missing__(self, key):
-        value = self[key] = self.function(key)
+        value = self.function(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -55,7 +76,8 @@ class PieceEncoder:
 
     The model merges inside the pieces of the split pattern only, so the ids of a text are those
     of its pieces, one after the other. White space always starts a piece, hence whole
-    words can be looked up. Strings of special tokens are taken out first, as the library does.
+    words can be looked up. Strings of special tokens are taken out first, as the library does. Caches are
+    bounded in entries and in the length of their keys, also within one text.
     """
 
     def __init__(self, path: str, cache: int = WORD_CACHE):
@@ -67,6 +89,7 @@ class PieceEncoder:
         vocabulary = spec["model"]["vocab"]
         letters = byte_alphabet()
         self.to_letters = {b: letters[b] for b in range(256)}
+        self.space = letters[32]
         to_byte = {c: b for b, c in enumerate(letters)}
         self.vocabulary = vocabulary
         self.id_bytes = [i.to_bytes(4, "little") for i in range(1 + max(
@@ -76,30 +99,41 @@ class PieceEncoder:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, longest_first))) if self.added else None
         self.limit = cache
-        self.words = Remembered(self.encode_word)  # what follows one space, without that space
-        self.pieces = Remembered(lambda p: self.encode_letters(self.letters(p)))
-        self.chunks = Remembered(lambda c: b"".join(map(self.pieces.__getitem__, PIECE.findall(c))))
+        self.presplit = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.words = Remembered(self.encode_word, cache)  # what follows one space, without that space
+        self.pieces = Remembered(self.encode_letters, cache)  # in the byte alphabet
+        self.chunks = Remembered(lambda c: b"".join(map(self.pieces.__getitem__, self.split(c))), cache)
+
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text in the byte alphabet."""
+        if text.isascii():
+            return [p.translate(self.to_letters) for p in PIECE.findall(text)]
+        if max(text) < LATIN_END:
+            return [self.letters(p) for p in PIECE.findall(text)]
+        return [p for p, _ in self.presplit(text)]
 
     def letters(self, piece: str) -> str:
         """The bytes of a piece in the byte alphabet."""
         return piece.encode("utf-8").decode("latin-1").translate(self.to_letters)
 
     def encode_letters(self, letters: str) -> bytes:
-        ids = self.id_bytes
-        return b"".join([ids[t.id] for t in self.tokenize(letters)])
+        ids, tokens = self.id_bytes, self.tokenize(letters)
+        return ids[tokens[0].id] if len(tokens) == 1 else b"".join([ids[t.id] for t in tokens])
 
     def encode_word(self, word: str) -> bytes:
-        if word.isalpha():  # letters after one space are one piece
-            return self.encode_letters(self.letters(" " + word))
-        first, *rest = PIECE.findall(" " + word)
-        head = self.words[first[1:]] if first[1:].isalpha() else self.pieces[first]
-        return b"".join([head, *map(self.pieces.__getitem__, rest)])
+        if word.isascii():
+            if word.isalpha():  # letters after one space are one piece
+                return self.encode_letters(self.space + word)
+            if word[-1] in MARKS and word[:-1].isalpha():
+                return self.words[word[:-1]] + self.pieces[word[-1]]
+        elif LATIN_WORD(word):
+            return self.encode_letters(self.space + self.letters(word))
+        elif word[-1] in MARKS and LATIN_WORD(word[:-1]):
+            return self.words[word[:-1]] + self.pieces[word[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(" " + word)))
 
     def encode_plain(self, text: str) -> bytes:
-        for cache in (self.pieces, self.chunks, self.words):
-            if len(cache) > self.limit:
-                cache.clear()
-        if OTHER_SPACES.search(text):
+        if odd_spaces(text):
             return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
         head, *words = text.split(" ")
         return self.chunks[head] + b"".join(map(self.words.__getitem__, words))
@@ -131,7 +165,7 @@ class ForcedBoundaryEncoder(PieceEncoder):
     def __init__(self, path: str, cache: int = WORD_CACHE):
         super().__init__(path, cache)
         self.joined = {t[i:i + 2] for t in self.vocabulary for i in range(len(t) - 1)}
-        self.fragments = Remembered(super().encode_letters)
+        self.fragments = Remembered(super().encode_letters, cache)
 
     def cut(self, letters: str) -> list[str]:
         """Fragments between certain cuts."""
@@ -145,8 +179,6 @@ class ForcedBoundaryEncoder(PieceEncoder):
         fragments = self.cut(letters)
         if len(fragments) == 1:  # the caller remembers the whole piece
             return super().encode_letters(letters)
-        if len(self.fragments) > self.limit:
-            self.fragments.clear()
         return b"".join(map(self.fragments.__getitem__, fragments))
 
 
