@@ -9,6 +9,7 @@ from starwright.llm.common import small, stage
 from starwright.llm.registry import query, table
 
 PREFIX_CHARS = 64
+GROUP_ROWS = 100_000  # groups, some 150 bytes each, that may be broadcast
 
 
 def exact_dedup(
@@ -27,8 +28,9 @@ def exact_dedup(
     their names cannot clash. An empty table gives no rows.
 
     Copies are counted before they are shuffled, so a group holding a third of all rows costs
-    one row per task; the join back to the rows is one Spark can split by skew. The surviving
-    (length, prefix) keys are broadcast when their count is small, else joined by shuffle.
+    one row per task. The groups are staged, so that the join back to the rows is between two tables read
+    for it, which Spark splits by skew, or a broadcast when their count is small. The surviving
+    (length, prefix) keys are joined likewise.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     keyed = df.select(
@@ -51,6 +53,7 @@ def exact_dedup(
         "dedup-hashes")
     groups = hashed.where(F.col("__hash").isNotNull()).groupBy("__len", "__hash").agg(
         F.max("__id").alias("__keep"), F.count("*").alias("__size")).where("__size > 1")
+    groups = small(stage(groups, "dedup-groups"), GROUP_ROWS)
     return hashed.join(groups, ["__len", "__hash"], "left").select(
         F.col("__id").alias(id_col),
         F.coalesce("__keep", "__id").alias("keep_id"),
