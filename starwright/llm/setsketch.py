@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starwright.llm.common import components, small, stage
@@ -20,6 +21,9 @@ STEP = 1.1  # ratio of neighbouring register values
 # probability e**-7, and an empty one is just one more value
 CUT = float(np.log(REGISTERS)) + 7
 MARGIN = 0.25  # pairs estimated this much below the threshold are not verified: some 8 deviations
+PARITY_WORDS = 32  # 64-bit words of a parity sketch
+PARITY_TEXTS = 256  # sketched together, 4 MB
+PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 STARS = 3  # rounds of one head against its bucket before the remaining pairs are tried
 
 
@@ -54,6 +58,31 @@ def sketch(hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return value.reshape(texts, REGISTERS)
 
 
+def parities(hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """Per set (texts x PARITY_WORDS) whether an odd number of its hashes falls into each bit.
+
+    An element that only one of two sets holds changes one bit, so the number of bits in which their sketches
+    differ is at most the number of elements in which the sets do.
+    """
+    bits = 64 * PARITY_WORDS
+    place = (mix(hashes ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(bits)).astype(np.int64)
+    out = np.empty((texts, PARITY_WORDS), np.int64)
+    for at in range(0, texts, PARITY_TEXTS):  # hashes are in the order of their texts
+        low, high = np.searchsorted(owner, [at, at + PARITY_TEXTS])
+        some = min(PARITY_TEXTS, texts - at)
+        odd = np.bincount((owner[low:high] - at) * bits + place[low:high], minlength=some * bits) & 1
+        out[at:at + some] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(some, PARITY_WORDS)
+    return out
+
+
+def may_link(a: list[str], b: list[str], na: str, nb: str, percent: int) -> Column:
+    """Whether parity sketches and sizes allow 100 * intersection >= percent * union; exact for a no."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)])
+    sizes = F.col(na) + F.col(nb)
+    return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+            & (differ * (100 + percent) <= sizes * (100 - percent)))
+
+
 def likeliest(larger: np.ndarray, smaller: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Most likely similarity of pairs, given how many registers of a are larger or smaller.
 
@@ -84,16 +113,17 @@ def near_duplicates(
     Returns one row per row: ``doc_id, n_shingles, component_id, kept``. Shingles are of ``width``
     words, A-Z lower-cased; a text of fewer words is one shingle, and one without words has
     none and no links. component_id is the smallest id reachable over links, itself included. NULL ids
-    link with nothing and are kept; repeated rows of one id are one document; NULL text has no
-    words; other columns are ignored; an empty table gives no rows.
+    link with nothing and are kept; repeated rows of one id are one document, of different texts the
+    one with the smallest digest of its set; NULL text has no words; other columns are ignored; an empty table gives no rows.
 
     1. One pass over the texts makes the registers. Equal sets become one class, and one member
        goes on, so copies cost nothing further.
     2. Registers are banded (40 bands of 6; a pair at 0.8 shares no band with probability 5e-6, one
        at 0.9 with 1e-13). Of each bucket the member that meets most others is tried against the rest, then
        the next one outside the main component, then what is left: pairs of a bucket whose
-       components still differ. So a bucket of thousands of near copies costs a few pairs each, no
-       link between components is left untried, and nothing is capped.
+       components still differ. Parity sketches bound from below in how many shingles two sets
+       differ; a pair beyond what the threshold allows is dropped where it is met. So a bucket of thousands of
+       near copies costs a few pairs each, no link between components is left untried, and nothing is capped.
     3. A pair is verified on the full sets unless its likelihood estimate is far below the
        threshold or its sizes rule it out.
     """
@@ -106,20 +136,34 @@ def near_duplicates(
             first = np.concatenate([[0], np.cumsum(sizes)])
             keys = [hash_of_set(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
             registers = sketch(hashes, owner, len(raws))
+            parity = parities(hashes, owner, len(raws))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()),
-                 pa.array([r.tobytes() for r in registers], pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "registers"])
+                 pa.array([r.tobytes() for r in registers], pa.binary()),
+                 *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY_WORDS)]],
+                ["doc_id", "n_shingles", "set_key", "registers", *PARITY])
 
     all_docs = stage(source.mapInArrow(
-        sketches, "doc_id long, n_shingles long, set_key binary, registers binary"), "near-sketches")
+        sketches, "doc_id long, n_shingles long, set_key binary, registers binary, "
+        + ", ".join(f"{p} long" for p in PARITY)), "near-sketches")
+    repeated = stage(all_docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.count("*").alias("times"), F.min(F.struct("set_key", "n_shingles")).alias("first")).where("times > 1")
+        .select("doc_id", "first"), "near-repeated")
+    has_repeats = not repeated.isEmpty()
+    if has_repeats:  # all rows of an id are the document of one text
+        all_docs = all_docs.join(small(repeated), "doc_id", "left").select(
+            "doc_id", F.coalesce("first.n_shingles", "n_shingles").alias("n_shingles"),
+            F.coalesce("first.set_key", "set_key").alias("set_key"),
+            F.when(F.coalesce(F.col("first.set_key") == F.col("set_key"), F.lit(True)), F.col("registers")).alias("registers"),
+            *PARITY)
     able = all_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage(able.groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "near-classes")
-    chosen = able.select("set_key", F.col("doc_id").alias("rep"), "registers")
-    reps = stage(
-        chosen.join(classes, ["set_key", "rep"]).dropDuplicates(["rep"]).select("rep", "n", "registers"),
-        "near-reps")
+    chosen = able.where("registers IS NOT NULL").select("set_key", F.col("doc_id").alias("rep"), "registers", *PARITY)
+    chosen = chosen.join(classes, ["set_key", "rep"])
+    if has_repeats:
+        chosen = chosen.dropDuplicates(["rep"])
+    reps = stage(chosen.select("rep", "n", "registers", "set_key", *PARITY), "near-reps")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
         i, F.col("registers").substr(i * ROWS + 1, F.lit(ROWS))))
     bands = reps.select(F.col("rep").alias("id"), "n", F.explode(band).alias("key"))
@@ -129,18 +173,27 @@ def near_duplicates(
     central = found.groupBy("id").agg(F.sum("c").alias("met"))
     members = stage(found.drop("c").join(central, "id"), "near-buckets")
 
-    ids = stage(members.select("id").distinct(), "near-ids")
+    ids = stage(members.select("id").distinct().join(
+        reps.select(F.col("rep").alias("id"), "set_key"), "id"), "near-ids")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raws in text_slices(batches):
             hashes, owner = shingle_sets(raws, width)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(raws)))])
-            yield pa.RecordBatch.from_arrays(
+            wanted = batch.column(2).to_pylist()
+            keep = [hash_of_set(hashes[a:b]) == k for a, b, k in zip(offsets[:-1], offsets[1:], wanted)]
+            made = pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(
                     pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["id", "items"])
+            yield made if all(keep) else made.filter(pa.array(keep))
 
-    wanted = source.withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi")
-    full = stage(wanted.mapInArrow(sets, "id long, items array<long>"), "near-sets").dropDuplicates(["id"])
+    wanted = source.withColumnRenamed("doc_id", "id").join(small(ids), "id").select("id", "text", "set_key")
+    if has_repeats:  # rows given again bring the same set; only their ids are compared
+        again = small(repeated.select(F.col("doc_id").alias("id")))
+        once = wanted.join(again, "id", "left_semi").dropDuplicates(["id", "text"])
+        wanted = wanted.join(again, "id", "left_anti").unionByName(once)
+    full = wanted.mapInArrow(sets, "id long, items array<long>")
+    full = stage(full.dropDuplicates(["id"]) if has_repeats else full, "near-sets")
 
     def promising(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,16 +207,20 @@ def near_duplicates(
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among ``pairs (a, b)``."""
-        left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-        right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+        left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"),
+                           *[F.col(p).alias(f"{p}a") for p in PARITY])
+        right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"),
+                            *[F.col(p).alias(f"{p}b") for p in PARITY])
         sized = pairs.join(left, "a").join(right, "b").where(
-            F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+            may_link([f"{p}a" for p in PARITY], [f"{p}b" for p in PARITY], "na", "nb", percent))
         likely = stage(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(
             promising, "a long, b long, na long, nb long"), "near-likely")
-        one = full.select(F.col("id").alias("a"), F.col("items").alias("ia"))
-        two = full.select(F.col("id").alias("b"), F.col("items").alias("ib"))
-        common = F.size(F.array_intersect("ia", "ib"))
-        shared = likely.join(one, "a").join(two, "b").select("a", "b", "na", "nb", common.alias("both"))
+        # sets go where their pairs are, and only those of pairs
+        asked = small(likely)
+        one = asked.join(full.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
+        two = small(likely.select("a", "b")).join(full.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
+        shared = one.join(two, ["a", "b"]).select(
+            "a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).alias("both"))
         return stage(
             shared.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
             .select("a", "b"), "near-links")
@@ -188,12 +245,16 @@ def near_duplicates(
     named = stage(members.join(labels, "id", "left").select(
         "key", "id", "n", F.coalesce("component", "id").alias("component")), "near-named")
     # members of the main component need not be tried with each other
-    minor = outside_main(named)
-    other = named.select("key", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("component").alias("oc"))
+    minor = stage(outside_main(named), "near-minor")
+    mixed = named.join(minor.select("key").distinct(), "key", "left_semi")
+    mixed = stage(mixed.join(reps.select(F.col("rep").alias("id"), *PARITY), "id"), "near-mixed")
+    minor = minor.select("key", "id", "main").join(mixed, ["key", "id"])
+    other = mixed.select("key", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("component").alias("oc"),
+                         *[F.col(p).alias(f"{p}o") for p in PARITY])
     rest = minor.join(other, "key").where(
         (F.col("component") != F.col("oc"))
         & ((F.col("oc") == F.col("main")) | (F.col("id") < F.col("oid")))
-        & (F.least("n", "on") * 100 >= F.greatest("n", "on") * percent))
+        & may_link(PARITY, [f"{p}o" for p in PARITY], "n", "on", percent))
     rest = rest.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct()
     links = links.unionByName(verified(rest))
     labels = components(links, "near-components")

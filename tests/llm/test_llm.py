@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import DATA_DIR
-from starwright.llm import nn_descent
+from starwright.llm import nn_descent, setsketch
 from starwright.llm import queries as llm
 from starwright.llm.balanced_shards import balanced_shards, pack
 from starwright.llm.bpe import ForcedBoundaryEncoder, PieceEncoder, encode_decode, vocabulary_path
@@ -91,6 +91,31 @@ def test_encoders_equal_the_library():
             assert e.decode(raw) == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_equals_the_library():
+    """Alone, after a letter, before a letter ending, after a space and beside a number."""
+    path = vocabulary_path()
+    library = Tokenizer.from_file(path)
+    encoders = [PieceEncoder(path, 50_000), ForcedBoundaryEncoder(path, 50_000)]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 8192):
+        if at > 0x20000 and at // 8192 % 4:  # of the planes above, a quarter; hardly any of it is assigned
+            continue
+        text = "".join(f"a{c}'s {c}b {c} 1{c}.{c}" for c in points[at:at + 8192])
+        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        for e in encoders:
+            assert e.encode(text) == want, hex(ord(points[at]))
+    rng = random.Random(8)
+    for _ in range(2000):
+        text = "".join(rng.choices(points, k=rng.randint(1, 12))) + rng.choice([" ", "'s", "x", "\n"])
+        assert encoders[0].encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_caches_are_bounded():
+    e = PieceEncoder(vocabulary_path(), 50)
+    e.encode(" ".join(f"w{i}" for i in range(5000)) + " " + "x" * 100_000)
+    assert max(map(len, (e.words, e.pieces, e.chunks))) <= 50 and max(map(len, e.words)) <= 64
+
+
 def test_bpe_whole_table(docs, odd, empty):
     library = Tokenizer.from_file(vocabulary_path())
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
@@ -415,3 +440,32 @@ def test_pipeline(spark, docs):
     assert 0 < out.select("doc_id").distinct().count() < before
     assert out.select("doc_id", "text").distinct().count() == out.select("text").distinct().count()
     assert corpus_pipeline.run(spark, DATA_DIR).count() == out.count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parity_sketches_bound_differences(seed):
+    """Bits that differ are never more than elements that do, so no link is dropped by them."""
+    rng = np.random.default_rng(seed)
+    sets = [rng.integers(0, 4000, rng.integers(1, 3000)).astype(np.uint64) * np.uint64(2654435761) for _ in range(40)]
+    sets = [np.unique(s) for s in sets]
+    sketches = setsketch.parities(np.concatenate(sets), np.repeat(np.arange(40), list(map(len, sets))), 40)
+    for i, j in itertools.combinations(range(40), 2):
+        differ = sum(int(x).bit_count() for x in (sketches[i] ^ sketches[j]).view(np.uint64))
+        assert differ <= len(np.setxor1d(sets[i], sets[j]))
+    assert len({s.tobytes() for s in sketches}) == 40
+
+
+def test_one_id_with_several_texts_is_one_document(spark):
+    one, two, far = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z aa bb cc dd"
+    rows = [(1, one), (5, one), (5, two), (5, two), (9, two), (12, far), (12, far), (None, one)]
+    made = spark.createDataFrame([(i, t, "en", "s", 1, "k", 1, "z") for i, t in rows], DOCS)
+    got = [near_duplicates(made.repartition(n)).orderBy("doc_id").collect() for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    by = {}
+    for r in got[0]:
+        by.setdefault(r["doc_id"], set()).add((r["n_shingles"], r["component_id"], r["kept"]))
+    assert all(len(v) == 1 for v in by.values())
+    assert by[12] == {(6, 12, True)} and by[None] == {(6, None, True)}
+    assert sorted((by[1], by[5], by[9]), key=repr) in (  # 5 goes with 1 or with 9, by the digests
+        sorted(({(6, 1, True)}, {(6, 1, False)}, {(6, 9, True)}), key=repr),
+        sorted(({(6, 1, True)}, {(6, 5, True)}, {(6, 5, False)}), key=repr))
