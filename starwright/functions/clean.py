@@ -87,7 +87,8 @@ def year_or_date(year: Column | str | None, date: Column | str) -> Column:
 def surrogate_key(*cols: Column | str, bits: int = 64, separator: str = "_") -> Column:
     """Non-negative integer key of the natural key.
 
-    64 bits by default: with 32 bits two of 100,000 keys already collide. The
+    64 bits by default: with 32 bits two of 100,000 keys already collide. Every part is hashed with its length
+    before it, so ``("a_b", "c")`` and ``("a", "b_c")`` differ, and a NULL part differs from any text. The
     32-bit form is kept for tables keyed that way; its one overflow value
     (the smallest int) is mapped to NULL instead of failing.
     """
@@ -96,6 +97,8 @@ def surrogate_key(*cols: Column | str, bits: int = 64, separator: str = "_") ->
     # a NULL part has its own mark, so that (a, NULL, b) and (a, b, NULL) differ
     text = F.when(given, F.concat_ws(separator, *[F.coalesce(p, F.lit("\u0000")) for p in parts]))
     if bits == 64:
+        if len(parts) > 1:
+            text = F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])
         return F.when(given, F.pmod(F.xxhash64(text), F.lit(2**63 - 1)))
     if bits == 32:
         code = F.hash(text)

@@ -175,6 +175,22 @@ def surrogate_key(data: Data):
                      F.count_if(F.col("k64") < 0).alias("negative"))
 
 
+@query("p18_key_parts", """
+WITH parts AS (
+  SELECT p_brand || '_' || p_size AS a, nullif(p_type, '') AS b FROM part
+  UNION ALL SELECT p_brand, p_size || '_' || p_type FROM part
+  UNION ALL SELECT p_brand || '_' || p_size || '_' || p_type, NULL FROM part)
+SELECT count(*) AS total, count(DISTINCT {'a': a, 'b': b}) AS keys_64 FROM parts""")
+def key_parts(data: Data):
+    """Parts cut at different places give different keys."""
+    size, joined = F.col("p_size").cast("string"), F.concat_ws("_", "p_brand", "p_size")
+    pairs = [(joined, F.col("p_type")), (F.col("p_brand"), F.concat_ws("_", size, "p_type")),
+             (F.concat_ws("_", joined, "p_type"), F.lit(None).cast("string"))]
+    keys = [data.part.select(clean.surrogate_key(a, b).alias("k")) for a, b in pairs]
+    return keys[0].unionByName(keys[1]).unionByName(keys[2]).agg(
+        F.count(F.lit(1)).alias("total"), F.count_distinct("k").alias("keys_64"))
+
+
 @query("p19_date_key", """
 SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_id,
        CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_id_text,

@@ -158,6 +158,21 @@ def csv(data: Data):
     ], year_from="order_date")
 
 
+@query("s7_two_headers", """
+SELECT o_orderkey AS order_id, o_totalprice AS total,
+       CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS priority FROM orders""")
+def csv_two_headers(data: Data):
+    """One folder of files whose columns stand in another order, or are missing."""
+    path = scratch_path(data.spark, "csv")
+    names = {"Order ID": "o_orderkey", "Total": "o_totalprice", "Priority": "o_orderpriority"}
+    for part, (where, columns) in enumerate((("o_orderstatus = 'O'", list(names)),
+                                             ("o_orderstatus <> 'O'", ["Total", "Order ID"]))):
+        data.orders.filter(where).select(*[F.col(names[c]).alias(c) for c in columns]).write.csv(
+            f"{path}/{part}", header=True)
+    return csv_files.read_csv(data.spark, [f"{path}/0", f"{path}/1"], [
+        {"name": "order_id", "type": "long"}, {"name": "total", "type": "double"}, {"name": "priority", "type": "string"}])
+
+
 @query("s8_read_many", """
 SELECT year(o_orderdate)::INTEGER AS order_year, count(*) AS orders,
        round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")

@@ -327,3 +327,14 @@ def test_hot_partition_value_spans_tasks(spark):
     spread = sink.spread_for_write(df, ["p"], tasks=8)
     tasks = spread.filter("p = 'hot'").select(F.spark_partition_id().alias("t")).distinct().count()
     assert tasks >= 4
+
+
+def test_csv_files_of_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Id,Name\n1,x\n")
+    (tmp_path / "b.csv").write_text("Name,Id\ny,2\n")
+    (tmp_path / "c.csv").write_text("Id,Town\n3,z\n")
+    (tmp_path / "d.csv").write_text("")
+    fields = [{"name": "id", "type": "long"}, {"name": "name", "type": "string"}, {"name": "town", "type": "string"}]
+    want = [(1, "x", None), (2, "y", None), (3, None, "z")]
+    for path in (str(tmp_path), str(tmp_path / "*.csv"), [str(tmp_path / f"{n}.csv") for n in "abcd"]):
+        assert rows(csv_files.read_csv(spark, path, fields)) == want
