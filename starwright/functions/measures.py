@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starwright.operators.ordered import GlobalOrder
 from starwright.session import durable
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -176,9 +177,32 @@ def with_share(groups: DataFrame, value: str, name: str, scale: float = 1.0) ->
 
 
 def text_set(col: Column | str, separator: str = ", ") -> Column:
-    """Sorted distinct values of a group as one text."""
+    """Sorted distinct values of a group as one text.
+
+    The text is one value, so a group's distinct values must fit into a row; copies are dropped on the
+    map side. For groups of any size use :func:`text_set_parts`.
+    """
     return F.array_join(F.array_sort(F.collect_set(col)), separator)
 
 
+def text_set_parts(
+    df: DataFrame, keys: Sequence[str], col: str, name: str, separator: str = ", ", values: int = 10_000,
+) -> DataFrame:
+    """``(keys, part, name)``: sorted distinct non-null values per group, at most ``values`` in one text.
+
+    Parts count from 0 and follow each other in the order of the values. Copies vanish before the
+    distinct values are ranked along one global order, so a group with any number of them is spread
+    over tasks.
+    """
+    value = F.col(f"`{col}`")
+    distinct = df.filter(value.isNotNull()).select(
+        F.struct(*[F.col(f"`{k}`") for k in keys]).alias("__k"), value.alias("__v")).distinct()
+    placed = GlobalOrder(distinct, ["__k", "__v"]).rank("__first", "__k").row_number("__at").result()
+    part = F.floor((F.col("__at") - F.col("__first")) / values).alias("part")
+    listed = placed.groupBy("__k", part).agg(F.array_sort(F.collect_list("__v")).alias("__l"))
+    return listed.select(*[F.col(f"__k.`{k}`").alias(k) for k in keys], "part",
+                         F.array_join("__l", separator).alias(name))
+
+
 def coefficient_of_variation(col: Column | str) -> Column:
     return ratio_of(F.stddev_samp(col), F.avg(col))

@@ -8,12 +8,12 @@ through :func:`long_indicators`, which cuts the series into chunks.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from starwright.operators.ordered import chunked_windows
+from starwright.operators.ordered import Chunks, chunked_windows
 
 TRADING_DAYS = 252
 
@@ -193,6 +193,16 @@ def series_window(entity: Sequence[str] | str, order: Sequence[str] | str) -> Wi
     return Window.partitionBy(*keys).orderBy(*by)
 
 
+def along(
+    df: DataFrame, entity: str, order: str, calculate: Callable[[DataFrame, WindowSpec], DataFrame],
+    reach: int, chunks: Chunks | None = None,
+) -> DataFrame:
+    """``calculate(df, window)`` along each series: whole, or cut into chunks that overlap by ``reach`` rows."""
+    if chunks is None:
+        return calculate(df, series_window(entity, order))
+    return chunked_windows(df, [entity], [order], chunks.coarse, calculate, reach, max(chunks.rows, reach))
+
+
 def add_indicators(
     df: DataFrame, specs: Mapping[str, Mapping[str, object]], entity: Sequence[str] | str,
     order: Sequence[str] | str,
@@ -256,7 +266,13 @@ def _technicals(df: DataFrame, w: WindowSpec, price: str) -> DataFrame:
 def window_column(
     df: DataFrame, partition: Sequence[str], order: Sequence[str], expr: str, alias: str,
 ) -> DataFrame:
-    """Any SQL window expression over (partition, order)."""
+    """Any SQL window expression over (partition, order).
+
+    Without a partition one task would sort the whole table, so that is refused: lags, running
+    sums and ranks along a whole table are those of :class:`~starwright.operators.ordered.GlobalOrder`.
+    """
+    if not partition:
+        raise ValueError("a window needs a partition; use GlobalOrder for the order of a whole table")
     return df.withColumn(alias, F.expr(expr).over(Window.partitionBy(*partition).orderBy(*order)))
 
 
@@ -281,20 +297,23 @@ def forward_return(df: DataFrame, entity: str, order: str, value: str, rows: int
 def forecast_features(
     df: DataFrame, entity: str, order: str, value: str,
     lags: Sequence[int] = (1, 2, 3, 5, 7, 14), frames: Sequence[int] = (5, 10, 20),
+    chunks: Chunks | None = None,
 ) -> DataFrame:
     """Lags, rolling mean and deviation over full frames, weekday columns."""
-    w = series_window(entity, order)
-    cols: dict[str, Column] = {f"lag_{n}": F.lag(value, n).over(w) for n in lags}
-    for n in frames:
-        frame = trailing(w, n)
-        full = F.count(value).over(frame) == n
-        cols[f"rolling_mean_{n}"] = F.when(full, F.avg(value).over(frame))
-        cols[f"rolling_std_{n}"] = F.when(full, F.stddev_samp(value).over(frame))
+    def features(d: DataFrame, w: WindowSpec) -> DataFrame:
+        cols: dict[str, Column] = {f"lag_{n}": F.lag(value, n).over(w) for n in lags}
+        for n in frames:
+            frame = trailing(w, n)
+            full = F.count(value).over(frame) == n
+            cols[f"rolling_mean_{n}"] = F.when(full, F.avg(value).over(frame))
+            cols[f"rolling_std_{n}"] = F.when(full, F.stddev_samp(value).over(frame))
+        return d.withColumns(cols)
+
     monday_first = F.weekday(order)
-    cols["day_of_week"] = monday_first
-    cols["is_monday"] = (monday_first == 0).cast("int")
-    cols["is_friday"] = (monday_first == 4).cast("int")
-    return df.withColumns(cols)
+    return along(df, entity, order, features, max([*lags, *frames], default=0), chunks).withColumns({
+        "day_of_week": monday_first,
+        "is_monday": (monday_first == 0).cast("int"),
+        "is_friday": (monday_first == 4).cast("int")})
 
 
 def rank_by_total(df: DataFrame, entity: str, value: str, total: str, rank: str) -> DataFrame:

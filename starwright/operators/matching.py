@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from starwright.operators.setops import keep_one
 from starwright.session import durable
+from starwright.sinks.tables import append_immutable, table_exists
+from starwright.sources.tables import scan
 
 GRAM_SIZES = (2, 3, 4)
 
@@ -131,6 +133,11 @@ def resolve_names(
         F.when(F.col("m").isNotNull(), 1.0).otherwise(-F.col("b.s")).alias("confidence"),
         F.when(F.col("m").isNotNull(), "MASTER").when(F.col("b").isNotNull(), "COSINE")
         .otherwise("UNMATCHED").alias("method"))
+    return handled(out, unmatched)
+
+
+def handled(out: DataFrame, unmatched: str) -> DataFrame:
+    """Unmatched names pass through (confidence 0), are skipped, or raise an error when read."""
     if unmatched == "skip":
         return out.filter(F.col("method") != "UNMATCHED")
     if unmatched == "error":
@@ -140,3 +147,38 @@ def resolve_names(
         ).otherwise(F.col("canonical")))
     return out.withColumn("canonical", F.coalesce("canonical", "name")).withColumn(
         "confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
+def resolve_and_learn(
+    names: DataFrame, name: str, canon: DataFrame, canonical: str, path: str,
+    threshold: float = 0.85, unmatched: str = "passthrough",
+) -> DataFrame:
+    """:func:`resolve_names`, with every match by cosine kept in a table of aliases at ``path``.
+
+    The table (alias, canonical, confidence) is append-immutable: a name once matched keeps its
+    canonical name, with method ALIAS, and no grams of it are counted or joined again. Aliases are
+    compared trimmed and regardless of case, like grams. One does not count while its canonical
+    name is not in ``canon`` or its confidence is below ``threshold``; the name is matched anew then. Names
+    without a match are not stored, as a later list may have one for them. A run that fails before
+    its append has learned nothing and may be repeated.
+    """
+    spark = names.sparkSession
+    key = F.lower(F.trim("name"))
+    fresh = durable(names.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct())
+    known = None
+    if table_exists(spark, path):
+        valid = canon.select(F.col(canonical).alias("canonical")).distinct()
+        learned = scan(spark, path).filter(F.col("confidence") >= threshold).join(
+            valid, "canonical", "left_semi").groupBy("alias").agg(
+            F.max_by(F.struct("canonical", "confidence"), F.struct("confidence", "canonical")).alias("a"))
+        looked = durable(fresh.join(learned, key == F.col("alias"), "left").select("name", "a"))
+        known = looked.filter("a IS NOT NULL").select(
+            "name", "a.canonical", "a.confidence", F.lit("ALIAS").alias("method"))
+        fresh = looked.filter("a IS NULL").select("name")
+        if fresh.isEmpty():
+            return known
+    found = durable(resolve_names(fresh, "name", canon, canonical, None, threshold))
+    append_immutable(found.filter("method = 'COSINE'").select(
+        key.alias("alias"), "canonical", "confidence"), path, ["alias", "canonical"])
+    out = handled(found.withColumn("canonical", F.when(F.col("method") != "UNMATCHED", F.col("canonical"))), unmatched)
+    return out if known is None else known.unionByName(out)

@@ -8,6 +8,7 @@ entity may hold a large part of all rows. Both are split here, with exact result
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -112,6 +113,14 @@ class GlobalOrder:
         return self.rows.drop("__id", "__part")
 
 
+@dataclass(frozen=True)
+class Chunks:
+    """How long series are cut: rows per chunk, and a coarse, monotone version of their order."""
+
+    coarse: Column
+    rows: int = 100_000
+
+
 def numbered(
     df: DataFrame, entity: Sequence[str], order: Sequence[str], coarse: Column,
     name: str = "__pos",
@@ -162,3 +171,31 @@ def chunked_windows(
     window = Window.partitionBy(*entity, "__chunk").orderBy("__pos")
     out = calculate(spread, window)
     return out.filter(F.col("__chunk") == home).drop("__chunk", "__pos")
+
+
+def chunked_ranges(
+    df: DataFrame,
+    entity: Sequence[str],
+    position: Column,
+    calculate: Callable[[DataFrame, WindowSpec], DataFrame],
+    halo: int,
+    chunk: int,
+) -> DataFrame:
+    """Range-frame windows over chunks of each entity's series, cut by an integer position.
+
+    ``position`` (days, seconds) is also what the windows are ordered by, so frames of ``rangeBetween``
+    count in its units. Every chunk gets copies of the rows of the ``halo`` units before it, and drops them
+    after ``calculate``: frames reaching at most that far back are exact, and chained frames need the sum
+    of their reaches. The position itself names the chunk, so nothing is numbered and the only shuffle
+    is that of the windows. Rows without a position form a chunk of their own, as they are
+    peers of each other alone.
+    """
+    if not 0 <= halo <= chunk:
+        raise ValueError("halo must be between 0 and chunk")
+    home = F.floor(F.col("__at") / chunk)
+    near_end = F.pmod(F.col("__at"), F.lit(chunk)) >= chunk - halo
+    spread = df.withColumn("__at", position.cast("long")).withColumn(
+        "__chunk", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))))
+    window = Window.partitionBy(*entity, "__chunk").orderBy("__at")
+    out = calculate(spread, window)
+    return out.filter(F.col("__chunk").eqNullSafe(home)).drop("__chunk", "__at")

@@ -1,21 +1,23 @@
 """Rolling financial and operational analytics.
 
 Row-frame measures expect one row per entity and day (a price or report series), which the
-calendar bounds. Day-frame measures first add up to one row per key and day, so a busy key
-costs a map-side sum and not a large window.
+calendar bounds; for longer series pass ``chunks``, which cuts them into overlapping pieces. Day-frame
+measures first add up to one row per key and day, so a busy key costs a map-side sum and not a large
+window; ``chunk_days`` cuts what is left into pieces that overlap by the reach of the frames.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from starwright.operators.indicators import (
-    TRADING_DAYS, indicators, percent_return, series_window, trailing,
+    TRADING_DAYS, along, indicators, percent_return, reach, series_window, trailing,
 )
+from starwright.operators.ordered import Chunks, chunked_ranges
 
 
 def day_number(date: Column | str) -> Column:
@@ -29,26 +31,42 @@ def ratio(a: Column, b: Column) -> Column:
 
 def with_return(df: DataFrame, entity: str, order: str, price: str, name: str = "__ret") -> DataFrame:
     """Fractional return from the row before."""
-    w = series_window(entity, order)
+    return add_return(df, series_window(entity, order), price, name)
+
+
+def add_return(df: DataFrame, w: WindowSpec, price: str, name: str = "__ret") -> DataFrame:
     return df.withColumn(name, percent_return(F.col(price), F.lag(price, 1).over(w)) / 100)
 
 
+def along_days(df: DataFrame, by: Sequence[str], date: str,
+               calculate: Callable[[DataFrame, WindowSpec], DataFrame],
+               days: int, chunk_days: int | None) -> DataFrame:
+    """``calculate(df, window)`` with range frames of at most ``days`` days, whole or by chunks of days."""
+    if chunk_days is None:
+        return calculate(df, Window.partitionBy(*by).orderBy(day_number(date)))
+    return chunked_ranges(df, by, day_number(date), calculate, days, max(chunk_days, days))
+
+
 def sharpe_ratio(df: DataFrame, entity: str, order: str, price: str = "close",
-                 risk_free_rate: float = 0.045, window: int = 252) -> DataFrame:
+                 risk_free_rate: float = 0.045, window: int = 252,
+                 chunks: Chunks | None = None) -> DataFrame:
     """Annualised excess return over annualised deviation of the last rows."""
-    frame = trailing(series_window(entity, order), window)
-    out = with_return(df, entity, order, price).withColumns({
-        "__mean": F.avg("__ret").over(frame), "__sd": F.stddev_samp("__ret").over(frame)})
+    def moments(d: DataFrame, w: WindowSpec) -> DataFrame:
+        frame = trailing(w, window)
+        return add_return(d, w, price).withColumns({
+            "__mean": F.avg("__ret").over(frame), "__sd": F.stddev_samp("__ret").over(frame)})
+
+    out = along(df, entity, order, moments, window, chunks)
     sharpe = ratio(F.col("__mean") * TRADING_DAYS - risk_free_rate,
                    F.col("__sd") * math.sqrt(TRADING_DAYS))
     return out.select(entity, order, sharpe.alias("sharpe_ratio"))
 
 
 def drawdown(df: DataFrame, entity: str, order: str, price: str = "close",
-             window: int = 252) -> DataFrame:
+             window: int = 252, chunks: Chunks | None = None) -> DataFrame:
     """Fall from the highest price of the last rows."""
-    frame = trailing(series_window(entity, order), window)
-    out = df.withColumn("peak_price", F.max(price).over(frame))
+    out = along(df, entity, order, lambda d, w: d.withColumn(
+        "peak_price", F.max(price).over(trailing(w, window))), window, chunks)
     return out.select(entity, order, (ratio(F.col(price), F.col("peak_price")) - 1)
                       .alias("drawdown"), "peak_price")
 
@@ -62,30 +80,39 @@ def with_benchmark(df: DataFrame, entity: str, order: str, column: str, benchmar
 
 
 def rolling_beta(df: DataFrame, entity: str, order: str, benchmark: str, price: str = "close",
-                 window: int = 252) -> DataFrame:
-    """Covariance with the benchmark's return over its variance."""
-    returns = with_return(df, entity, order, price)
+                 window: int = 252, chunks: Chunks | None = None) -> DataFrame:
+    """Covariance with the benchmark's return over its variance.
+
+    The frames count days that the benchmark has too, so chunks are cut again after its join.
+    """
+    returns = along(df, entity, order, lambda d, w: add_return(d, w, price), 1, chunks)
     joined = with_benchmark(returns, entity, order, "__ret", benchmark, "__market")
-    frame = trailing(series_window(entity, order), window)
     market = F.when(F.col("__ret").isNotNull(), F.col("__market"))
-    out = joined.withColumns({
-        "__cov": F.covar_samp("__ret", "__market").over(frame),
-        "__var": F.var_samp(market).over(frame)})
+
+    def moments(d: DataFrame, w: WindowSpec) -> DataFrame:
+        frame = trailing(w, window)
+        return d.withColumns({
+            "__cov": F.covar_samp("__ret", "__market").over(frame),
+            "__var": F.var_samp(market).over(frame)})
+
+    out = along(joined, entity, order, moments, window, chunks)
     return out.select(entity, order, ratio(F.col("__cov"), F.col("__var")).alias("beta"))
 
 
 def momentum_score(df: DataFrame, entity: str, order: str, price: str = "close",
-                   weights: Mapping[str, float] | None = None) -> DataFrame:
+                   weights: Mapping[str, float] | None = None,
+                   chunks: Chunks | None = None) -> DataFrame:
     """Weighted mix of RSI, MACD and price trend, each brought to -1…1."""
     wt = {"rsi": 0.3, "macd": 0.3, "price_trend": 0.4, **(weights or {})}
-    w = series_window(entity, order)
-    out = indicators(df, {
+    specs = {
         "rsi": {"indicator": "rsi", "period": 14, "source": price},
         "sma_50": {"indicator": "sma", "period": 50, "source": price},
         "ema_12": {"indicator": "ema", "period": 12, "source": price},
         "ema_26": {"indicator": "ema", "period": 26, "source": price},
         "macd": {"indicator": "macd_line"},
-    }, w)
+    }
+    halo = max(reach(name, specs, df.columns) for name in specs)
+    out = along(df, entity, order, lambda d, w: indicators(d, specs, w), halo, chunks)
 
     def clamp(c: Column) -> Column:
         return F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
@@ -104,14 +131,16 @@ def momentum_score(df: DataFrame, entity: str, order: str, price: str = "close",
 
 def volatility_regime(df: DataFrame, entity: str, order: str, price: str = "close",
                       short: int = 20, long: int = 60, low: float = 0.8,
-                      high: float = 1.2) -> DataFrame:
+                      high: float = 1.2, chunks: Chunks | None = None) -> DataFrame:
     """LOW / NORMAL / HIGH by the ratio of short to long annualised deviation."""
-    w = series_window(entity, order)
     year = math.sqrt(TRADING_DAYS)
-    out = with_return(df, entity, order, price).withColumns({
-        "vol_short_ann": F.stddev_samp("__ret").over(trailing(w, short)) * year,
-        "vol_long_ann": F.stddev_samp("__ret").over(trailing(w, long)) * year,
-    }).withColumn("vol_ratio", ratio(F.col("vol_short_ann"), F.col("vol_long_ann")))
+
+    def deviations(d: DataFrame, w: WindowSpec) -> DataFrame:
+        return add_return(d, w, price).withColumns({
+            "vol_short_ann": F.stddev_samp("__ret").over(trailing(w, short)) * year,
+            "vol_long_ann": F.stddev_samp("__ret").over(trailing(w, long)) * year})
+
+    out = along(df, entity, order, deviations, max(short, long), chunks).withColumn("vol_ratio", ratio(F.col("vol_short_ann"), F.col("vol_long_ann")))
     regime = (F.when(F.col("vol_ratio").isNull(), None)
               .when(F.col("vol_ratio") < low, "LOW")
               .when(F.col("vol_ratio") > high, "HIGH").otherwise("NORMAL"))
@@ -120,10 +149,11 @@ def volatility_regime(df: DataFrame, entity: str, order: str, price: str = "clos
 
 
 def relative_strength(df: DataFrame, entity: str, order: str, benchmark: str,
-                      price: str = "close", window: int = 20) -> DataFrame:
+                      price: str = "close", window: int = 20,
+                      chunks: Chunks | None = None) -> DataFrame:
     """Return over the last rows less that of the benchmark."""
-    w = series_window(entity, order)
-    back = df.withColumn("__cum", ratio(F.col(price), F.lag(price, window).over(w)) - 1)
+    back = along(df, entity, order, lambda d, w: d.withColumn(
+        "__cum", ratio(F.col(price), F.lag(price, window).over(w)) - 1), window, chunks)
     joined = with_benchmark(back, entity, order, "__cum", benchmark, "__bench")
     strength = F.col("__cum") - F.col("__bench")
     return joined.select(entity, order, strength.alias("relative_strength"),
@@ -144,15 +174,20 @@ def net_present_value(df: DataFrame, by: Sequence[str], amount: str, date: str,
 
 
 def spending_velocity(df: DataFrame, by: Sequence[str], amount: str, date: str,
-                      windows: Sequence[int] = (30, 90, 365)) -> DataFrame:
+                      windows: Sequence[int] = (30, 90, 365),
+                      chunk_days: int | None = None) -> DataFrame:
     """Trailing-day totals per key and day, and the trend of short against long rate."""
     daily = df.groupBy(*by, F.col(date).cast("date").alias("date")).agg(
         F.sum(amount).alias("__amt"))
-    w = Window.partitionBy(*by).orderBy(day_number("date"))
-    spent = {f"spend_{d}d": F.sum("__amt").over(w.rangeBetween(-(d - 1), 0)) for d in windows}
+
+    def spent(d: DataFrame, w: WindowSpec) -> DataFrame:
+        return d.withColumns({
+            f"spend_{n}d": F.sum("__amt").over(w.rangeBetween(-(n - 1), 0)) for n in windows})
+
     short, long = min(windows), max(windows)
     pace = ratio(F.col(f"spend_{short}d") / short, F.col(f"spend_{long}d") / long)
-    return daily.withColumns(spent).withColumn("trend", pace - 1).drop("__amt")
+    out = along_days(daily, by, "date", spent, long - 1, chunk_days)
+    return out.withColumn("trend", pace - 1).drop("__amt")
 
 
 def cagr(df: DataFrame, by: Sequence[str], amount: str, date: str) -> DataFrame:
@@ -191,7 +226,8 @@ def budget_variance(df: DataFrame, by: Sequence[str], amount: str, report_type:
 
 
 def dividend_yield(prices: DataFrame, dividends: DataFrame, entity: str, order: str,
-                   price: str = "close", amount: str = "amount", days: int = 365) -> DataFrame:
+                   price: str = "close", amount: str = "amount", days: int = 365,
+                   chunk_days: int | None = None) -> DataFrame:
     """Dividends of the trailing days over the price, per price row."""
     paid = dividends.groupBy(entity, F.col(order).cast("date").alias("__d")).agg(
         F.sum(amount).alias("__paid"))
@@ -199,8 +235,9 @@ def dividend_yield(prices: DataFrame, dividends: DataFrame, entity: str, order:
                          F.col(price).alias("price"), F.lit(True).alias("__is_price"),
                          F.lit(0.0).alias("__paid")).unionByName(
         paid, allowMissingColumns=True)
-    w = Window.partitionBy(entity).orderBy(day_number("__d")).rangeBetween(-(days - 1), 0)
-    out = both.withColumn("trailing_dividends", F.sum("__paid").over(w)).filter("__is_price")
+    out = along_days(both, [entity], "__d", lambda d, w: d.withColumn(
+        "trailing_dividends", F.sum("__paid").over(w.rangeBetween(-(days - 1), 0))),
+        days - 1, chunk_days).filter("__is_price")
     return out.select(
         entity, F.col("__d").alias(order), "trailing_dividends", "price",
         (ratio(F.col("trailing_dividends"), F.col("price")) * 100).alias("dividend_yield_pct"))
@@ -256,17 +293,23 @@ def estimate_accuracy(df: DataFrame, entity: str, order: str, actual: str, estim
 
 
 def compliance_trend(df: DataFrame, by: str, date: str, passed: str | Column,
-                     days: int = 365, flat: float = 0.0) -> DataFrame:
+                     days: int = 365, flat: float = 0.0,
+                     chunk_days: int | None = None) -> DataFrame:
     """Pass rate of the trailing days per key and day, with the slope of that rate."""
     test = F.expr(passed) if isinstance(passed, str) else passed
     daily = df.groupBy(by, F.col(date).cast("date").alias("date")).agg(
         F.sum(F.when(test, 1.0).otherwise(0.0)).alias("__pass"),
         F.count(F.lit(1)).alias("__all"))
-    w = Window.partitionBy(by).orderBy(day_number("date")).rangeBetween(-(days - 1), 0)
-    rated = daily.withColumn(
-        "rolling_pass_rate", F.sum("__pass").over(w) / F.sum("__all").over(w) * 100)
-    slope = F.regr_slope(F.col("rolling_pass_rate"), day_number("date").cast("double")).over(w)
-    out = rated.withColumn("trend_slope", slope)
+
+    def sloped(d: DataFrame, w: WindowSpec) -> DataFrame:
+        frame = w.rangeBetween(-(days - 1), 0)
+        rated = d.withColumn(
+            "rolling_pass_rate", F.sum("__pass").over(frame) / F.sum("__all").over(frame) * 100)
+        slope = F.regr_slope(F.col("rolling_pass_rate"), day_number("date").cast("double")).over(frame)
+        return rated.withColumn("trend_slope", slope)
+
+    # a slope over rates that look back themselves: twice the reach
+    out = along_days(daily, [by], "date", sloped, 2 * (days - 1), chunk_days)
     direction = (F.when(F.col("trend_slope").isNull(), None)
                  .when(F.col("trend_slope") > flat, "improving")
                  .when(F.col("trend_slope") < -flat, "declining").otherwise("stable"))

@@ -176,10 +176,22 @@ def top_entities_latest(
     return df.join(best, entity, "left_semi")
 
 
-def capped_by_bytes(df: DataFrame, max_bytes: int, sample_rows: int = 50) -> DataFrame:
-    """A report cut to about ``max_bytes`` of JSON, judged by the size of a few rows.
+def capped_by_bytes(
+    df: DataFrame, max_bytes: int, order: Sequence[Column | str], columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """The first rows in ``order``, of ``columns``, whose JSON lines together take at most ``max_bytes``.
 
-    The cap is the feature here (a response limit); only the sample reaches the driver.
+    A row counts its UTF-8 bytes as JSON and one for the line end; the first row that passes the cap
+    and all after it are left out, also where a later one would fit. Rows the order leaves
+    tied follow their JSON text, so reruns cut at the same place. The lengths are
+    summed along a :class:`~starwright.operators.ordered.GlobalOrder`: exact, and no task sorts the whole
+    report. A frame without an order has no first rows, so that is refused.
     """
-    sample = df.limit(sample_rows).select(F.avg(F.length(F.to_json(F.struct("*"))))).first()[0]
-    return df.limit(max(1, int(max_bytes // sample))) if sample else df
+    from starwright.operators.ordered import GlobalOrder
+
+    if not order:
+        raise ValueError("a byte cap needs an order of the rows")
+    sent = [F.col(f"`{c}`") for c in (columns or df.columns)]
+    lined = df.withColumn("__line", F.to_json(F.struct(*sent)))
+    summed = GlobalOrder(lined, [*order, "__line"]).running_sum("__bytes", F.octet_length("__line") + 1)
+    return summed.result().filter(F.col("__bytes") <= max_bytes).select(*sent)

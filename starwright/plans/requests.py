@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from starwright.functions import clean
 from starwright.functions import measures as M
 from starwright.operators import setops
+from starwright.operators.ordered import GlobalOrder
 from starwright.operators.pivot import PivotSpec, pivot, pivot_plain
 from starwright.operators.quantiles import exact_percentiles
 from starwright.plans.catalog import Catalog
 
-MAX_ROWS = 30_000     # rows of one response
-MAX_RESPONSE_MB = 4
+MAX_POINTS = 30_000  # points in one list of a series
 
 
 def short(ref: str) -> str:
@@ -47,15 +47,19 @@ def chart(
 
 
 def series(points: DataFrame, x: str, y: str, group: str | None = None,
-           max_points: int = MAX_ROWS) -> DataFrame:
+           max_points: int = MAX_POINTS) -> DataFrame:
     """One row per group with its list of (x, y); a longer series continues in more parts.
 
-    The points are aggregates already (one per x), and a list never exceeds ``max_points``.
+    The points are aggregates already (one per x), and a list never exceeds ``max_points``. Without a
+    group the points are numbered along a global order, not in one window.
     """
     key = F.col(group) if group else F.lit("all")
     rows = points.select(key.alias("series"), F.col(x).alias("x"), F.col(y).alias("y"))
-    w = Window.partitionBy("series").orderBy("x")
-    parted = rows.withColumn("part", F.floor((F.row_number().over(w) - 1) / max_points))
+    if group:
+        numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy("series").orderBy("x")))
+    else:
+        numbered = GlobalOrder(rows, ["x"]).row_number("__n").result()
+    parted = numbered.withColumn("part", F.floor((F.col("__n") - 1) / max_points))
     return parted.groupBy("series", "part").agg(
         F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))
 
@@ -179,9 +183,17 @@ def formatted(df: DataFrame, formats: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: clean.display(c, f) for c, f in formats.items()})
 
 
-def response(df: DataFrame, max_rows: int = MAX_ROWS, max_mb: float = MAX_RESPONSE_MB) -> DataFrame:
-    """What is sent to a client: at most so many rows and so many megabytes."""
-    return setops.capped_by_bytes(df.limit(max_rows), int(max_mb * 1024 * 1024))
+def response(df: DataFrame, order: Sequence[Column | str] = (), max_rows: int | None = None,
+             max_mb: float | None = None) -> DataFrame:
+    """What is sent to a client: the first rows in ``order``, at most so many and so many megabytes.
+
+    Without limits the frame goes out whole; a limit needs an order.
+    """
+    if not order and (max_rows is not None or max_mb is not None):
+        raise ValueError("a cut response needs an order of the rows")
+    if max_rows is not None:
+        df = df.orderBy(*order).limit(max_rows)
+    return df if max_mb is None else setops.capped_by_bytes(df, int(max_mb * 1024 * 1024), order)
 
 
 def single_table(

@@ -165,6 +165,15 @@ def text_set(data: Data):
     return data.part.groupBy("p_type").agg(M.text_set("p_brand").alias("brands"))
 
 
+@query("a15_text_set_parts", """
+WITH d AS (SELECT DISTINCT o_orderstatus, o_custkey::VARCHAR AS c FROM orders),
+n AS (SELECT *, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY c) - 1) // 100 AS part FROM d)
+SELECT o_orderstatus, part, string_agg(c, ', ' ORDER BY c) AS buyers FROM n GROUP BY 1, 2""")
+def text_set_parts(data: Data):
+    buyers = data.orders.select("o_orderstatus", F.col("o_custkey").cast("string").alias("c"))
+    return M.text_set_parts(buyers, ["o_orderstatus"], "c", "buyers", values=100)
+
+
 @query("a16_distinct_conditional", """
 SELECT o_orderpriority, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS buyers
 FROM orders GROUP BY 1""")

@@ -46,14 +46,34 @@ def chart_multi_series(data: Data):
 
 
 @query("q2_series_lists", """
-SELECT o_orderpriority AS series, 0::BIGINT AS part, count(*) AS points, min(m) AS first_x, max(m) AS last_x
-FROM (SELECT DISTINCT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS m FROM orders) GROUP BY 1""")
+SELECT o_orderpriority AS series, 0::BIGINT AS part, count(*) AS points, min(m) AS first_x, max(m) AS last_x,
+       round(arg_min(y, m), 4) AS first_y, round(arg_max(y, m), 4) AS last_y, round(sum(y), 3) AS sum_y
+FROM (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS m, avg(o_totalprice) AS y FROM orders GROUP BY 1, 2)
+GROUP BY 1""")
 def series_lists(data: Data):
     points = R.chart(star(data), "temporal.year_month", "sales.o_totalprice", "sales.o_orderpriority")
-    lists = R.series(points, "year_month", "o_totalprice", "o_orderpriority")
-    return lists.select("series", "part", F.size("points").cast("long").alias("points"),
-                        F.col("points")[0]["x"].alias("first_x"),
-                        F.element_at("points", -1)["x"].alias("last_x"))
+    return _ends(R.series(points, "year_month", "o_totalprice", "o_orderpriority"))
+
+
+def _ends(lists):
+    first, last = F.col("points")[0], F.element_at("points", -1)
+    total = F.aggregate("points", F.lit(0.0), lambda a, p: a + p["y"])
+    return lists.select(
+        "series", "part", F.size("points").cast("long").alias("points"),
+        first["x"].alias("first_x"), last["x"].alias("last_x"), F.round(first["y"], 4).alias("first_y"),
+        F.round(last["y"], 4).alias("last_y"), F.round(total, 3).alias("sum_y"))
+
+
+@query("q2_series_whole", """
+WITH d AS (SELECT o_orderdate::DATE AS x, avg(o_totalprice) AS y FROM orders GROUP BY 1),
+n AS (SELECT *, (row_number() OVER (ORDER BY x) - 1) // 500 AS part FROM d)
+SELECT 'all' AS series, part, count(*) AS points, min(x) AS first_x, max(x) AS last_x,
+       round(arg_min(y, x), 4) AS first_y, round(arg_max(y, x), 4) AS last_y, round(sum(y), 3) AS sum_y
+FROM n GROUP BY part""")
+def series_whole(data: Data):
+    """One series without a group, continued every 500 points."""
+    points = R.chart(star(data), "temporal.date", "sales.o_totalprice")
+    return _ends(R.series(points, "date", "o_totalprice", max_points=500))
 
 
 @query("q3_box", "SELECT c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -73,11 +93,11 @@ def box_summary(data: Data):
 
 
 @query("q4_ohlc", f"""
-WITH {BARS_SQL} SELECT trade_date AS category, open, high, low, close FROM bars WHERE ticker = 'A'""")
+WITH {BARS_SQL} SELECT ticker || ' ' || trade_date::DATE::VARCHAR AS category, open, high, low, close FROM bars""")
 def ohlc(data: Data):
-    catalog = R.single_table(daily_bars(data), "prices", "bars")
-    return R.ohlc(catalog, "prices.trade_date", "prices.open", "prices.high", "prices.low",
-                  "prices.close", [{"field": "prices.ticker", "op": "eq", "value": "A"}])
+    bars = daily_bars(data).withColumn("bar", F.concat_ws(" ", "ticker", F.col("trade_date").cast("date")))
+    return R.ohlc(R.single_table(bars, "prices", "bars"), "prices.bar", "prices.open", "prices.high",
+                  "prices.low", "prices.close")
 
 
 @query("q5_flat_table_grouped", """
@@ -217,6 +237,13 @@ def subset(data: Data):
 
 
 @query("q14_subset_violations", """
-SELECT 'buyer' AS kind, 0::BIGINT AS violations UNION ALL SELECT 'seller', 0""")
+SELECT 'buyer' AS kind, count(*) FILTER (c_nationkey < 5) AS violations FROM customer
+UNION ALL SELECT 'seller', count(*) FILTER (s_acctbal < 0) FROM supplier""")
 def subset_violations(data: Data):
-    return views.subset_violations(wide_subsets(data), "kind", {"buyer": ["segment"], "seller": ["credit"]})
+    """Buyers of some nations with a credit, and sellers in debt with a segment, break the rule."""
+    wide = views.wide_subsets({
+        "buyer": data.customer.select(F.col("c_mktsegment").alias("segment"),
+                                      F.when(F.col("c_nationkey") < 5, F.col("c_acctbal")).alias("credit")),
+        "seller": data.supplier.select(F.when(F.col("s_acctbal") < 0, F.lit("DEBT")).alias("segment"),
+                                       F.col("s_acctbal").alias("credit"))}, "kind")
+    return views.subset_violations(wide, "kind", {"buyer": ["segment"], "seller": ["credit"]})

@@ -53,12 +53,13 @@ def _text_value():
 
 
 @query("p6_coerce", """
-SELECT event_id, CASE event_type WHEN 'error' THEN NULL ELSE value END AS amount
-FROM events WHERE event_type <> 'view'""")
+SELECT event_id, CASE WHEN event_type NOT IN ('error', 'view') THEN value END AS amount,
+       event_type = 'view' AS not_a_number FROM events""")
 def coerce(data: Data):
     raw = data.events.select("event_id", "event_type", _text_value().alias("amount"))
     out = projection.coerce(raw, {"amount": "int"})
-    return out.filter(~F.isnan(F.coalesce("amount", F.lit(0.0)))).select("event_id", "amount")
+    nan = F.isnan(F.coalesce("amount", F.lit(0.0)))
+    return out.select("event_id", F.when(~nan, F.col("amount")).alias("amount"), nan.alias("not_a_number"))
 
 
 @query("p7_integer_via_double", """

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from starwright.operators import forecast as fc
 from starwright.operators import matching
 from starwright.plans import recipes
+from starwright.session import scratch_path
 from starwright.workload.aggregates import r
-from starwright.workload.registry import Data, query
+from starwright.workload.registry import SQL, Data, query
 from starwright.workload.star import BARS_SQL, daily_bars
 
 
@@ -256,6 +257,21 @@ def resolve_names(data: Data):
     return r(matching.resolve_names(raw, "raw", data.part, "p_name", threshold=0.8), confidence=6)
 
 
+@query("u8_learned_aliases", f"""
+SELECT name, canonical, confidence,
+       CASE WHEN method = 'COSINE' AND name NOT LIKE 'Brand#%' THEN 'ALIAS' ELSE method END AS method
+FROM ({SQL["u8_resolve_names"]}) resolved""")
+def learned_aliases(data: Data):
+    """A first load teaches the aliases; the second holds its names again, and new ones."""
+    path = scratch_path(data.spark, "u8-aliases")
+    first = data.part.select(F.upper("p_name").alias("raw")).unionByName(
+        data.part.select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("raw")))
+    second = first.unionByName(data.part.select(F.col("p_brand").alias("raw")))
+    for raw in (first, second):
+        out = matching.resolve_and_learn(raw, "raw", data.part, "p_name", path, threshold=0.8)
+    return r(out, confidence=6)
+
+
 @query("u8_match_texts", """
 WITH texts AS (SELECT DISTINCT 'c' AS side, md5(text) AS k, text AS t FROM benchmark
                UNION ALL SELECT DISTINCT 'n', md5(text), text FROM documents),

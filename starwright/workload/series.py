@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from starwright.operators import indicators as I
 from starwright.operators import rolling
+from starwright.operators.ordered import Chunks
 from starwright.workload.aggregates import r
-from starwright.workload.registry import Data, query
+from starwright.workload.registry import SQL, Data, query
 from starwright.workload.star import BARS_SQL, daily_bars, star
 
 W = "WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)"
@@ -397,14 +398,14 @@ def budget_variance(data: Data):
 @query("w33_dividend_yield", f"""
 WITH {BARS_SQL},
 paid AS (SELECT l_returnflag AS ticker, l_shipdate::DATE AS d, sum(l_tax) AS amt FROM lineitem
-         WHERE l_linenumber = 1 GROUP BY 1, 2),
+         GROUP BY 1, 2),
 u AS (SELECT ticker, trade_date AS d, close, 0 AS amt FROM bars
       UNION ALL SELECT ticker, d, NULL, amt FROM paid),
 t AS (SELECT *, sum(amt) OVER (PARTITION BY ticker ORDER BY d RANGE INTERVAL 364 DAYS PRECEDING) AS tr FROM u)
 SELECT ticker, d AS trade_date, round(tr, 4) AS trailing_dividends, close AS price,
        round(tr / close * 100, 6) AS dividend_yield_pct FROM t WHERE close IS NOT NULL""")
 def dividend_yield(data: Data):
-    paid = data.lineitem.filter("l_linenumber = 1").select(
+    paid = data.lineitem.select(
         F.col("l_returnflag").alias("ticker"), F.col("l_shipdate").alias("trade_date"),
         F.col("l_tax").alias("amount"))
     return r(rolling.dividend_yield(daily_bars(data), paid, "ticker", "trade_date"),
@@ -490,3 +491,45 @@ WHERE age BETWEEN 0 AND 730 GROUP BY 1""")
 def repeat_offender(data: Data):
     out = rolling.repeat_offender(data.orders, "o_custkey", "o_orderdate", "o_orderstatus = 'F'", "2000-12-31")
     return r(out, risk_score=6)
+
+
+# -- the same over series cut into chunks -----------------------------------------------
+
+def monthly(rows: int) -> Chunks:
+    return Chunks(F.trunc("trade_date", "month"), rows)
+
+
+@query("w20_features_chunked", SQL["w20_forecast_features"])
+def features_chunked(data: Data):
+    out = I.forecast_features(daily_bars(data).select("ticker", "trade_date", "close"),
+                              "ticker", "trade_date", "close", chunks=monthly(100)).drop("close")
+    return r(out, **{f"rolling_{k}_{n}": d for n in (5, 10, 20) for k, d in (("mean", 6), ("std", 5))})
+
+
+@query("w21_sharpe_chunked", SQL["w21_sharpe"])
+def sharpe_chunked(data: Data):
+    return r(rolling.sharpe_ratio(daily_bars(data), "ticker", "trade_date", chunks=monthly(500)), sharpe_ratio=6)
+
+
+@query("w23_beta_chunked", SQL["w23_beta"])
+def beta_chunked(data: Data):
+    return r(rolling.rolling_beta(daily_bars(data), "ticker", "trade_date", "N", chunks=monthly(500)), beta=6)
+
+
+@query("w24_momentum_chunked", SQL["w24_momentum"])
+def momentum_chunked(data: Data):
+    out = rolling.momentum_score(daily_bars(data), "ticker", "trade_date", chunks=monthly(200))
+    return r(out, momentum_score=6, rsi_norm=6, macd_norm=6, price_trend_norm=6)
+
+
+@query("w28_velocity_chunked", SQL["w28_velocity"])
+def velocity_chunked(data: Data):
+    out = rolling.spending_velocity(data.orders, ["o_orderstatus"], "o_totalprice", "o_orderdate", chunk_days=400)
+    return r(out, spend_30d=2, spend_90d=2, spend_365d=2, trend=6)
+
+
+@query("w37_compliance_chunked", SQL["w37_compliance"])
+def compliance_chunked(data: Data):
+    out = rolling.compliance_trend(data.orders, "o_orderpriority", "o_orderdate", "o_orderstatus = 'F'",
+                                   flat=0.001, chunk_days=800)
+    return r(out, rolling_pass_rate=6, trend_slope=6)

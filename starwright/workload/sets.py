@@ -27,7 +27,18 @@ def row_cap(data: Data):
 def byte_cap(data: Data):
     """A report far below the cap is kept whole."""
     report = data.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    return setops.capped_by_bytes(report, 4 * 1024 * 1024)
+    return setops.capped_by_bytes(report, 4 * 1024 * 1024, ["l_returnflag", "l_linestatus"])
+
+
+@query("o3_byte_cap_cuts", """
+WITH lines AS (SELECT o_orderkey, o_orderpriority, o_totalprice,
+  strlen('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}') + 1 AS n FROM orders),
+summed AS (SELECT *, sum(n) OVER (ORDER BY o_totalprice DESC, o_orderkey) AS upto FROM lines)
+SELECT o_orderkey, o_orderpriority FROM summed WHERE upto <= 32768""")
+def byte_cap_cuts(data: Data):
+    """The dearest orders as far as 32 KiB of JSON reach: a cut in the middle of the report."""
+    return setops.capped_by_bytes(data.orders, 32 * 1024, [F.desc("o_totalprice"), "o_orderkey"],
+                                  ["o_orderkey", "o_orderpriority"])
 
 
 @query("o4_top_entities", """

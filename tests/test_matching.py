@@ -92,3 +92,34 @@ def test_candidates_stay_near_the_matches(spark):
     found = matching.candidate_pairs(*matching.vectors(left, right), 0.85).count()
     matches = cosine_matches(names, "n", canon, "c").count()
     assert 40 <= matches <= found <= 2 * matches
+
+
+def test_learned_aliases_are_not_matched_again(spark, tmp_path, monkeypatch):
+    from starwright.operators import matching
+
+    path, canon = str(tmp_path / "aliases"), frame(spark, CANON, "c")
+    first = frame(spark, ["POLICE DEPARTMENTS", "oemc", "zzz", None, "POLICE DEPARTMENTS"], "n")
+    once = {x.name: (x.canonical, x.method) for x in matching.resolve_and_learn(
+        first, "n", canon, "c", path, 0.7).collect()}
+    assert once == {"POLICE DEPARTMENTS": ("Police Department", "COSINE"), "oemc": ("OEMC", "MASTER"),
+                    "zzz": ("zzz", "UNMATCHED")}
+    assert [x.alias for x in spark.read.parquet(path).collect()] == ["police departments"]
+
+    def forbidden(*_):
+        raise AssertionError("known names were matched again")
+
+    with monkeypatch.context() as m:
+        m.setattr(matching, "cosine_matches", forbidden)
+        again = matching.resolve_and_learn(
+            frame(spark, [" Police Departments ", "POLICE DEPARTMENTS"], "n"), "n", canon, "c", path, 0.7).collect()
+    assert {(x.name, x.canonical, x.method) for x in again} == {
+        (" Police Departments ", "Police Department", "ALIAS"), ("POLICE DEPARTMENTS", "Police Department", "ALIAS")}
+    # an alias of a name that is gone, or less sure than now asked, does not count
+    less = matching.resolve_and_learn(
+        first, "n", frame(spark, ["Fire Department"], "c"), "c", path, 0.99, "skip").collect()
+    assert less == []
+    mixed = matching.resolve_and_learn(
+        frame(spark, ["POLICE DEPARTMENTS", "Fire Departments"], "n"), "n", canon, "c", path, 0.7)
+    assert {(x.name, x.method) for x in mixed.collect()} == {
+        ("POLICE DEPARTMENTS", "ALIAS"), ("Fire Departments", "COSINE")}
+    assert spark.read.parquet(path).count() == 2

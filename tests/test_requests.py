@@ -11,6 +11,7 @@ import starwright
 from conftest import rows
 from starwright import session
 from starwright.functions import measures as M
+from starwright.operators import setops
 from starwright.operators.joins import edge
 from starwright.plans import requests as R
 from starwright.plans import views
@@ -89,9 +90,38 @@ def test_box_summary(catalog):
 
 
 def test_response_caps(spark):
-    df = spark.range(1000).select(F.lit("x" * 100).alias("t"))
-    assert R.response(df, max_rows=10).count() == 10
-    assert 0 < R.response(df, max_mb=0.01).count() < 120
+    df = spark.range(1000).select("id", F.concat(F.lit("é" * 50), F.lpad("id", 4, "0")).alias("t"))
+    assert R.response(df).count() == 1000
+    assert [x.id for x in R.response(df, [F.desc("id")], max_rows=3).collect()] == [999, 998, 997]
+    # 100 bytes of é, 4 digits, '{"id":N,"t":""}' of 14 characters and N's, and a line end
+    lines = [100 + 4 + 14 + len(str(i)) + 1 for i in range(1000)]
+    cap = 10 * 1024
+    fit = next(n for n in range(1000) if sum(lines[:n + 1]) > cap)
+    assert sorted(x.id for x in R.response(df, ["id"], max_mb=cap / 2**20).collect()) == list(range(fit))
+    for limit in ({"max_rows": 1}, {"max_mb": 1.0}):
+        with pytest.raises(ValueError):
+            R.response(df, **limit)
+
+
+def test_byte_cap_edges(spark):
+    """The row that passes the cap ends the report, ties and repeated rows are cut alike, NULLs count."""
+    df = spark.createDataFrame([(1, "a"), (2, "b" * 100), (3, "c"), (1, "a"), (None, None)], "k int, t string")
+    ten = len('{"k":1,"t":"a"}') + 1
+    nothing = len("{}") + 1  # NULL comes first in ascending order
+    assert setops.capped_by_bytes(df, nothing + 2 * ten, ["k"]).count() == 3
+    assert setops.capped_by_bytes(df, nothing + 2 * ten - 1, ["k"]).count() == 2
+    assert setops.capped_by_bytes(df, nothing + 2 * ten + 50, ["k"]).count() == 3  # 3 would fit, 2 does not
+    assert setops.capped_by_bytes(df, 0, ["k"]).count() == 0
+    assert setops.capped_by_bytes(df.limit(0), 100, ["k"]).count() == 0
+    assert setops.capped_by_bytes(df, 10, ["k"], ["k"]).columns == ["k"]
+    with pytest.raises(ValueError):
+        setops.capped_by_bytes(df, 100, [])
+
+
+def test_series_without_a_group_goes_on_in_parts(spark):
+    points = spark.range(25).select("id", (F.col("id") * 2).alias("v"))
+    got = {s.part: [p.x for p in s.points] for s in R.series(points, "id", "v", max_points=10).collect()}
+    assert got == {0: list(range(10)), 1: list(range(10, 20)), 2: list(range(20, 25))}
 
 
 def test_views(spark):

@@ -255,3 +255,64 @@ def test_seasonal_model_finds_the_year(spark):
     df = spark.createDataFrame([("A", day, value(day)) for day in days], "ticker string, trade_date date, close double")
     for r in forecast.forecast(df, "ticker", "trade_date", "close", "trend_weekday").collect():
         assert r.predicted_close == pytest.approx(value(r.forecast_date), abs=1e-5)
+
+
+def test_chunked_ranges_equal_plain_windows(spark):
+    """Day frames over chunks, with gaps, days before 1970, ties and NULL days."""
+    from pyspark.sql import Window
+
+    from starwright.operators.ordered import chunked_ranges
+
+    days = [-40, -39, -7, -1, 0, 3, 3, 9, 10, 11, 29, 30, 31, 64, 65, 200, None, None]
+    df = spark.createDataFrame([(e, d, float(i)) for e in ("a", "b") for i, d in enumerate(days)],
+                               "e string, d int, v double")
+
+    def total(frame, w):
+        return frame.withColumn("s", F.sum("v").over(w.rangeBetween(-10, 0)))
+
+    want = rows(total(df, Window.partitionBy("e").orderBy("d")))
+    for chunk in (10, 11, 1000):
+        assert rows(chunked_ranges(df, ["e"], F.col("d"), total, 10, chunk)) == want
+    with pytest.raises(ValueError):
+        chunked_ranges(df, ["e"], F.col("d"), total, 11, 10)
+
+
+def test_rolling_long_forms_equal_the_plain_ones(spark):
+    """Chunks of one frame's length, and a benchmark that lacks days."""
+    import random
+
+    from starwright.operators import indicators, rolling
+    from starwright.operators.ordered import Chunks
+
+    rng = random.Random(5)
+    df = spark.createDataFrame(
+        [(t, i, 50 + 20 * rng.random()) for t in ("x", "m") for i in range(150)
+         if not (t == "m" and i % 7 == 3)], "t string, i int, close double")
+    cut = Chunks(F.floor(F.col("i") / 13), 1)
+
+    def same(call, *options, **named):
+        plain = call(df, "t", "i", *options, **named)
+        long = call(df, "t", "i", *options, **named, chunks=cut)
+        numbers = [c for c, k in plain.dtypes if k == "double"]
+        short = [f.withColumns({c: F.round(c, 8) + 0.0 for c in numbers}) for f in (plain, long)]
+        assert short[0].columns == short[1].columns
+        assert rows(short[0]) == rows(short[1])
+
+    same(rolling.sharpe_ratio, window=20)
+    same(rolling.drawdown, window=20)
+    same(rolling.rolling_beta, "m", window=20)
+    same(rolling.momentum_score)
+    same(rolling.volatility_regime, short=5, long=20)
+    same(rolling.relative_strength, "m", window=10)
+    dated = df.withColumn("i", F.expr("date_add(DATE '2024-01-01', i)"))
+    plain = indicators.forecast_features(dated, "t", "i", "close")
+    long = indicators.forecast_features(dated, "t", "i", "close", chunks=Chunks(F.trunc("i", "month"), 1))
+    exact = [c for c, k in plain.dtypes if not c.startswith("rolling")]
+    assert rows(plain.select(exact)) == rows(long.select(exact))
+
+
+def test_window_without_a_partition_is_refused(spark):
+    from starwright.operators import indicators
+
+    with pytest.raises(ValueError):
+        indicators.window_column(spark.range(3), [], ["id"], "rank()", "r")
