@@ -1,10 +1,16 @@
-"""Sharding by balanced label propagation: linked documents move together, counts stay even."""
+"""Sharding by balanced label propagation: linked documents move together, counts stay even.
+
+Labels start from the place of a group's rows in one line of all linked rows, cut at the quotas, so
+groups at the cuts are split. Propagation then moves members towards the shard that holds
+most of their group, as far as the quotas allow. Only if that leaves a group split that need not be, as
+happens where hardly any shard has room, whole groups are packed by size and the better labels are taken.
+"""
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starwright.llm.common import buckets_for, running_total, stage
@@ -141,6 +147,52 @@ def spread(size: int, room: list[int]) -> list[tuple[int, int]]:
     return taken
 
 
+def seeded(ranked: DataFrame, quotas: list[int]) -> DataFrame:
+    """Labels to start from: ``(group, shard, n)`` of groups ``(group, members, rank)``.
+
+    The members of all groups stand in one line, large groups first, and shards take their quotas off it one
+    after the other. ``rank`` numbers the groups of a size, so a group's place follows from the number of
+    members in larger groups; there are fewer sizes than the square root of twice the members.
+    """
+    before = Window.orderBy(F.desc("members")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranked.groupBy("members").agg(F.sum("members").alias("all")).select(
+        "members", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("offset"))
+    low, wide = min(quotas), sum(q > min(quotas) for q in quotas)  # the first shards take one row more
+
+    def shard_at(place: Column) -> Column:
+        beyond = place - wide * (low + 1)
+        return F.when(beyond < 0, F.floor(place / (low + 1))).otherwise(
+            wide + F.floor(beyond / max(low, 1))).cast("int")
+
+    def begin_of(shard: Column) -> Column:
+        return shard.cast("long") * low + F.least(shard, F.lit(wide))
+
+    first = F.col("offset") + F.col("rank") * F.col("members")
+    lined = ranked.join(offsets, "members").select("group", first.alias("from"), (first + F.col("members")).alias("to"))
+    cut = lined.withColumn("shard", F.explode(F.sequence(shard_at(F.col("from")), shard_at(F.col("to") - 1))))
+    return cut.select("group", "shard", (
+        F.least("to", begin_of(F.col("shard") + 1)) - F.greatest("from", begin_of(F.col("shard")))).alias("n"))
+
+
+def needless_labels(state: DataFrame, groups: DataFrame, largest: int) -> int:
+    """Labels beyond those that the groups need: 0 if each is in as few shards as its size allows."""
+    return state.groupBy("group").agg(F.count("*").alias("c")).join(groups, "group").agg(
+        F.coalesce(F.sum(F.col("c") - F.ceil(F.col("members") / F.lit(largest))), F.lit(0))).first()[0]
+
+
+def packed(ranked: DataFrame, sizes: dict[int, int], quotas: list[int]) -> DataFrame:
+    """``(group, shard, n)`` by :func:`pack`; ``sizes`` counts the groups of each size."""
+    whole, parts = pack(sizes, quotas)
+    spark = ranked.sparkSession
+    table_of = spark.createDataFrame([(m, v) for m, v in whole.items()],
+                                     "members long, slots array<struct<upto: long, to: int>>")
+    pieces = spark.createDataFrame(parts, "members long, rank long, shard int, n long")
+    return ranked.join(F.broadcast(table_of), "members").select(
+        "group", F.expr("element_at(filter(slots, s -> s.upto > rank), 1).to").alias("shard"),
+        F.col("members").alias("n")).where("shard IS NOT NULL").union(
+        ranked.join(F.broadcast(pieces), ["members", "rank"]).select("group", "shard", "n"))
+
+
 def propagate(state: DataFrame, groups: DataFrame, quota: DataFrame) -> DataFrame:
     """Move members of groups between shards until none gains, within the quota of each shard.
 
@@ -210,9 +262,10 @@ def balanced_shards(
 ) -> DataFrame:
     """Spread rows over shards, counts at most one apart, with equal texts together if they fit.
 
-    Rows with equal texts are linked. Linked rows start with the label :func:`pack` gives their
-    group and then follow their neighbours by :func:`propagate`; rows without links, which cut no
-    edge wherever they are, fill what room is left. A group larger than a shard takes as few shards
+    Rows with equal texts are linked. Linked rows start with the labels of :func:`seeded` and then follow
+    their neighbours by :func:`propagate`; rows without links, which cut no edge wherever they are,
+    fill what room is left. Where that leaves groups split that need not be, :func:`pack` labels whole groups, and
+    the labels with fewer splits are kept. A group larger than a shard takes as few shards
     as it can; of the others fewer than ``shards`` are split, and only where no exchange of whole
     groups found makes room. Packing all groups at best is a hard problem, so this need not be the fewest.
 
@@ -222,8 +275,8 @@ def balanced_shards(
     columns are ignored; an empty table gives no rows; more shards than rows leaves some empty.
 
     All numbering goes through hash buckets and their totals, so neither a shard nor a group is
-    ever sorted in one task. The driver holds one number per shard and the number of groups of each
-    size: of N rows, fewer than the square root of 2 N different sizes.
+    ever sorted in one task. The driver holds one number per shard and, for a packing only, the number of
+    groups of each size: of N rows, fewer than the square root of 2 N different sizes.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     narrow = stage(df.select(
@@ -245,17 +298,14 @@ def balanced_shards(
         max(PLACES, buckets_for(n_linked)))
     offset = groups.select("group", "members")
     ranked = running_total(offset, ["members"], ["group"], F.lit(1), "rank", max(PLACES, buckets_for(n_linked)))
-    sizes = {r["members"]: r["n"] for r in groups.groupBy("members").agg(F.count("*").alias("n")).collect()}
-    whole, parts = pack(sizes, quotas)
-    table_of = spark.createDataFrame([(m, v) for m, v in whole.items()],
-                                     "members long, slots array<struct<upto: long, to: int>>")
-    pieces = spark.createDataFrame(parts, "members long, rank long, shard int, n long")
     ranked = stage(ranked.withColumn("rank", F.col("rank").cast("long")), "shard-ranked")
-    begin = ranked.join(F.broadcast(table_of), "members").select(
-        "group", F.expr("element_at(filter(slots, s -> s.upto > rank), 1).to").alias("shard"),
-        F.col("members").alias("n")).where("shard IS NOT NULL").union(
-        ranked.join(F.broadcast(pieces), ["members", "rank"]).select("group", "shard", "n"))
-    state = propagate(stage(begin, "shard-state"), offset, quota)
+    state = propagate(stage(seeded(ranked, quotas), "shard-state"), offset, quota)
+    split = needless_labels(state, offset, max(quotas))
+    if split:
+        sizes = {r["members"]: r["n"] for r in groups.groupBy("members").agg(F.count("*").alias("n")).collect()}
+        other = propagate(stage(packed(ranked, sizes, quotas), "shard-state"), offset, quota)
+        if needless_labels(other, offset, max(quotas)) < split:
+            state = other
     upto = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     plan = state.withColumn("upto", F.sum("n").over(upto)).groupBy("group").agg(
         F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("plan"))  # a row per shard at most

@@ -19,6 +19,7 @@ import corpus_pipeline
 from conftest import DATA_DIR
 from starwright.llm import nn_descent, setsketch
 from starwright.llm import queries as llm
+from starwright.llm import balanced_shards as sharding
 from starwright.llm.balanced_shards import balanced_shards, pack
 from starwright.llm.bpe import ForcedBoundaryEncoder, PieceEncoder, encode_decode, vocabulary_path
 from starwright.llm.common import components
@@ -209,6 +210,53 @@ def test_shards_keep_copies_whole_without_single_rows(spark):
         assert not split, (sizes, split)
 
 
+def test_propagation_cuts_fewer_edges_round_by_round(spark, monkeypatch):
+    """The labels to start from split groups at the quotas; propagation alone makes them whole."""
+    sizes = {130: 1, 7: 25, 3: 60, 2: 90}
+    groups = [(f"{m}-{i}", m, i) for m, n in sizes.items() for i in range(n)]
+    total = sum(m for _, m, _ in groups) + 400  # and rows without links
+    quotas = [total // 20 + (s < total % 20) for s in range(20)]
+    ranked = spark.createDataFrame(groups, "group string, members long, rank long")
+    quota = spark.createDataFrame(list(enumerate(quotas)), "shard int, quota long")
+    start = sharding.seeded(ranked, quotas)
+
+    def cut_edges(state):  # pairs of neighbours in different shards
+        by = {}
+        for r in state.collect():
+            by.setdefault(r["group"], []).append(r["n"])
+        assert {g: sum(n) for g, n in by.items()} == {g: m for g, m, _ in groups}
+        return sum((sum(n) ** 2 - sum(k * k for k in n)) // 2 for n in by.values())
+
+    cuts, written = [], sharding.stage
+
+    def watched(df, label):
+        out = written(df, label)
+        if label == "shard-state":
+            cuts.append(cut_edges(out))
+            used = {r["shard"]: r["n"] for r in out.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+            assert all(n <= quotas[s] for s, n in used.items())
+        return out
+
+    monkeypatch.setattr(sharding, "stage", watched)
+    monkeypatch.setattr(sharding, "pack", lambda *_: pytest.fail("packed"))
+    state = sharding.propagate(sharding.stage(start, "shard-state"), ranked.select("group", "members"), quota)
+    assert len(cuts) > 1 and cuts == sorted(cuts, reverse=True) and cuts[-1] < cuts[0]
+    assert sharding.needless_labels(state, ranked, max(quotas)) == 0
+
+
+def test_seeds_fill_quotas_in_line(spark):
+    for members, quotas in (([5, 3, 3, 2], [4, 4, 4, 4]), ([9, 2], [3, 3, 3, 2]), ([2], [1, 1, 0])):
+        rows = [(str(i), m, members[:i].count(m)) for i, m in enumerate(members)]
+        state = sharding.seeded(spark.createDataFrame(rows, "group string, members long, rank long"), quotas).collect()
+        used = [sum(r["n"] for r in state if r["shard"] == s) for s in range(len(quotas))]
+        left, want = sum(members), []
+        for q in quotas:
+            want.append(min(q, left))
+            left -= want[-1]
+        assert used == want
+        assert [sum(r["n"] for r in state if r["group"] == str(i)) for i in range(len(members))] == members
+
+
 def test_pack_holds_every_group_within_quotas():
     rng = random.Random(5)
     for _ in range(200):
