@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,14 @@ SPREAD = 1.0  # deviation of the smoothing, in blocks
 SHARE = 0.12  # of the best path's fused ratio that a path must reach
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]+|<", re.S)
+OPEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>")  # with a quote that never ends
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、！？；：]")
 # fixed values: elements of the HTML standard by their role
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in sorted(RAW)}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
@@ -49,44 +53,88 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LISTED = {"li", "dt", "dd", "td", "th", "caption", "pre", "blockquote", "figcaption"}  # short text of an article
 
 
-Block = tuple[str, str, int, tuple[int, ...], int]
+@dataclass
+class Tree:
+    """Elements of a page by number, each with the number of the one around it; 0 is none.
 
+    Numbers grow inwards, so sums over all ancestors or descendants are one pass up or down the list.
+    """
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+
+    def add(self, parent: int, tag: str) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        return len(self.parent) - 1
+
+
+class Block(NamedTuple):
+    """A block of text: its tag path, its innermost aside, and the one around its article (-1: in none)."""
 
-def blocks(page: str) -> list[Block]:
-    """``(path, text, linked, asides, outer)`` of every block of text in page order.
+    path: int
+    text: str
+    linked: int
+    aside: int
+    outer: int
 
-    The path names the block elements from the root down, with their class; ``linked`` counts the
-    characters inside links. Character references are decoded, white space becomes one
-    space. ``asides`` numbers the elements around a block that seldom hold an article (negative for nav and
-    footer); ``outer`` of them are around the article or main element that the block is in, -1 if in none. Text of elements that never hold any is left out. Tags left open are closed as browsers do.
+
+def blocks(page: str) -> tuple[list[Block], Tree, Tree]:
+    """The blocks of text in page order, the tag paths, and the asides.
+
+    A path is the block elements from the root down, with their class; equal paths have one number.
+    ``linked`` counts the characters inside links. Character references are decoded, white space becomes one
+    space. Asides are elements that seldom hold an article. Text of elements that never hold any is left
+    out. Tags left open are closed as browsers do; a tag that never ends is text, one whose
+    quote never ends is taken to its first ``>``.
+
+    Open elements are found by their tag, so time is linear in the page, however deep it is nested.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, tuple[int, ...], int]] = []  # (tag, name on the path, left out, asides, outer)
-    opened = 0
+    paths, asides = Tree(), Tree()
+    known: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, -1)]  # (tag, path, left out, aside, outer)
+    opened: dict[str, list[int]] = defaultdict(list)  # places of a tag on the stack
     parts: list[str] = []
     linked = links = 0
+    last = page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         text = SPACES.sub(" ", html.unescape("".join(parts))).strip(" ")
         if text:
-            out.append(("/".join(e[1] for e in stack), text, linked, *(stack[-1][3:] if stack else ((), -1))))
+            _, path, _, aside, outer = stack[-1]
+            out.append(Block(path, text, linked, aside, outer))
         parts.clear()
         linked = 0
 
     def close_to(index: int) -> None:
         flush()
-        del stack[index:]
+        while len(stack) > index:
+            opened[stack.pop()[0]].pop()
+
+    def innermost(tags: Iterable[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
 
     at, end = 0, len(page)
     while at < end:
-        m = TOKEN.match(page, at)
+        m = TOKEN.match(page, at) if at < last or page[at] != "<" or page.startswith("<!--", at) else None
+        if m is None:  # no tag ends from here on
+            stop = page.find("<", at + 1)
+            stop = end if stop < 0 else stop
+            if not stack[-1][2]:
+                parts.append(page[at:stop])
+                linked += stop - at if links else 0
+            at = stop
+            continue
+        if m[0] == "<":
+            m = OPEN.match(page, at) or m
         at = m.end()
         tag = m[2]
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
-                if not stack or not stack[-1][2]:
+                if not stack[-1][2]:
                     parts.append(text)
                     linked += len(text) if links else 0
             continue
@@ -96,11 +144,9 @@ def blocks(page: str) -> list[Block]:
                 links = 0 if m[1] else 1
             continue
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close_to(k)
-                    links = 0
-                    break
+            if opened.get(tag):
+                close_to(opened[tag][-1])
+                links = 0
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -108,33 +154,33 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW:
             flush()
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            stop = RAW_END[tag].search(page, at)
             at = stop.end() if stop else end
             continue
-        if tag in CLOSES_P and any(e[0] == "p" for e in stack):
-            close_to(max(k for k, e in enumerate(stack) if e[0] == "p"))
+        if tag in CLOSES_P and opened.get("p"):
+            close_to(opened["p"][-1])
         if tag in SIBLINGS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SCOPE[tag]:
-                    break
-                if stack[k][0] in SIBLINGS[tag]:
-                    close_to(k)
-                    break
+            sibling = innermost(SIBLINGS[tag])
+            if sibling and sibling > innermost(SCOPE[tag] - SIBLINGS[tag]):
+                close_to(sibling)
         flush()
         names = " ".join(v for a in ATTRIBUTE.finditer(m[3]) for v in a.groups()[1:] if v) if "=" in m[3] else ""
-        away = tag != "body" and (bool(stack) and stack[-1][2] or tag in NEVER)
-        asides, outer = stack[-1][3:] if stack else ((), -1)
-        opened += 1
+        _, path, away, aside, outer = stack[-1]
+        away = tag != "body" and (away or tag in NEVER)
         if tag in SELDOM and not (tag == "header" and outer >= 0) or (
                 names and tag not in HEADINGS and tag not in ("html", "body", "article", "main")
                 and not SELDOM_NAMES.isdisjoint(structural(m[3], tag == "section" and outer >= 0))):
-            asides = (*asides, -opened if tag in ("nav", "footer") else opened)
+            aside = asides.add(aside, tag)
         if tag in ("article", "main") and outer < 0:
-            outer = len(asides)
-        stack.append((tag, f"{tag}.{names}" if names else tag, away, asides, outer))
+            outer = aside
+        step = path, f"{tag}.{names}" if names else tag
+        if step not in known:
+            known[step] = paths.add(path, tag)
+        opened[tag].append(len(stack))
+        stack.append((tag, known[step], away, aside, outer))
         links = 0
     flush()
-    return out
+    return out, paths, asides
 
 
 def structural(attributes: str, topic: bool) -> list[str]:
@@ -143,30 +189,25 @@ def structural(attributes: str, topic: bool) -> list[str]:
             for name in (a[2] or a[3] or a[4] or "").lower().split()]
 
 
-def in_favour(found: list[Block]) -> list[Block]:
+def in_favour(found: list[Block], asides: Tree) -> list[Block]:
     """The blocks outside of asides, where a page has an article or main element with such blocks.
 
     Else an aside around an article or main element does not count inside it, and one that holds most
     of the page's unlinked text is none, unless it is nav or footer.
     """
-    if any(outer >= 0 and not asides for *_, asides, outer in found):
-        return [b for b in found if not b[3]]
-    text, total = Counter(), 0
-    for _, words, linked, asides, _ in found:
-        size = max(0, len(words) - linked)
-        total += size
-        for a in asides:
-            text[a] += size
-    return [b for b in found if all(a > 0 and 2 * text[a] > total for a in b[3][max(b[4], 0):])]
-
-
-def gathered(path: str, sizes: dict[str, int], total: int) -> str:
-    """The innermost container around ``path`` that has half of the content's characters or more."""
-    while path:
-        path = path.rpartition("/")[0]
-        if 2 * sizes.get(path, 0) >= total:
-            return path
-    return ""
+    if any(b.outer >= 0 and not b.aside for b in found):
+        return [b for b in found if not b.aside]
+    text = [0] * len(asides.parent)
+    for b in found:
+        text[b.aside] += max(0, len(b.text) - b.linked)
+    total = sum(text)
+    for a in range(len(text) - 1, 0, -1):
+        text[asides.parent[a]] += text[a]
+    against = [0] * len(text)  # asides from one outwards that count as such
+    for a in range(1, len(text)):
+        real = asides.tag[a] in ("nav", "footer") or 2 * text[a] <= total
+        against[a] = against[asides.parent[a]] + real
+    return [b for b in found if against[b.aside] == against[max(b.outer, 0)]]
 
 
 def main_text(page: str | None) -> str:
@@ -181,7 +222,8 @@ def main_text(page: str | None) -> str:
     holds content, or in the container of most content, either as a list, table, quote or the like or
     between content blocks; in body itself both are asked.
     """
-    found = in_favour(blocks(page or ""))
+    found, tree, asides = blocks(page or "")
+    found = in_favour(found, asides)
     if not found:
         return ""
     paths = {p: i for i, p in enumerate(dict.fromkeys(b[0] for b in found))}
@@ -205,40 +247,44 @@ def main_text(page: str | None) -> str:
         return ""
     content = value >= SHARE * value.max()
     # a heading between content of the same parent belongs to it
-    best = {p.rsplit("/", 1)[0] for p, i in paths.items() if content[i]}
+    best = {tree.parent[p] or p for p, i in paths.items() if content[i]}  # or inside one without a parent
     for p, i in paths.items():
-        parent, _, leaf = p.rpartition("/")
-        if parent in best and re.match(r"h[1-6](?:\.|$)", leaf):
+        if p and tree.parent[p] in best and tree.tag[p] in HEADINGS:
             content[i] = True
-    sizes, ends = Counter(), {}
+    nodes = len(tree.parent)
+    own, sizes, first, final = [0] * nodes, [0] * nodes, [len(found)] * nodes, [-1] * nodes
+    begin, stop = list(first), list(final)  # of content blocks of the path itself
     for k, (b, i) in enumerate(zip(found, owner)):
         if content[i]:
-            path = b[0]
-            while path:
-                path = path.rpartition("/")[0]
-                sizes[path] += len(b[1])
-                ends[path] = (ends.get(path, (k, k))[0], k)
-    total = sum(len(b[1]) for b, i in zip(found, owner) if content[i])
-    length = np.bincount(owner, [len(b[1]) for b in found])
+            own[b.path] += len(b.text)
+            begin[b.path], stop[b.path] = min(begin[b.path], k), k
+    for n in range(nodes - 1, 0, -1):  # sums over what is inside, without the path itself
+        up = tree.parent[n]
+        sizes[up] += sizes[n] + own[n]
+        first[up], final[up] = min(first[up], first[n], begin[n]), max(final[up], final[n], stop[n])
+    total = sum(own)
+    article, listings, container = [0] * nodes, [0] * nodes, [0] * nodes
+    for n in range(1, nodes):
+        up, tag = tree.parent[n], tree.tag[n]
+        article[n] = article[up] or (n if tag in ("article", "main") and final[n] >= 0 else 0)  # outermost with content
+        listings[n] = listings[up] + (tag in LISTED)
+        container[n] = n if 2 * sizes[n] >= total else container[up]  # innermost with half of the content or more
+    length = np.bincount(owner, [len(b.text) for b in found])
     few_links = np.bincount(owner, chars) >= 0.5 * length
     kept = []
     for k, (b, i) in enumerate(zip(found, owner)):
         keep = content[i]
         if not keep and few_links[i]:
-            names = b[0].split("/")
-            tags = [n.split(".")[0] for n in names]
-            home = next(("/".join(names[:j + 1]) for j, t in enumerate(tags) if t in ("article", "main")
-                         and "/".join(names[:j + 1]) in ends), None)
-            if home:
+            if article[b.path]:
                 keep = True
             else:
-                home = gathered(b[0], sizes, total)
-                between = home in ends and ends[home][0] < k < ends[home][1]
-                listed = not LISTED.isdisjoint(tags[home.count("/") + 1 if home else 0:])
-                plain = home.rpartition("/")[2].split(".")[0] in ("", "html", "body")
+                home = container[tree.parent[b.path]]
+                between = first[home] < k < final[home]
+                listed = listings[b.path] > listings[home]
+                plain = tree.tag[home] in ("", "html", "body")
                 keep = between and listed if plain else between or listed
         if keep:
-            kept.append(b[1])
+            kept.append(b.text)
     return " ".join(kept)
 
 

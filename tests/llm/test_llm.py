@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -517,3 +518,22 @@ def test_one_id_with_several_texts_is_one_document(spark):
     assert sorted((by[1], by[5], by[9]), key=repr) in (  # 5 goes with 1 or with 9, by the digests
         sorted(({(6, 1, True)}, {(6, 1, False)}, {(6, 9, True)}), key=repr),
         sorted(({(6, 1, True)}, {(6, 5, True)}, {(6, 5, False)}), key=repr))
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 330_000, '<a b="' * 170_000, "<div>xy z, w." * 77_000, "<p>xy z, w." * 90_000, "<nav>xy z" * 110_000,
+    "<title>x" * 120_000, "<!x" * 330_000, "<!-- " * 200_000, "<" * 1_000_000, "<div></p>" * 110_000,
+    "<div>" * 50_000 + "<li>x</li>" * 80_000, "<div>" * 100_000 + "</ul>" * 100_000, '<a ">x' * 160_001,
+    "<a " * 330_000 + '">"', "<article>" * 50_000 + "x, y. " + "<aside>z" * 60_000,
+], ids=lambda page: page[:8] + page[-8:])
+def test_odd_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 8  # 1 MB: about a second; quadratic time is minutes
+
+
+def test_tags_and_quotes_that_never_end():
+    body = "<article><p>One two, three. Four five, six.</p>"
+    assert main_text(body + '<p class="x>Seven, eight.</p></article>').endswith("Four five, six. Seven, eight.")
+    assert main_text(body + "<p>a <b c").endswith("Four five, six. a <b c")
+    assert main_text('<div class="a/b"><p>One, two. Three, four.</p></div>') == "One, two. Three, four."
