@@ -316,3 +316,17 @@ def test_window_without_a_partition_is_refused(spark):
 
     with pytest.raises(ValueError):
         indicators.window_column(spark.range(3), [], ["id"], "rank()", "r")
+
+
+def test_dividend_yield_by_chunks_of_days(spark, data):
+    from starwright.workload.star import daily_bars
+
+    paid = data.lineitem.select(F.col("l_returnflag").alias("ticker"), F.col("l_shipdate").alias("trade_date"),
+                                F.col("l_tax").alias("amount"))
+
+    def rounded(**named):
+        out = rolling.dividend_yield(daily_bars(data), paid, "ticker", "trade_date", **named)
+        return rows(out.withColumns({c: F.round(c, 6) for c in ("trailing_dividends", "dividend_yield_pct")}))
+
+    whole = rounded()
+    assert whole and rounded(chunk_days=400) == whole
