@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from operator import add
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from tokenizers import Tokenizer
 from starwright.llm.registry import query, table
 
 WORD_CACHE = 600_000  # entries of each cache of a Python worker; a full one is emptied
+CACHE_BYTES = 24 << 20  # of keys and values in each cache; one that would pass it is emptied
+ENTRY_BYTES = 50  # of the table itself for each entry, about
 LONGEST = 64  # characters of what is remembered; longer pieces are worked out each time
 # the white space of the tokenizer's pattern language, written out
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -56,17 +59,23 @@ def byte_alphabet() -> list[str]:
 
 
 class Remembered(dict):
-    """Values of a function, worked out when first asked for; at most ``limit`` of them, of short keys."""
+    """Values of a function, worked out when first asked for; those of short keys are kept.
 
-    def __init__(self, function, limit: int):
+    At most ``limit`` entries of together ``most`` bytes are held, whichever is reached first.
+    """
+
+    def __init__(self, function, limit: int, most: int = CACHE_BYTES):
         super().__init__()
-        self.function, self.limit = function, limit
+        self.function, self.limit, self.most, self.held = function, limit, most, 0
 
     def __missing__(self, key):
         value = self.function(key)
         if len(key) <= LONGEST:
-            if len(self) >= self.limit:
+            size = getsizeof(key) + getsizeof(value) + ENTRY_BYTES
+            if len(self) >= self.limit or self.held + size > self.most:
                 self.clear()
+                self.held = 0
+            self.held += size
             self[key] = value
         return value
 
@@ -77,7 +86,7 @@ class PieceEncoder:
     The model merges inside the pieces of the split pattern only, so the ids of a text are those
     of its pieces, one after the other. White space always starts a piece, hence whole
     words can be looked up. Strings of special tokens are taken out first, as the library does. Caches are
-    bounded in entries and in the length of their keys, also within one text.
+    bounded in entries, in bytes and in the length of their keys, also within one text.
     """
 
     def __init__(self, path: str, cache: int = WORD_CACHE):

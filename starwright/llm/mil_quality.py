@@ -15,6 +15,7 @@ from starwright.llm.words import text_slices, word_hashes
 
 PASSAGE_BYTES = 400
 KINDS = 12  # classes of bytes
+SCORE_BYTES = 1 << 19  # texts scored together; each byte takes some seventy while its passages are counted
 FEATURES = KINDS * KINDS + KINDS + 6
 HIDDEN, ATTENTION = 16, 8
 TRAIN_DOCS = 4000  # at most so many labelled documents are fitted
@@ -24,7 +25,7 @@ SEED = 11
 
 def byte_kinds() -> np.ndarray:
     """Class of each byte: lower, upper, digit, blank, line end, stop, quote, bracket, mark, symbol, high."""
-    kind = np.full(256, 9, np.int64)
+    kind = np.full(256, 9, np.int32)
     kind[128:] = 10
     kind[192:] = 11
     for chars, k in ((b"abcdefghijklmnopqrstuvwxyz", 0), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"0123456789", 2),
@@ -43,15 +44,17 @@ def passages(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pairs of neighbouring classes, and how often words repeat in it and in the document.
     """
     data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
-    lengths = np.array([len(r) + 1 for r in raws])
-    begins = np.cumsum(lengths) - lengths
+    most = max(len(data), (len(raws) + len(data) // PASSAGE_BYTES) * KINDS**2)
+    whole = np.int32 if most < 1 << 31 else np.int64  # half the memory, where numbers fit
+    lengths = np.array([len(r) + 1 for r in raws], whole)
+    begins = np.cumsum(lengths, dtype=whole) - lengths
     pieces = np.maximum(1, -(-(lengths - 1) // PASSAGE_BYTES))
     document = np.repeat(np.arange(len(raws)), pieces)
     number = np.arange(len(document)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    owner_doc = np.repeat(np.arange(len(raws)), lengths)
-    inside = np.arange(len(data)) - begins[owner_doc]
+    owner_doc = np.repeat(np.arange(len(raws), dtype=whole), lengths)
+    inside = np.arange(len(data), dtype=whole) - begins[owner_doc]
     width = -(-np.maximum(lengths - 1, 1) // pieces)  # passages of a text are equally long
-    first = np.cumsum(pieces) - pieces
+    first = np.cumsum(pieces, dtype=whole) - pieces
     owner = first[owner_doc] + np.minimum(inside // width[owner_doc], pieces[owner_doc] - 1)
     k, count = KIND[data], len(document)
     single = np.bincount(owner * KINDS + k, minlength=count * KINDS).reshape(count, KINDS)
@@ -185,7 +188,7 @@ def score_quality(
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raws in text_slices(source, 2):
+        for batch, raws in text_slices(source, 2, SCORE_BYTES):
             scores = np.full(len(raws), model) if isinstance(model, float) else model.score(raws)
             columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
                        pa.array((scores >= threshold).astype(np.int32))]

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import time
 import zlib
 
@@ -537,3 +538,13 @@ def test_tags_and_quotes_that_never_end():
     assert main_text(body + '<p class="x>Seven, eight.</p></article>').endswith("Four five, six. Seven, eight.")
     assert main_text(body + "<p>a <b c").endswith("Four five, six. a <b c")
     assert main_text('<div class="a/b"><p>One, two. Three, four.</p></div>') == "One, two. Three, four."
+
+
+def test_caches_are_bounded_in_bytes():
+    e = PieceEncoder(vocabulary_path())
+    e.words.most = 10_000
+    texts = [" ".join(f"w{i}x{j}" for i in range(500)) for j in range(4)]
+    library = Tokenizer.from_file(vocabulary_path())
+    for t in texts:
+        assert e.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in e.words.items()) <= e.words.held <= 10_000
