@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from starwright.llm.registry import query, table
 
 WORD_CACHE = 600_000  # entries of each cache of a Python worker; a full one is emptied
-CACHE_BYTES = 24 << 20  # of keys and values in each cache; one that would pass it is emptied
+CACHE_BYTES = 64 << 20  # of keys and values in each cache; one that would pass it is emptied
 ENTRY_BYTES = 50  # of the table itself for each entry, about
 LONGEST = 64  # characters of what is remembered; longer pieces are worked out each time
 # the white space of the tokenizer's pattern language, written out
@@ -73,12 +73,15 @@ class Remembered(dict):
         if len(key) <= LONGEST:
             size = getsizeof(key) + getsizeof(value) + ENTRY_BYTES
             if len(self) >= self.limit or self.held + size > self.most:
-                self.clear()
-                self.held = 0
+                self.forget()
             self.held += size
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class PieceEncoder:
     """Ids of a byte-level BPE vocabulary by the tokenizers library's model, each distinct piece once.
@@ -113,6 +116,12 @@ class PieceEncoder:
         self.pieces = Remembered(self.encode_letters, cache)  # in the byte alphabet
         self.chunks = Remembered(lambda c: b"".join(map(self.pieces.__getitem__, self.split(c))), cache)
 
+    def forget(self) -> None:
+        """Empty all caches."""
+        for cache in vars(self).values():
+            if isinstance(cache, Remembered):
+                cache.forget()
+
     def split(self, text: str) -> list[str]:
         """The pieces of a text in the byte alphabet."""
         if text.isascii():
@@ -193,7 +202,7 @@ class ForcedBoundaryEncoder(PieceEncoder):
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryEncoder:
-    """One encoder per worker process; its caches live as long as the worker."""
+    """One encoder per worker process."""
     return ForcedBoundaryEncoder(path)
 
 
@@ -238,6 +247,7 @@ def encode_decode(
                 columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.forget()  # a worker goes on to other stages, which need the memory
 
     return df.select(id_col, text_col).mapInArrow(batches, schema)
 

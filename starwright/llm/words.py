@@ -10,7 +10,7 @@ import pyarrow as pa
 
 ODD = 0x9E3779B97F4A7C15
 BASE = 0x2545F4914F6CDD1D
-SLICE_BYTES = 2 << 20  # texts worked on together; a longer text is one slice
+SLICE_BYTES = 1 << 19  # texts worked on together, at some hundred times the memory; a longer text is one slice
 SLICE_ROWS = 2000  # and at most so many of them
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,12 +33,12 @@ def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def slices(texts: Sequence[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts in order as UTF-8, in runs of about ``most`` bytes, with the index of the first."""
+def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in order as UTF-8, in runs of about SLICE_BYTES, with the index of the first."""
     run, size, first = [], 0, 0
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
-        if run and size + len(raw) > most:
+        if run and size + len(raw) > SLICE_BYTES:
             yield first, run
             run, size, first = [], 0, i
         run.append(raw)
@@ -97,10 +97,10 @@ def shingle_sets(raws: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]
     return hashes[fresh], owners[fresh]
 
 
-def text_slices(source, column: int = 1, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_slices(source, column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Arrow batches cut to slices, with the texts of ``column`` as UTF-8."""
     for batch in source:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(at, SLICE_ROWS)
-            for first, raws in slices(part.column(column).to_pylist(), most):
+            for first, raws in slices(part.column(column).to_pylist()):
                 yield part.slice(first, len(raws)), raws
