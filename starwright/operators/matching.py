@@ -6,19 +6,27 @@ first gram in common lies where the norms of what is left of the two vectors sti
 the threshold; only such heads are joined, so no match is missed, and the common grams, whose
 lists are long, are not joined for most names. Pairs that could still reach the threshold
 after their joined grams are then computed in full.
+
+Long texts have most of their weight in common grams, where heads rule out few pairs. So canonical texts
+of together at most ``INDEX_CHARS`` characters become an index that goes out with the tasks
+(:mod:`gram_index`): each text is compared with all of them in one pass, and its grams are never rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starwright.operators.gram_index import GramIndex
 from starwright.operators.setops import keep_one
 from starwright.session import durable
 from starwright.sinks.tables import append_immutable, table_exists
 from starwright.sources.tables import scan
 
 GRAM_SIZES = (2, 3, 4)
+INDEX_CHARS = 200_000  # of all canonical texts: fewer than a million grams of some 20 bytes
+INDEX_LETTERS = 60_000  # different characters of theirs
 
 
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
@@ -91,11 +99,42 @@ def vectors(names: DataFrame, canon: DataFrame) -> tuple[DataFrame, DataFrame]:
     return durable(ranked_vectors(name_counts, idf)), durable(ranked_vectors(canon_counts, idf))
 
 
+def gram_index(canon: DataFrame) -> tuple[GramIndex, list[str]]:
+    """An index of all texts of a small (id, text) frame, and their ids by number."""
+    counts = durable(gram_counts(canon))
+    n = counts.select(F.count_distinct("id").alias("n")).scalar()
+    idf = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).select(
+        "gram", "df", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    rows = unit_vectors(counts, idf).join(idf.select("gram", "idf"), "gram").select("id", "gram", "w", "idf").toArrow()
+    ids, grams = (rows.column(c).combine_chunks().dictionary_encode() for c in ("id", "gram"))
+    of_gram = grams.indices.to_numpy()
+    known = np.empty(len(grams.dictionary))
+    known[of_gram] = rows.column("idf").to_numpy()
+    index = GramIndex(grams.dictionary.to_pylist(), known, of_gram, ids.indices.to_numpy(),
+                      rows.column("w").to_numpy(), len(ids.dictionary))
+    return index, ids.dictionary.to_pylist()
+
+
+def indexed_matches(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """:func:`cosine_matches` of (id, text) frames by an index of the right one."""
+    spark = left.sparkSession
+    index, ids = gram_index(right)
+    numbered = spark.createDataFrame(list(enumerate(ids)), "b long, id string")
+    canons = numbered.join(right, "id").select("b", F.col("text").alias("canonical"))
+    found = left.select("id", "text", F.lower("text").alias("lower")).mapInArrow(
+        lambda batches: index.search(batches, threshold), "a_id string, name string, b long, similarity double")
+    return found.join(canons, "b").select("name", "canonical", "similarity")
+
+
 def cosine_matches(
     names: DataFrame, name: str, canon: DataFrame, canonical: str, threshold: float = 0.85,
 ) -> DataFrame:
     """(name, canonical, similarity) of all pairs of distinct texts at or above the threshold."""
     left, right = distinct_texts(names, name), distinct_texts(canon, canonical)
+    characters = F.array_distinct(F.split(F.lower("text"), ""))
+    if ((right.agg(F.sum(F.length("text"))).first()[0] or 0) <= INDEX_CHARS
+            and right.select(F.explode(characters).alias("c")).distinct().count() <= INDEX_LETTERS):
+        return indexed_matches(left, right, threshold)
     left_vec, right_vec = vectors(left, right)
     pairs = candidate_pairs(left_vec, right_vec, threshold)
     right_vec = right_vec.select(F.col("id").alias("b_id"), "gram", F.col("w").alias("b"))

@@ -3,11 +3,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from starwright.operators import gram_index, matching
 from starwright.operators.matching import cosine_matches, resolve_names
 
 CANON = ["Police Department", "Fire Department", "Streets & Sanitation", "Water Management", "OEMC"]
@@ -123,3 +125,46 @@ def test_learned_aliases_are_not_matched_again(spark, tmp_path, monkeypatch):
     assert {(x.name, x.method) for x in mixed.collect()} == {
         ("POLICE DEPARTMENTS", "ALIAS"), ("Fire Departments", "COSINE")}
     assert spark.read.parquet(path).count() == 2
+
+
+ODD = ["  Police\tDepartment\n", "Police Department", "ÇA VA Straße 😀 İi", "ça va straße 😀 i̇i", "a b", "a", "",
+       "  ", "x" * 300 + " police", "Water Management\r\nWater Management", "police department fire department"]
+
+
+def test_index_makes_no_pairs_of_rows(spark, monkeypatch):
+    """Long texts share common grams with all canonical ones, so their pairs must not become rows."""
+    def forbidden(*args):
+        raise AssertionError("pairs of rows")
+
+    monkeypatch.setattr(matching, "candidate_pairs", forbidden)
+    long = " ".join(CANON) + " the fire of the police and the water "
+    names = [*ODD, long * 3, *CANON]
+    got = {(r.name, r.canonical): r.similarity for r in cosine_matches(
+        frame(spark, [*names, None, *CANON], "n"), "n", frame(spark, [*CANON, *ODD, None], "c"), "c", 0.4).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(matching, "INDEX_CHARS", 0)
+    joined = {(r.name, r.canonical): r.similarity for r in cosine_matches(
+        frame(spark, names, "n"), "n", frame(spark, [*CANON, *ODD], "c"), "c", 0.4).collect()}
+    assert got == pytest.approx(joined) and len(got) > len(CANON)
+
+
+def test_index_in_small_steps(monkeypatch):
+    """Slices of texts, of characters and of lists give the same similarities."""
+    docs = [grams(c) for c in CANON]
+    known = sorted({g for d in docs for g in d})
+    of_gram, of_text, weight = zip(*[(known.index(g), i, 0.1 * n) for i, d in enumerate(docs) for g, n in d.items()])
+    index = gram_index.GramIndex(known, np.ones(len(known)), np.array(of_gram), np.array(of_text), np.array(weight), len(CANON))
+    texts = [t.lower() for t in [*CANON, "fire police water management " * 20, "zzz", ""]]
+
+    def found():
+        return {(first + int(p), int(b)): s for first, end in index.slices(texts)
+                for p, b, s in zip(*index.matches(texts[first:end], index.codes(), 0.01))}
+
+    whole = found()
+    monkeypatch.setattr(gram_index, "SLICE_CHARS", 7)
+    monkeypatch.setattr(gram_index, "CELLS", 3)
+    assert found() == pytest.approx(whole) and {(i, i) for i in range(len(CANON))} <= set(whole)
+
+
+def test_no_canonical_texts(spark):
+    assert cosine_matches(frame(spark, ["a"], "n"), "n", frame(spark, [None, ""], "c"), "c").count() == 0
