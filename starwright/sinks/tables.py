@@ -21,6 +21,7 @@ from starwright.session import durable
 from starwright.sources.tables import path_exists, scan
 
 FORMAT = "parquet"
+CLUSTER_ROWS, CLUSTER_BYTES = 2_000_000, 64 << 20  # most in a clustered file, which one task sorts
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -421,6 +422,13 @@ def range_ranks(df: DataFrame, columns: Sequence[str], bits: int) -> dict[str, C
     return {name: rank(name) for name in columns}
 
 
+def clustered_files(spark: SparkSession, path: str, rows: int, files: int) -> int:
+    """``files``, or the multiple of it that keeps each file within CLUSTER_ROWS and CLUSTER_BYTES."""
+    fs, folder = _fs(spark, path)
+    stored = fs.getContentSummary(folder).getLength()
+    return files * max(1, -(-rows // (files * CLUSTER_ROWS)), -(-stored // (files * CLUSTER_BYTES)))
+
+
 def cluster(
     spark: SparkSession, path: str, columns: Sequence[str], files: int,
     partitions: Sequence[str] | None = None, zorder: bool = False, bits: int = 7,
@@ -431,8 +439,12 @@ def cluster(
     With ``zorder`` the rows follow the interleaved bits of the columns' range ranks, so a filter on any
     one of them skips files; sorted by columns in turn, only the first would. NULLs lie with the
     smallest values. ``bits`` per column bound how fine the ranges are.
+
+    A file is sorted by one task, so a table too large for ``files`` of bounded size gets a
+    multiple of them: each file is then cut into equally many narrower ranges.
     """
     stored = open_table(spark, path)
+    files = clustered_files(spark, path, stored.count(), files)  # counted from the footers
     salt = row_hash(stored)
     if not zorder:
         laid = stored.repartitionByRange(files, *columns, salt).sortWithinPartitions(*columns)

@@ -202,6 +202,20 @@ def test_cluster_sorts_and_splits_a_hot_value(spark):
     assert scan(spark, path).count() == 5_000 and max(p["count"] for p in parts) < 2_500
 
 
+@pytest.mark.parametrize("limit, zorder", [("CLUSTER_ROWS", False), ("CLUSTER_ROWS", True), ("CLUSTER_BYTES", False)])
+def test_clustered_files_are_bounded(spark, monkeypatch, limit, zorder):
+    """More rows than the files may hold make a multiple of them, each still a range of its own."""
+    path = scratch_path(spark, "cluster")
+    sink.write(spark.range(5_000).select("id", (F.col("id") * 7 % 5_000).alias("c")), path)
+    monkeypatch.setattr(sink, limit, 600 if limit == "CLUSTER_ROWS" else 4_000)
+    sink.cluster(spark, path, ["c"], files=4, zorder=zorder)
+    parts = scan(spark, path).groupBy(F.input_file_name().alias("f")).agg(
+        F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("low").collect()
+    assert sum(p["n"] for p in parts) == 5_000 == scan(spark, path).distinct().count()
+    assert len(parts) >= 8 and max(p["n"] for p in parts) < 1_000
+    assert zorder or all(a["high"] <= b["low"] for a, b in zip(parts, parts[1:]))
+
+
 def test_merge_without_insert_and_star_layout(spark):
     path = scratch_path(spark, "merge")
     sink.write(kv(spark, [(1, 1), (2, 2)]), path)
