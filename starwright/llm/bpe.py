@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from starwright.llm.registry import query, table
+from starwright.llm.words import give_back
 
 WORD_CACHE = 600_000  # entries of each cache of a Python worker; a full one is emptied
 CACHE_BYTES = 64 << 20  # of keys and values in each cache; one that would pass it is emptied
@@ -248,6 +249,7 @@ def encode_decode(
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
         bpe.forget()  # a worker goes on to other stages, which need the memory
+        give_back()
 
     return df.select(id_col, text_col).mapInArrow(batches, schema)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, modulo 2**64."""
-    up = np.full(length, BASE, np.uint64)
-    down = np.full(length, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+POWERS: list[np.ndarray] = []  # the longest made since the worker last gave its memory back
+
+
+def powers(length: int) -> list[np.ndarray]:
+    """At least so many powers of BASE and of its inverse, modulo 2**64."""
+    if not POWERS or len(POWERS[0]) < length:
+        made = [np.full(length, base, np.uint64) for base in (BASE, pow(BASE, -1, 1 << 64))]
+        for row in made:
+            row[0] = 1
+            np.multiply.accumulate(row, out=row)
+        POWERS[:] = made
+    return POWERS
+
+
+def give_back() -> None:
+    """Return what a worker no longer uses to the system: it waits for tasks of other stages beside the next ones."""
+    POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library that does so by itself or not at all
+        pass
 
 
 def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -98,9 +115,12 @@ def shingle_sets(raws: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def text_slices(source, column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Arrow batches cut to slices, with the texts of ``column`` as UTF-8."""
+    """Arrow batches cut to slices, with the texts of ``column`` as UTF-8; the memory goes back after the last."""
+    batch = part = raws = None
     for batch in source:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(at, SLICE_ROWS)
             for first, raws in slices(part.column(column).to_pylist()):
                 yield part.slice(first, len(raws)), raws
+    del batch, part, raws
+    give_back()

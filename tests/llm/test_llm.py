@@ -13,13 +13,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import DATA_DIR
-from starwright.llm import nn_descent, setsketch
+from starwright.llm import nn_descent, setsketch, words
 from starwright.llm import queries as llm
 from starwright.llm import balanced_shards as sharding
 from starwright.llm.balanced_shards import balanced_shards, pack
@@ -548,3 +549,13 @@ def test_caches_are_bounded_in_bytes():
     for t in texts:
         assert e.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in e.words.items()) <= e.words.held <= 10_000
+
+
+def test_a_worker_gives_its_memory_back_after_a_task():
+    """Tables of powers are kept once, for the longest slice, and not beyond the task."""
+    raws = [("word " * n).encode() for n in (10, 40_000, 200, 90_000)]
+    alone = [words.word_hashes([raw])[0] for raw in raws]
+    assert len(words.POWERS) == 2 and len(words.POWERS[0]) == 1 << 19
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([r.decode() for r in raws])], ["doc_id", "text"])
+    found = [words.word_hashes(run) for _, run in words.text_slices([batch])]
+    assert np.array_equal(np.concatenate([h for h, _ in found]), np.concatenate(alone)) and not words.POWERS
