@@ -10,6 +10,7 @@ from functools import lru_cache
 from operator import add
 from sys import getsizeof
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
@@ -20,7 +21,9 @@ from starwright.llm.words import give_back
 WORD_CACHE = 600_000  # entries of each cache of a Python worker; a full one is emptied
 CACHE_BYTES = 64 << 20  # of keys and values in each cache; one that would pass it is emptied
 ENTRY_BYTES = 50  # of the table itself for each entry, about
+OBJECT_BYTES = 90  # of a short text and of bytes, beside what they hold
 LONGEST = 64  # characters of what is remembered; longer pieces are worked out each time
+TOGETHER = 100  # unknown pieces given to the model at once
 # the white space of the tokenizer's pattern language, written out
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # fixed values: the split pattern, for text of Latin letters, and the byte alphabet of byte-level BPE vocabularies. Which
@@ -39,6 +42,13 @@ CHUNK = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 RARE_SPACES = [*"\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000"]
 SPACE_PAIRS = ["  ", *[pair for c in "\t\n\x0b\x0c\r" for pair in (c + " ", " " + c)]]
 MARKS = set(".,;:!?")
+CUT = "\ue000"  # ends a Latin text, which does not hold it
+NO_BYTE = 0xFF  # occurs in no UTF-8 text
+KINDS = np.zeros(1 << 16, np.uint8)  # of characters of Latin text
+KINDS[[i for i in range(ord(LATIN_END)) if re.match(f"[{LATIN_SPACES}]", chr(i))]] = WHITE = 1
+KINDS[[i for i in range(ord(LATIN_END)) if re.match(f"[{LETTERS}]", chr(i))]] = 2
+KINDS[[i for i in range(ord(LATIN_END)) if re.match(f"[{NUMBERS}]", chr(i))]] = 3
+KINDS[ord(CUT)] = LAST = 4
 
 
 def odd_spaces(text: str) -> bool:
@@ -50,6 +60,33 @@ def odd_spaces(text: str) -> bool:
             or not text.isascii() and any(c in text for c in RARE_SPACES))
 
 
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")  # faster than to look for the largest character
+        return True
+    except UnicodeEncodeError:
+        return max(text) < LATIN_END
+
+
+def piece_starts(codes: np.ndarray) -> np.ndarray:
+    """Where the pieces of PIECE start in Latin texts that CUT ends, each CUT being one; ``codes`` are characters."""
+    kind = KINDS[codes]
+    start = np.ones(len(codes), bool)
+    start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == LAST)
+    # the last white space before a word is apart from more before it, and a space begins that word
+    last = np.flatnonzero((kind[:-1] == WHITE) & (kind[1:] != WHITE) & (kind[1:] != LAST))
+    start[last] = True
+    start[last + 1] = codes[last] != ord(" ")
+    quote = np.flatnonzero(start & (codes == ord("'")))
+    for ending in ("s", "t", "re", "ve", "m", "ll", "d"):
+        at = quote[quote + len(ending) < len(codes)]
+        for i, c in enumerate(ending, 1):
+            at = at[codes[at + i] == ord(c)]
+        start[at + 1] = False
+        start[at + 1 + len(ending)] = True
+    return np.flatnonzero(start)
+
+
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte: itself if printed, else the next free from 256."""
     letters, free = {b: chr(b) for b in PRINTED}, 256
@@ -79,6 +116,13 @@ class Remembered(dict):
             self[key] = value
         return value
 
+    def add(self, found: dict, size: int) -> None:
+        """Keep values of short keys that were worked out elsewhere, of about so many bytes."""
+        if len(self) + len(found) > self.limit or self.held + size > self.most:
+            self.forget()
+        self.held += size
+        self.update(found)
+
     def forget(self) -> None:
         self.clear()
         self.held = 0
@@ -100,6 +144,8 @@ class PieceEncoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         vocabulary = spec["model"]["vocab"]
+        self.merges_only = not any(spec["model"].get(option) for option in (
+            "ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         letters = byte_alphabet()
         self.to_letters = {b: letters[b] for b in range(256)}
         self.space = letters[32]
@@ -201,6 +247,77 @@ class ForcedBoundaryEncoder(PieceEncoder):
         return b"".join(map(self.fragments.__getitem__, fragments))
 
 
+class BatchEncoder(PieceEncoder):
+    """The same ids for many texts at once: each distinct piece of them is looked up once, and pieces that are
+    not remembered go to the model many at a time.
+
+    The letter of a byte that no UTF-8 text holds stands between those. It is in no other token, so nothing is
+    merged across it. Where a vocabulary has no such letter, or options beside merges, pieces go one by one.
+    """
+
+    def __init__(self, path: str, cache: int = WORD_CACHE):
+        super().__init__(path, cache)
+        self.end = self.vocabulary.get(self.to_letters[NO_BYTE])
+        alone = "".join(self.vocabulary).count(self.to_letters[NO_BYTE]) == 1
+        self.joins = self.merges_only and alone and self.end is not None
+
+    def encode_unknown(self, pieces: list[str]) -> list[bytes]:
+        """Ids of short pieces of Latin text; all are remembered."""
+        out, step = [], min(TOGETHER, self.limit)
+        for at in range(0, len(pieces), step):
+            some = pieces[at:at + step]
+            if self.joins:
+                raw = (CUT.join(some) + CUT).encode("utf-8").replace(CUT.encode("utf-8"), bytes([NO_BYTE]))
+                tokens = self.tokenize(raw.decode("latin-1").translate(self.to_letters))
+                ids = np.array([t.id for t in tokens], "<u4")
+                ends, joined = (4 * np.flatnonzero(ids == self.end)).tolist(), ids.tobytes()
+                coded = [joined[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends)]
+            else:
+                coded = [self.encode_letters(self.letters(p)) for p in some]
+            size = sum(map(len, some)) + sum(map(len, coded)) + len(some) * (OBJECT_BYTES + ENTRY_BYTES)
+            self.chunks.add(dict(zip(some, coded, strict=True)), size)
+            out += coded
+        return out
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces of Latin text."""
+        out = list(map(self.chunks.get, pieces))
+        unknown = [i for i, v in enumerate(out) if v is None]
+        short = [i for i in unknown if len(pieces[i]) <= LONGEST]
+        for i, coded in zip(short, self.encode_unknown([pieces[i] for i in short]), strict=True):
+            out[i] = coded
+        for i in unknown:
+            if len(pieces[i]) > LONGEST:
+                out[i] = self.encode_letters(self.letters(pieces[i]))
+        return out
+
+    def encode_all(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """``(counts, ids)``: how many ids each whole text has, ``end`` appended, and all of them in order."""
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, "<u4")
+        others = {i: self.encode(t) + end for i, t in enumerate(texts)
+                  if not is_latin(t) or self.special and self.special.search(t)}
+        text = CUT.join(["" if i in others else t for i, t in enumerate(texts)]) + CUT
+        codes = np.frombuffer(text.encode("utf-16-le"), "<u2")
+        starts = piece_starts(codes)
+        width = 1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800)  # in UTF-8
+        edges = np.concatenate([[0], np.cumsum(np.add.reduceat(width, starts, dtype=np.int64))])
+        pieces = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(edges), pa.py_buffer(text.encode("utf-8"))).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        whole = distinct.index(CUT)
+        distinct[whole] = ""  # the text's end, no piece
+        coded = self.encode_pieces(distinct)
+        coded[whole] = end
+        order = pieces.indices.to_numpy().astype(np.int64)
+        lasts = np.flatnonzero(order == whole)
+        order[lasts[list(others)]] = np.arange(len(coded), len(coded) + len(others))
+        taken = pa.array([*coded, *others.values()], pa.large_binary()).take(pa.array(order))
+        ends = np.frombuffer(taken.buffers()[1], "<i8", len(order) + 1)[lasts + 1] // 4
+        ids = np.frombuffer(taken.buffers()[2], "<u4", ends[-1]) if ends[-1] else np.zeros(0, "<u4")
+        return np.diff(ends, prepend=0), ids
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryEncoder:
     """One encoder per worker process."""

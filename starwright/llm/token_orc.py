@@ -8,10 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starwright.llm.bpe import PieceEncoder, vocabulary_path
+from starwright.llm.bpe import BatchEncoder, vocabulary_path
 from starwright.llm.common import stage
 from starwright.llm.registry import query, table
 from starwright.session import scratch_path
@@ -19,11 +20,20 @@ from starwright.session import scratch_path
 END_ID = 2
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
+PART_BYTES = 1 << 20  # of texts encoded together, at some forty times the memory; a longer text is one part
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def encoder(path: str) -> BatchEncoder:
+    return BatchEncoder(path)
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut to about PART_BYTES of its second column, so that long texts do not pile up."""
+    sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64)
+    cuts = (np.flatnonzero(np.diff(np.cumsum(sizes) // PART_BYTES)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+        yield batch.slice(a, b - a)
 
 
 def encode_documents(
@@ -33,15 +43,10 @@ def encode_documents(
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in source:
-            # some hundred texts at a time, so that long ones do not pile up
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                coded = [bpe.encode(v or "") for v in part.column(1).to_pylist()]
-                raw = b"".join(c + end for c in coded)
-                counts = np.array([len(c) // 4 + 1 for c in coded], np.int64)
+            for part in parts(batch):
+                counts, ids = bpe.encode_all([v or "" for v in part.column(1).to_pylist()], end)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(np.frombuffer(raw, "<u4").astype(np.int32)))
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(counts), tokens],
                     ["doc_id", "n_tokens", "tokens"])

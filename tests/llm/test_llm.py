@@ -20,11 +20,21 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import DATA_DIR
-from starwright.llm import nn_descent, setsketch, words
+from starwright.llm import nn_descent, setsketch, token_orc, words
 from starwright.llm import queries as llm
 from starwright.llm import balanced_shards as sharding
 from starwright.llm.balanced_shards import balanced_shards, pack
-from starwright.llm.bpe import ForcedBoundaryEncoder, PieceEncoder, encode_decode, vocabulary_path
+from starwright.llm.bpe import (
+    CUT,
+    PIECE,
+    BatchEncoder,
+    ForcedBoundaryEncoder,
+    PieceEncoder,
+    encode_decode,
+    is_latin,
+    piece_starts,
+    vocabulary_path,
+)
 from starwright.llm.common import components
 from starwright.llm.exact_dedup import exact_dedup
 from starwright.llm.mil_quality import passages, score_quality
@@ -132,6 +142,58 @@ def test_bpe_whole_table(docs, odd, empty):
     assert encode_decode(empty, vocabulary_path()).count() == 0
 
 
+def odd_texts(count):
+    letters = "ab sSt\'\'\'  \n\n\t.,!9 redvlm\x85\xa0ß\x1c\x1fé²½\x00ŋ"
+    draw = random.Random(5)
+    return ["", "", " ", "  ", "'s", "'re", "'r", "''s", " 's", "\n's", "a  's", "x'll ab'lla", "a  ", " \n a", "\ue000 a\ue000",
+            "<|endoftext|>", "a <|endoftext|> b", "“it’s”  ok", "日本 語 ", "x" * 200 + " " + "y1" * 100,
+            *["".join(draw.choices(letters, k=draw.randrange(1, 30))) for _ in range(count)]]
+
+
+def test_piece_starts():
+    latin = [t for t in odd_texts(5000) if is_latin(t)]
+    text = CUT.join(latin) + CUT
+    starts = piece_starts(np.frombuffer(text.encode("utf-16-le"), "<u2")).tolist()
+    found = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+    assert found == [p for t in latin for p in [*PIECE.findall(t), CUT]]
+
+
+@pytest.mark.parametrize("cache", [600_000, 7])
+@pytest.mark.parametrize("joins", [True, False])
+def test_batch_encoder(cache, joins):
+    bpe = BatchEncoder(vocabulary_path(), cache)
+    assert bpe.joins
+    bpe.joins = joins  # vocabularies without a free letter go the other way
+    library = Tokenizer.from_file(vocabulary_path())
+    texts = odd_texts(1000)
+    for some in (texts[:7], texts[7:], texts[:3], []):
+        counts, ids = bpe.encode_all(some, b"\2\0\0\0")
+        want = [e.ids + [2] for e in library.encode_batch(some, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_batch_encoder_asks_the_model_for_many_pieces_at_once():
+    bpe, calls = BatchEncoder(vocabulary_path()), []
+    model = bpe.tokenize
+    bpe.tokenize = lambda letters: calls.append(letters) or model(letters)
+    words = ["".join(random.Random(i).choices("abcdefgh", k=9)) for i in range(1000)]
+    bpe.encode_all([" ".join(words), " ".join(words[::-1])])
+    assert len(calls) <= 15
+    bpe.encode_all([" ".join(words)])
+    assert len(calls) <= 15
+
+
+def test_parts_of_a_batch(monkeypatch):
+    monkeypatch.setattr(token_orc, "PART_BYTES", 100)
+    texts = ["é" * 30, None, "", "b" * 300, "c" * 20, "d", *["e"] * 150]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    cut = list(token_orc.parts(batch))
+    assert [t for p in cut for t in p.column(1).to_pylist()] == texts
+    assert all(sum(len((t or "").encode()) for t in p.column(1).to_pylist()[1:]) < 100 for p in cut)
+    assert [p.num_rows for p in token_orc.parts(batch.slice(0, 0))] == [0]
+
+
 def test_token_orc(spark, docs, odd, empty):
     library = Tokenizer.from_file(vocabulary_path())
     target = scratch_path(spark, "orc")
