@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
+from starwright.llm.common import bounded_batches
 from starwright.llm.registry import query, table
 from starwright.llm.words import give_back
 
 WORD_CACHE = 600_000  # entries of each cache of a Python worker; a full one is emptied
-CACHE_BYTES = 64 << 20  # of keys and values in each cache; one that would pass it is emptied
+CACHE_BYTES = 32 << 20  # of keys and values in each cache; one that would pass it is emptied
 ENTRY_BYTES = 50  # of the table itself for each entry, about
 OBJECT_BYTES = 90  # of a short text and of bytes, beside what they hold
 LONGEST = 64  # characters of what is remembered; longer pieces are worked out each time
@@ -163,12 +164,6 @@ class PieceEncoder:
         self.pieces = Remembered(self.encode_letters, cache)  # in the byte alphabet
         self.chunks = Remembered(lambda c: b"".join(map(self.pieces.__getitem__, self.split(c))), cache)
 
-    def forget(self) -> None:
-        """Empty all caches."""
-        for cache in vars(self).values():
-            if isinstance(cache, Remembered):
-                cache.forget()
-
     def split(self, text: str) -> list[str]:
         """The pieces of a text in the byte alphabet."""
         if text.isascii():
@@ -320,7 +315,7 @@ class BatchEncoder(PieceEncoder):
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryEncoder:
-    """One encoder per worker process."""
+    """One encoder per task of a worker process."""
     return ForcedBoundaryEncoder(path)
 
 
@@ -341,6 +336,7 @@ def encode_decode(
     shuffled, repeated rows and NULL ids stay as they are, other columns are ignored, and an
     empty table gives no rows. Texts of any length are encoded whole.
     """
+    bounded_batches(df.sparkSession)
     schema = f"{id_col} {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
         schema += ", ids array<int>, decoded string"
@@ -365,7 +361,8 @@ def encode_decode(
                 columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
-        bpe.forget()  # a worker goes on to other stages, which need the memory
+        del bpe  # a worker goes on to other stages, which need the memory
+        encoder.cache_clear()
         give_back()
 
     return df.select(id_col, text_col).mapInArrow(batches, schema)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starwright.session import scratch_path
+from starwright.session import BATCH_BYTES, BATCH_SETTING, scratch_path
 
 BROADCAST_ROWS = 500_000  # of a few fixed-width columns: some 16 MB
 BUCKET_ROWS = 200_000  # rows that one task may number
@@ -18,6 +18,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers in batches of about BATCH_BYTES, unless the session names a size.
+
+    Spark's own bound is 64 MB; a batch of whole texts then takes several times that of an executor, in buffers
+    outside the heap that double as they fill and in the worker. What a batch holds does not change any result.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a staged table of narrow rows if it has at most ``rows``; else leave it to Spark.
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starwright.llm.common import bounded_batches
 from starwright.llm.registry import query, table
 from starwright.llm.words import text_slices, word_hashes
 
@@ -182,7 +183,9 @@ def score_quality(
     empty table gives no rows. Scoring is one pass without a shuffle; the model, some kilobytes,
     goes out with the tasks.
     """
+    bounded_batches(docs.sparkSession)
     carry = carry or []
+    others = [c for c in carry if c != "text"]  # the text goes to the workers once
     model = train(docs, labels, max_docs)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
 
@@ -191,14 +194,14 @@ def score_quality(
             scores = np.full(len(raws), model) if isinstance(model, float) else model.score(raws)
             columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
                        pa.array((scores >= threshold).astype(np.int32))]
+            given = {"text": batch.column(2)} | {c: batch.column(3 + i) for i, c in enumerate(others)}
             yield pa.RecordBatch.from_arrays(
-                [*columns, *[batch.column(3 + i) for i in range(len(carry))]],
-                ["doc_id", "held_out", "score", "predicted", *carry])
+                [*columns, *[given[c] for c in carry]], ["doc_id", "held_out", "score", "predicted", *carry])
 
     schema = ", ".join([f"doc_id {fields['doc_id']}", "held_out boolean", "score double", "predicted int",
                         *[f"`{c}` {fields[c]}" for c in carry]])
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), F.col("text").alias("__text"),
-                       *[F.col(c) for c in carry])
+                       *[F.col(c) for c in others])
     return rows.mapInArrow(batches, schema)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starwright.llm.common import components, small, stage
+from starwright.llm.common import bounded_batches, components, small, stage
 from starwright.llm.registry import query, table
 from starwright.llm.words import ODD, mix, shingle_sets, text_slices
 
@@ -127,6 +127,7 @@ def near_duplicates(
     3. A pair is verified on the full sets unless its likelihood estimate is far below the
        threshold or its sizes rule it out.
     """
+    bounded_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

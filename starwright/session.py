@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"  # of rows sent to a Python worker at once; a longer row is sent alone
+
 # Sized for large clusters: AQE splits skewed partitions and merges small ones,
 # so the initial shuffle width may be generous.
 CLUSTER_CONF = {
@@ -19,6 +22,7 @@ CLUSTER_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    BATCH_SETTING: BATCH_BYTES,
     "spark.sql.parquet.filterPushdown": "true",
     # drop checkpoint files once nothing refers to them
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",

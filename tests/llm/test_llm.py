@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import DATA_DIR
-from starwright.llm import nn_descent, setsketch, token_orc, words
+from starwright.llm import bpe, nn_descent, setsketch, token_orc, words
 from starwright.llm import queries as llm
 from starwright.llm import balanced_shards as sharding
 from starwright.llm.balanced_shards import balanced_shards, pack
@@ -44,7 +44,7 @@ from starwright.llm.setsketch import near_duplicates
 from starwright.llm.tag_paths import extract_text, main_text
 from starwright.llm.token_orc import read_token_orc, token_digests, write_token_orc
 from starwright.llm.warc_revisit import resolve_revisits
-from starwright.session import scratch_path
+from starwright.session import BATCH_BYTES, BATCH_SETTING, scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, kept int, size string"
 ODD = [
@@ -621,3 +621,63 @@ def test_a_worker_gives_its_memory_back_after_a_task():
     batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([r.decode() for r in raws])], ["doc_id", "text"])
     found = [words.word_hashes(run) for _, run in words.text_slices([batch])]
     assert np.array_equal(np.concatenate([h for h, _ in found]), np.concatenate(alone)) and not words.POWERS
+
+
+def test_quality_sends_each_text_to_the_workers_once(spark):
+    docs = spark.createDataFrame(ODD, DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 11)], "doc_id long, quality int")
+    carry = ["source", "text", "n_chars", "lang"]
+    found = score_quality(docs, labels, carry=carry)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted", *carry]
+    assert sorted(map(repr, found.select("doc_id", *carry).collect())) == sorted(
+        map(repr, docs.select("doc_id", *carry).collect()))
+    sent = found._jdf.queryExecution().analyzed().children().head().output()
+    assert [sent.apply(i).dataType().sql() for i in range(sent.size())] == [
+        "BIGINT", "BOOLEAN", "STRING", "STRING", "BIGINT", "STRING"]
+
+
+def test_rows_go_to_workers_in_batches_of_bounded_bytes(spark):
+    """The three operators over whole texts bound them for their session; a size that the session names stays."""
+    docs = [(i, "some words and more " * 5_000) for i in range(300)]  # 30 MB in one partition
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"b": [b.nbytes]}) for b in batches)
+
+    def largest(df):
+        return max(r["b"] for r in df.coalesce(1).mapInArrow(sizes, "b long").collect())
+
+    for call in (lambda df: score_quality(df, df.selectExpr("doc_id", "doc_id % 2 AS quality").limit(4)),
+                 lambda df: encode_decode(df, vocabulary_path()), lambda df: near_duplicates(df.limit(2))):
+        session = spark.newSession()
+        df = session.createDataFrame(docs, "doc_id long, text string")
+        assert largest(df) > 20 << 20
+        call(df)
+        assert session.conf.get(BATCH_SETTING) == BATCH_BYTES
+        assert largest(df) < 5 << 20
+    named = spark.newSession()
+    named.conf.set(BATCH_SETTING, "9m")
+    encode_decode(named.createDataFrame(docs[:1], "doc_id long, text string"), vocabulary_path())
+    assert named.conf.get(BATCH_SETTING) == "9m"
+
+
+def test_a_worker_drops_its_encoder_after_a_task():
+    """It waits for tasks of other stages, which need the memory of vocabulary and caches."""
+    class Frame:  # hands the function of the workers on
+        dtypes = [("doc_id", "bigint")]
+
+        class sparkSession:
+            class conf:
+                get = staticmethod(lambda key, default: "4m")
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    work = encode_decode(Frame(), vocabulary_path(), keep_ids=False)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", None])], ["doc_id", "text"])
+    for _ in range(2):
+        made = [out.to_pydict() for out in work([batch, batch])]
+        assert len(made) == 2 and made[0] == made[1] and made[0]["n_tokens"][1] == 0 < made[0]["n_tokens"][0]
+        assert bpe.encoder.cache_info().currsize == 0
