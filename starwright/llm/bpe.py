@@ -164,6 +164,12 @@ class PieceEncoder:
         self.pieces = Remembered(self.encode_letters, cache)  # in the byte alphabet
         self.chunks = Remembered(lambda c: b"".join(map(self.pieces.__getitem__, self.split(c))), cache)
 
+    def forget(self) -> None:
+        """Empty all caches."""
+        for cache in vars(self).values():
+            if isinstance(cache, Remembered):
+                cache.forget()
+
     def split(self, text: str) -> list[str]:
         """The pieces of a text in the byte alphabet."""
         if text.isascii():
@@ -315,7 +321,7 @@ class BatchEncoder(PieceEncoder):
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryEncoder:
-    """One encoder per task of a worker process."""
+    """One encoder per worker process; made anew for each task it would leave more memory in pieces."""
     return ForcedBoundaryEncoder(path)
 
 
@@ -361,8 +367,7 @@ def encode_decode(
                 columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
-        del bpe  # a worker goes on to other stages, which need the memory
-        encoder.cache_clear()
+        bpe.forget()  # a worker goes on to other stages, which need the memory
         give_back()
 
     return df.select(id_col, text_col).mapInArrow(batches, schema)
