@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Iterator, Sequence
+from gc import collect
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ def powers(length: int) -> list[np.ndarray]:
 def give_back() -> None:
     """Return what a worker no longer uses to the system: it waits for tasks of other stages beside the next ones."""
     POWERS.clear()
-    gc.collect()
+    collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
